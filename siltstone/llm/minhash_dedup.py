@@ -180,41 +180,51 @@ def link_units(spark: SparkSession, units: DataFrame, sets_of: Callable[[DataFra
     few = left.where(F.col("size") <= PAIRWISE)
     other = few.select("key", F.col("uid").alias("v"), F.col("comp").alias("vc"))
     rest = few.join(other, "key").where("uid < v and comp != vc").select(F.col("uid").alias("a"), F.col("v").alias("b"))
+    edges = edges.unionAll(verified(rest))
     many = left.where(F.col("size") > PAIRWISE)
     if not many.isEmpty():
-        rest = rest.unionAll(in_blocks(many.join(sigs, "uid"), screen(threshold, minima)))
-    edges = edges.unionAll(verified(rest))
+        edges = edges.unionAll(in_blocks(many.join(reps.select("uid", "bands"), "uid").join(sets, "uid"), num, den))
     return save(spark, copies.unionAll(edges))
 
 
-def in_blocks(rows: DataFrame, most: int) -> DataFrame:
-    """Pairs (a, b) of the same key, in different components, whose signatures pass the screen.
+def in_blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between units of the same key and different components, counted on their full sets.
 
-    rows: key, uid, comp, size, sig. A key's rows are dealt into blocks of about BLOCK rows; each task compares two
-    blocks by bit counts.
+    rows: key, uid, comp, size, bands, blob. A key's rows are dealt into blocks of about BLOCK rows; each task
+    compares two blocks. A pair that shares several keys is compared at the first of them only.
     """
 
     def compare(table: pa.Table) -> pa.Table:
         side = table.column("first").to_numpy()
-        sig = np.array(table.column("sig").to_pylist(), dtype=np.int64).view(np.uint64)
-        uid, comp = table.column("uid").to_numpy(), table.column("comp").to_numpy()
+        bands = np.array(table.column("bands").to_pylist(), dtype=np.int64)
+        uid, comp, key = table.column("uid").to_numpy(), table.column("comp").to_numpy(), table.column("key")[0].as_py()
+        sets = [unpack48(x) for x in table.column("blob").to_pylist()]
+        _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        sizes = np.array([len(x) for x in sets])
+        starts = np.cumsum(np.r_[0, sizes])
         one = np.flatnonzero(side)
         two = np.flatnonzero(~side) if not side.all() else one
+        members = np.concatenate([flat[starts[j] : starts[j + 1]] for j in two])
+        edges = np.cumsum(np.r_[0, sizes[two]])[:-1]
+        mark = np.zeros(flat.max() + 1, dtype=np.int64)
         a, b = [], []
         for i in one:
-            z = sig[two] ^ sig[i]
-            z |= z >> np.uint64(1)
-            z |= z >> np.uint64(2)
-            differ = np.bitwise_count(z & np.uint64(0x1111111111111111)).sum(axis=1)
-            good = two[(differ <= most) & (comp[two] != comp[i]) & ((two > i) if two is one else True)]
-            a += [uid[i]] * len(good)
-            b += uid[good].tolist()
+            own = flat[starts[i] : starts[i + 1]]
+            mark[own] = 1
+            common = np.add.reduceat(mark[members], edges)
+            mark[own] = 0
+            good = (den * common >= num * (sizes[i] + sizes[two] - common)) & (comp[two] != comp[i])
+            if two is one:
+                good &= two > i
+            for j in two[good]:
+                if bands[i][(bands[i] == bands[j]).argmax()] == key:
+                    a.append(uid[i])
+                    b.append(uid[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+    dealt = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
     spread = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = spread.select("key", "uid", "comp", "sig", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), (F.col("block") <= F.col("with")).alias("first"))
+    keyed = spread.select("key", "uid", "comp", "bands", "blob", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), (F.col("block") <= F.col("with")).alias("first"))
     pairs = keyed.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
