@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules in the order of their operators.
-MODULES = ["minhash_dedup"]
+MODULES = ["language_id", "bpe", "minhash_dedup"]
 
 
 def _all(name: str) -> dict:
