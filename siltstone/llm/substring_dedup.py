@@ -185,7 +185,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, text_col: str = "text", ch
     marks = repeats.select(rid, "places", "numbers")
     renamed = marks.select(F.col(rid).alias("rid_"), F.struct("places", "numbers").alias("marks_"))
     joined = copy.join(renamed, copy[rid] == renamed["rid_"], "left").drop("rid_", rid)
-    at, end = docs.columns.index(text_col), len(docs.columns)
+    names = docs.columns
+    at, end = names.index(text_col), len(names)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -197,7 +198,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, text_col: str = "text", ch
                         texts[i] = without(texts[i], char_spans(texts[i], *mark.as_py().values()))
                         keep[i] = bool(texts[i].strip())
                 columns = [pa.array(texts, pa.string()) if c == at else part.column(c) for c in range(end)]
-                yield pa.RecordBatch.from_arrays(columns, names=docs.columns).filter(pa.array(keep, pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
     out = joined.select(*[F.col(f"`{c}`") for c in docs.columns], "marks_").mapInArrow(run, docs.schema)
     return out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else out
