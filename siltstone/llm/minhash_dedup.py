@@ -262,7 +262,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     text = F.col(f"`{text_col}`")
     source = copy.select(F.col(rid).alias("uid"), text.alias("text"))
     units = save(spark, source.mapInArrow(sign, "uid long, " + UNITS))
-    sets_of = lambda needed: source.join(needed, "uid", "left_semi").mapInArrow(full, "uid long, blob binary")
+    sets_of = lambda needed: source.join(needed.hint("merge"), "uid", "left_semi").mapInArrow(full, "uid long, blob binary")
     edges = link_units(spark, units, sets_of, num, den)
     groups = components(spark, edges)
     release(spark)

@@ -132,7 +132,7 @@ def repeated_paragraphs(spark: SparkSession, source: DataFrame, num: int, den: i
 
     def sets_of(needed: DataFrame) -> DataFrame:
         wanted = units.select("uid", "doc", "number").join(needed, "uid", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("uid", "number")).alias("wanted"))
-        return source.join(wanted, source["uid"] == wanted["doc"]).select("text", "wanted").mapInArrow(full, "uid long, blob binary")
+        return source.join(wanted.hint("merge"), source["uid"] == wanted["doc"]).select("text", "wanted").mapInArrow(full, "uid long, blob binary")
 
     groups = components(spark, link_units(spark, units, sets_of, num, den))
     places = units.select(F.col("uid").alias("node"), "doc", "number")
@@ -184,7 +184,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, text_col: str = "text", ch
     copy, repeats, rid = find_repeats(spark, docs, text_col, num, den)
     marks = repeats.select(rid, "places", "numbers")
     renamed = marks.select(F.col(rid).alias("rid_"), F.struct("places", "numbers").alias("marks_"))
-    joined = copy.join(renamed, copy[rid] == renamed["rid_"], "left").drop("rid_", rid)
+    joined = copy.join(renamed.hint("merge"), copy[rid] == renamed["rid_"], "left").drop("rid_", rid)
     names = docs.columns
     at, end = names.index(text_col), len(names)
 
