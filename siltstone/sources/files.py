@@ -15,12 +15,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from siltstone.functions import lexicons as L
 from siltstone.functions import text as X
 
-CHUNK = T.StructType.fromDDL("chunk_id string, doc_id string, chunk_index int, text string, metadata map<string,string>, information_score double, merged_from array<string>, is_primary boolean, source_file string, _corrupt_record string")
+CHUNK = (
+    "chunk_id string, doc_id string, chunk_index int, text string, metadata map<string,string>, information_score double, merged_from array<string>, is_primary boolean, source_file string, _corrupt_record string"
+)
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
