@@ -5,18 +5,21 @@ weights that depend on how often the context was seen. The weights are learned b
 the training texts is deleted from the counts and its tokens are the held-out events.
 
 Counts never leave the cluster. Texts are dealt into blocks of bounded size. A block asks once for each distinct word
-and word pair it holds, with its own counts; the requests are summed by key and only what other blocks hold too is
-answered. Texts and answers meet again by block, so a frequent word costs a row a block, not a row an occurrence.
+and word pair it holds, with its own counts; requests are cut into buckets by the keys' highest bits and packed. Sums
+by key go back to the blocks that asked, in the order they asked. Texts and answers meet again by block, so a frequent
+word costs an entry a block, not one an occurrence.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +28,8 @@ from siltstone.llm.language_id import fold
 from siltstone.llm.store import release, save
 from siltstone.llm.words import MIX, WordHasher, finish
 
-#: Bytes of text in a block; a longer text is a block of its own. Answers packed at once.
-BLOCK_BYTES, PACK = 12 << 20, 1 << 20
+#: Bytes of text in a block (a longer text is a block of its own), and for which there is a bucket of keys.
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 2 << 20
 #: Hashes that stand for the end of a text, a token, and for its beginning, a context only.
 END, START = np.uint64(0x1F83D9ABFB41BD6A), np.uint64(0x5BE0CD19137E2178)
 #: Classes of context frequency (0, then powers of two), and steps of log10 probabilities per unit, with the last step for 0.
@@ -37,7 +40,7 @@ ROUNDS, PRIOR = 60, 20.0
 
 @cache
 def hasher() -> WordHasher:
-    return WordHasher()
+    return WordHasher(250_000)
 
 
 def tokens_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -62,21 +65,38 @@ class Block:
         pairs = [tokens_of(t) for t in texts]
         self.sizes = np.array([len(t) for t, _ in pairs])
         token, context = np.concatenate([t for t, _ in pairs]), np.concatenate([c for _, c in pairs])
-        heads = context == START
-        context_key = unigram_keys(np.where(heads, END, context))  # as many beginnings as ends
-        keys = np.concatenate([unigram_keys(token), bigram_keys(context, token), context_key])
-        self.keys, at = np.unique(keys, return_inverse=True)
+        self.keys, at = np.unique(np.concatenate([unigram_keys(token), bigram_keys(context, token)]), return_inverse=True)
         n = len(token)
-        self.one, self.two, self.before = at[:n], at[n : 2 * n], at[2 * n :]
+        self.one, self.two = at[:n], at[n:]
+        # the context of a token is the one before it; a text's first has the end's count, as there are as many beginnings
+        self.before = np.roll(self.one, 1)
+        self.before[np.cumsum(np.r_[0, self.sizes[:-1]])] = self.one[-1]
         self.train, self.deleted = (np.repeat(np.array(x, dtype=bool), self.sizes) for x in (train, deleted))
         both = np.concatenate([self.one, self.two])
         self.n_train, self.n_deleted = (np.bincount(both[np.tile(x, 2)], minlength=len(self.keys)) for x in (self.train, self.deleted))
 
     def answer(self, answers: pa.Table) -> None:
-        """Put the sums over all blocks in place of the block's own counts."""
-        for keys, train, deleted in zip(*(answers.column(c).to_pylist() for c in ("keys", "train", "deleted"))):
-            at = np.searchsorted(self.keys, np.frombuffer(keys, np.uint64))
-            self.n_train[at], self.n_deleted[at] = np.frombuffer(train, np.int64), np.frombuffer(deleted, np.int64)
+        """Put the sums over all blocks, in the order of the keys, in place of the block's own counts."""
+        order = np.argsort(answers.column("bucket").to_numpy(), kind="stable")
+        parts = [unpack(answers.column("sums")[int(i)].as_py(), np.int64, np.int64) for i in order]
+        if parts:
+            self.n_train, self.n_deleted = (np.concatenate(x) for x in zip(*parts))
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length, compressed byte by byte: first all lowest bytes, then all next ones."""
+    planes = [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() for a in arrays]
+    return struct.pack("<I", len(arrays[0])) + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
+    n, data, at, out = struct.unpack("<I", blob[:4])[0], zstandard.ZstdDecompressor().decompress(blob[4:]), 0, []
+    for kind in kinds:
+        size = np.dtype(kind).itemsize
+        plane = np.frombuffer(data, np.uint8, n * size, at).reshape(size, n)
+        out.append(np.ascontiguousarray(plane.T).view(kind).ravel())
+        at += n * size
+    return out
 
 
 def blocks_of(docs: DataFrame, text: str) -> DataFrame:
@@ -95,19 +115,19 @@ def blocks_of(docs: DataFrame, text: str) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("block_", T.LongType())]))
 
 
-def requests(blocks: DataFrame) -> DataFrame:
-    """(key, block, train, deleted) for each block's distinct keys, also those of texts out of training."""
+def requests(blocks: DataFrame, bits: int) -> DataFrame:
+    """(bucket, block_, asked): each block's sorted distinct keys and counts, cut by the keys' highest bits."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], [], []]
         now = None
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
             block = Block(*held)
-            for start in range(0, len(block.keys), 1 << 16):
-                part = slice(start, start + (1 << 16))
-                keys = block.keys[part].view(np.int64)
-                yield pa.RecordBatch.from_pydict({"key": keys, "block_": np.full(len(keys), now), "train": block.n_train[part].astype(np.int32), "deleted": block.n_deleted[part].astype(np.int32)})
+            bucket = (block.keys >> np.uint64(64 - bits)).astype(np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+            asked = [pack(np.diff(block.keys[a:b], prepend=np.uint64(0)), block.n_train[a:b].astype(np.uint32), block.n_deleted[a:b].astype(np.uint32)) for a, b in zip(cuts, cuts[1:])]
+            return pa.RecordBatch.from_pydict({"bucket": bucket[cuts[:-1]], "block_": np.full(len(asked), now), "asked": pa.array(asked, pa.binary())})
 
         for batch in it:
             number = batch.column(0).to_numpy()
@@ -116,80 +136,63 @@ def requests(blocks: DataFrame) -> DataFrame:
                 if a == b:
                     continue
                 if now is not None and number[a] != now:
-                    yield from flush()
+                    yield flush()
                     held = [[], [], []]
                 now = int(number[a])
                 for i in range(3):
                     held[i] += batch.column(i + 1).slice(a, b - a).to_pylist()
         if now is not None:
-            yield from flush()
+            yield flush()
 
-    return blocks.select("block_", "text", "train", "deleted").mapInArrow(run, "key long, block_ long, train int, deleted int")
+    return blocks.select("block_", "text", "train", "deleted").mapInArrow(run, "bucket long, block_ long, asked binary")
 
 
-ANSWERS = "block_ long, for_fold boolean, keys binary, train binary, deleted binary, n_train long, n_deleted long, v_train long, v_left long"
+ANSWERS = "block_ long, bucket long, for_fold boolean, sums binary, n_train long, n_deleted long, v_train long, v_left long"
 
 
 def answers(asked: DataFrame) -> DataFrame:
-    """Sums of the requests, packed for each block that can't know them by itself, and totals (no block).
-
-    A block knows the sums of keys that no other block asked for, its deleted texts alone (for_fold) only of those that
-    the block's other texts don't have either.
-    """
+    """Sums over all blocks for each request, in the order of its keys; also those of keys in deleted texts alone
+    (for_fold); and totals, without a block. A task holds one bucket at a time."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in ANSWERS.split(", ")]
-        kinds = [pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), *[pa.int64()] * 4]
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), *[pa.int64()] * 4]
         totals = np.zeros(4, np.int64)
-        ready: list[tuple] = []
-        size = 0
-        held = [np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3))]
-
-        def summed(key, block, train, deleted) -> None:
-            nonlocal size
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            t, d = np.add.reduceat(train, starts), np.add.reduceat(deleted, starts)
-            single = (key[starts] & np.uint64(1)) == 1
+        held: list[tuple[int, bytes]] = []
+        now = None
+
+        def flush() -> pa.RecordBatch:
+            parts = [unpack(blob, np.uint64, np.uint32, np.uint32) for _, blob in held]
+            key, train, deleted = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), *(np.concatenate([p[i] for p in parts]) for i in (1, 2))
+            order = np.argsort(key, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
+            t, d = (np.add.reduceat(x[order].astype(np.int64), starts) for x in (train, deleted))
+            single = (key[order][starts] & np.uint64(1)) == 1
             totals[:] += [t[single].sum(), d[single].sum(), (t[single] > 0).sum(), (t[single] > d[single]).sum()]
-            rows = np.diff(np.r_[starts, len(key)])
-            many = np.repeat(rows > 1, rows)
-            mine = (deleted > 0) & (many | (train > deleted))  # a block's deleted texts alone don't know the rest of it
-            some = many | mine
-            if some.any():
-                ready.append((block[some], key[some], np.repeat(t, rows)[some], np.repeat(d, rows)[some], many[some], mine[some]))
-                size += int(some.sum())
-
-        def packed() -> Iterator[pa.RecordBatch]:
-            nonlocal size
-            block, key, t, d, many, mine = (np.concatenate(x) for x in zip(*ready))
-            ready.clear()
-            size = 0
-            order = np.argsort(block, kind="stable")
-            out = []
-            for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
-                for for_fold, p in ((False, part[many[part]]), (True, part[mine[part]])):
-                    if len(p):
-                        out.append((int(block[p[0]]), for_fold, key[p].tobytes(), t[p].tobytes(), d[p].tobytes(), 0, 0, 0, 0))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+            back = np.empty(len(key), np.int64)
+            back[order] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(key)]))
+            out, at = [], 0
+            for (block, _), p in zip(held, parts):
+                own = back[at : at + len(p[0])]
+                out.append((block, now, False, pack(t[own], d[own]), 0, 0, 0, 0))
+                if p[2].any():
+                    own = own[p[2] > 0]
+                    out.append((block, now, True, pack(t[own], d[own]), 0, 0, 0, 0))
+                at += len(p[0])
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
         for batch in it:
-            new = [batch.column(0).to_numpy().view(np.uint64), *(batch.column(i).to_numpy().astype(np.int64) for i in (1, 2, 3))]
-            held = [np.concatenate(x) for x in zip(held, new)]
-            if not len(held[0]):
-                continue
-            last = int(np.flatnonzero(np.r_[True, held[0][1:] != held[0][:-1]])[-1])
-            if last:
-                summed(*(x[:last] for x in held))
-                held = [x[last:] for x in held]
-            if size >= PACK:
-                yield from packed()
-        if len(held[0]):
-            summed(*held)
-        if ready:
-            yield from packed()
-        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([None, False, b"", b"", b"", *totals.tolist()], kinds)], names=names)
-
-    return asked.repartition("key").sortWithinPartitions("key").mapInArrow(run, ANSWERS)
+            for bucket, block, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if held and bucket != now:
+                    yield flush()
+                now = bucket
+                held.append((block, blob))
+        if held:
+            yield flush()
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([None, None, False, b"", *totals.tolist()], kinds)], names=names)
+
+    return asked.repartition("bucket").sortWithinPartitions("bucket", "block_").mapInArrow(run, ANSWERS)
 
 
 def context_class(n: np.ndarray) -> np.ndarray:
@@ -287,11 +290,13 @@ def score_texts(spark: SparkSession, docs: DataFrame, train: str = "train", dele
     """
     slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(train).alias("train"), (F.col(train) & F.col(deleted)).alias("deleted"))
     blocks = save(spark, blocks_of(slim, "text"))
-    answered = save(spark, answers(requests(blocks)))
+    size = blocks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(8, (size // BUCKET_BYTES).bit_length())
+    answered = save(spark, answers(requests(blocks, bits)))
     release(spark)
     sums = answered.agg(*(F.sum(c).alias(c) for c in ("n_train", "n_deleted", "v_train", "v_left"))).first()
     total, gone, vocabulary, left = (x or 0 for x in sums)
-    packed = answered.where("block_ is not null").select("block_", "for_fold", "keys", "train", "deleted")
+    packed = answered.where("block_ is not null").select("block_", "bucket", "for_fold", "sums")
     by = lambda df: df.groupBy("block_")
     counted = by(blocks.where("deleted")).cogroup(by(packed.where("for_fold"))).applyInArrow(events(total - gone), "cls long, p1 long, p2 long, n long")
     #: CLASSES * (ZERO + 1) ** 2 rows at most, whatever the corpus
