@@ -269,6 +269,8 @@ def scores(total: int, vocabulary: int, weights: np.ndarray):
         c1, c2, ch = (block.n_train[x].astype(np.float64) for x in (block.one, block.two, block.before))
         w = weights[context_class(ch)]
         w = np.where((ch > 0)[:, None], w, np.c_[np.zeros(len(w)), w[:, 1:] / w[:, 1:].sum(1, keepdims=True)])
+        if not total:
+            w = np.tile([0.0, 0.0, 1.0], (len(w), 1))
         mixed = w[:, 0] * ratio(c2, ch) + w[:, 1] * ratio(c1, total) + w[:, 2] / (vocabulary + 1)
         base = np.log10((c1 + 0.5) / (total + 0.5 * (vocabulary + 1)))
         starts = np.cumsum(np.r_[0, block.sizes])[:-1]
