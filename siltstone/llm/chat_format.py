@@ -211,8 +211,29 @@ def op1_chat_format(spark: SparkSession, sf_dir: str, path: str | None = None) -
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     made = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
-    return digest(format_conversations(rows.unionAll(made), path))
+    return digest(format_conversations(rows.unionAll(made), path)).drop("n_tokens", "loss_tokens")
+
+
+def escaped_sql(c: str) -> str:
+    """escape for the default template, in DuckDB's SQL."""
+    template = Template()
+    for first in "<[":
+        rest = "|".join(re.escape(x[1:]) for x in (*template.controls, *template.foreign) if x[0] == first)
+        c = f"regexp_replace({c}, '({re.escape(first)})(\\\\*(?:{rest}))', '\\1\\\\\\2', 'g')"
+    return c
 
 
 QUERIES = {"op1_chat_format": op1_chat_format}
-SQL: dict[str, str] = {}
+SQL = {
+    "op1_chat_format": f"""
+WITH rows_ AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({len("<|turn|><|text|><|end|>")} + length({escaped_sql("role")}) + length({escaped_sql("text")})) AS BIGINT) AS formatted_chars
+FROM rows_ GROUP BY conv_id
+"""
+}

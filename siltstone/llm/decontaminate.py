@@ -70,7 +70,8 @@ class Items:
         self.seed = df <= RARE * docs
         order = np.argsort(self.item, kind="stable")
         for own in np.split(places[order], np.cumsum(np.bincount(self.item, minlength=len(self.ids)))[:-1]):
-            self.seed[own[df[own] <= np.median(df[own])]] = True
+            if len(own):
+                self.seed[own[df[own] <= np.median(df[own])]] = True
 
 
 def align(item: np.ndarray, words: np.ndarray) -> tuple[float, int]:

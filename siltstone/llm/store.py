@@ -52,10 +52,10 @@ def fresh(columns: list[str], name: str) -> str:
 
 
 def number_rows(spark: SparkSession, df: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, str]:
-    """A saved copy of df with a dense, unique long row id, and the id's column name.
+    """A saved copy of df (of ``columns``, or all) with a unique long row id, and the id's column name.
 
-    Ids are the row's place in its partition plus the rows of the partitions before it. Only one count per
-    partition is gathered, and it is joined, not collected.
+    The id has the number of the row's partition in its upper bits, its place there in the lower 33. As it is saved, it
+    stays the same however often the copy is read.
     """
     rid = fresh(df.columns, "row_id")
     kept = df.columns if columns is None else columns
