@@ -35,7 +35,7 @@ OTHERS = regex.compile(rf"[^{SPACE}\p{{L}}\p{{N}}]+")
 #: Chunks without ASCII white space up to this many bytes are encoded at once and remembered; longer ones stream.
 USUAL = 1024
 #: Chunks remembered, symbols merged at once beside the lookahead, and bytes of text split at once.
-ROOM, STRIDE, PIECE = 300_000, 4096, 1 << 20
+ROOM, STRIDE, PIECE = 100_000, 4096, 1 << 20
 #: Above any rank.
 NONE = 1 << 62
 
@@ -72,7 +72,6 @@ class Vocabulary:
         self.ids: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.pairs = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(merges)}
         self.rank = {self.ids[a] << 32 | self.ids[b]: rank for rank, (a, b) in enumerate(merges)}.get
         self.made = [self.ids[a + b] for a, b in merges]
         self.added = {x["content"]: x["id"] for x in data["added_tokens"]}
@@ -137,24 +136,24 @@ class Vocabulary:
 
     def merge(self, symbols: list[int]) -> tuple[list[int], list[int]]:
         """Tokens of a list of symbols, and how many symbols each has. The lowest rank goes first, then the leftmost."""
-        pairs, n = self.pairs, len(symbols)
+        rank, n = self.rank, len(symbols)
         tokens, width = list(symbols), [1] * n
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(pairs[p][0], i, *p) for i, p in enumerate(zip(tokens, tokens[1:])) if p in pairs]
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(tokens, tokens[1:])) if (r := rank(a << 32 | b)) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            least, i, a, b = heapq.heappop(heap)
             j = after[i]
             if tokens[i] != a or j >= n or tokens[j] != b:
                 continue
-            tokens[i], tokens[j] = pairs[a, b][1], -1
+            tokens[i], tokens[j] = self.made[least], -1
             width[i] += width[j]
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (p := (tokens[x], tokens[y])) in pairs:
-                    heapq.heappush(heap, (pairs[p][0], x, *p))
+                if x >= 0 and y < n and (r := rank(tokens[x] << 32 | tokens[y])) is not None:
+                    heapq.heappush(heap, (r, x, tokens[x], tokens[y]))
         live = [i for i in range(n) if tokens[i] >= 0]
         return [tokens[i] for i in live], [width[i] for i in live]
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from siltstone.llm.store import components, number_rows, release, save
 from siltstone.llm.words import MIX, WordHasher, batches_of, finish, shingles
 
-ROWS = 4
+ROWS = 3
 #: A pair at the threshold is missed by all bands with this probability at most.
 MISS = 1e-6
 #: Buckets above PIVOT members get PIVOTS more pivots; those of up to PAIRWISE are joined with themselves.

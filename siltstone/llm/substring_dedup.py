@@ -37,13 +37,20 @@ def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(hashes) - RUN + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for i in range(RUN):
-        h = h * MIX + hashes[i : i + n]
+    # hashes of runs of 1, 2, 4, ... words make those of RUN words
+    h, start, power, width, left = np.zeros(n, np.uint64), 0, hashes, 1, RUN
+    while left:
+        if left & 1:
+            h = h * MIX + finish(power[start : start + n] + np.uint64(width))
+            start += width
+        left >>= 1
+        if left:
+            power = finish(power[:-width] * MIX + power[width:])
+            width *= 2
     h = finish(h)
-    wide = min(WINDOW, n)
-    views = np.lib.stride_tricks.sliding_window_view(h, wide)
-    at = np.unique(views.argmin(axis=1) + np.arange(len(views)))
+    views = np.lib.stride_tricks.sliding_window_view(h, min(WINDOW, n))
+    at = views.argmin(axis=1) + np.arange(len(views))
+    at = at[np.r_[True, np.diff(at) != 0]]  # the places never go back
     return at, h[at]
 
 
@@ -123,9 +130,8 @@ def repeated_paragraphs(spark: SparkSession, source: DataFrame, num: int, den: i
         hasher = WordHasher()
         for batch in it:
             for text, wanted in zip(batch.column(0), batch.column(1)):
-                own = dict(paragraphs(text.as_py()))
-                for w in wanted.as_py():
-                    yield pa.RecordBatch.from_pydict({"uid": pa.array([w["uid"]], pa.int64()), "blob": pa.array([pack48(sets(hasher, own[w["number"]]))], pa.binary())})
+                own, some = dict(paragraphs(text.as_py())), wanted.as_py()
+                yield pa.RecordBatch.from_pydict({"uid": pa.array([w["uid"] for w in some], pa.int64()), "blob": pa.array([pack48(sets(hasher, own[w["number"]])) for w in some], pa.binary())})
 
     units, uid = number_rows(spark, source.mapInArrow(sign, "doc long, number int, " + UNITS))
     units = units.withColumnRenamed(uid, "uid")

@@ -27,7 +27,7 @@ class WordHasher:
     Hashes of words seen are kept, up to ``room`` of them; then the store starts anew, so memory is bounded.
     """
 
-    def __init__(self, room: int = 400_000):
+    def __init__(self, room: int = 200_000):
         self.known: dict[bytes, int] = {}
         self.room = room
 
