@@ -141,9 +141,10 @@ def repeated_paragraphs(spark: SparkSession, source: DataFrame, num: int, den: i
         return source.join(wanted.hint("merge"), source["uid"] == wanted["doc"]).select("text", "wanted").mapInArrow(full, "uid long, blob binary")
 
     groups = components(spark, link_units(spark, units, sets_of, num, den))
-    places = units.select(F.col("uid").alias("node"), "doc", "number")
-    heads = places.select(F.col("node").alias("comp"), F.col("doc").alias("keeper"))
-    return save(spark, groups.join(places, "node").join(heads, "comp").where("doc != keeper").select(F.col("doc").alias("uid"), "number", "keeper"))
+    placed = save(spark, groups.join(units.select(F.col("uid").alias("node"), "doc", "number"), "node").select("comp", "doc", "number"))
+    # the first by the order of source, which anchors go by too; paragraphs are numbered in the order of reading
+    heads = placed.groupBy("comp").agg(F.min("doc").alias("keeper"))
+    return save(spark, placed.join(heads, "comp").where("doc != keeper").select(F.col("doc").alias("uid"), "number", "keeper"))
 
 
 def repeated_anchors(spark: SparkSession, source: DataFrame) -> DataFrame:

@@ -139,3 +139,16 @@ def test_repeated_passages_are_cut_once(spark):
     found = substring_dedup.repeated_spans(spark, docs).collect()
     assert {(r.doc_id, r.keeper_doc_id) for r in found} == {(1, 0), (2, 0), (3, 0), (4, 0), (13, 12)}
     assert substring_dedup.cut_repeats(spark, docs.limit(0)).count() == 0
+
+
+def test_one_copy_stays_whatever_order_parts_are_read_in(spark):
+    rng = random.Random(12)
+    shared = [text_of(rng, 70) for _ in range(6)]
+    # parts of very unequal size, the largest last: a saved copy is read largest file first
+    parts = [[(10 * p + i, "\n".join([text_of(rng, 60), shared[i], *(text_of(rng, 400) for _ in range(p * p))])) for i in range(6)] for p in range(6)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize([row for part in parts for row in part], 6), "doc_id long, text string")
+    assert docs.rdd.getNumPartitions() == 6
+    out = {r.doc_id: r.text for r in substring_dedup.cut_repeats(spark, docs).collect()}
+    assert len(out) == 36
+    assert {i: [10 * p + i for p in range(6) if shared[i] in out[10 * p + i]] for i in range(6)} == {i: [i] for i in range(6)}
+    assert {(r.doc_id, r.keeper_doc_id) for r in substring_dedup.repeated_spans(spark, docs).collect()} == {(10 * p + i, i) for p in range(1, 6) for i in range(6)}
