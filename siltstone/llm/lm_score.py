@@ -79,8 +79,10 @@ class Block:
         """Put the sums over all blocks, in the order of the keys, in place of the block's own counts."""
         order = np.argsort(answers.column("bucket").to_numpy(), kind="stable")
         parts = [unpack(answers.column("sums")[int(i)].as_py(), np.int64, np.int64) for i in order]
-        if parts:
-            self.n_train, self.n_deleted = (np.concatenate(x) for x in zip(*parts))
+        given = sum(len(t) for t, _ in parts)
+        if given != len(self.keys):
+            raise ValueError(f"{given} sums for {len(self.keys)} keys of a block")
+        self.n_train, self.n_deleted = (np.concatenate(x) for x in zip(*parts))
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -116,7 +118,10 @@ def blocks_of(docs: DataFrame, text: str) -> DataFrame:
 
 
 def requests(blocks: DataFrame, bits: int) -> DataFrame:
-    """(bucket, block_, asked): each block's sorted distinct keys and counts, cut by the keys' highest bits."""
+    """(bucket, block_, asked): each block's sorted distinct keys and counts, cut by the keys' highest bits.
+
+    A saved block may be read in several parts, as Spark splits files at row groups; each part then asks on its own.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], [], []]
@@ -151,8 +156,9 @@ ANSWERS = "block_ long, bucket long, for_fold boolean, sums binary, n_train long
 
 
 def answers(asked: DataFrame) -> DataFrame:
-    """Sums over all blocks for each request, in the order of its keys; also those of keys in deleted texts alone
-    (for_fold); and totals, without a block. A task holds one bucket at a time."""
+    """Sums over all blocks for each block that asked, in the order of its distinct keys, in however many parts it
+    asked; also those of keys in deleted texts alone (for_fold); and totals, without a block. A task holds one bucket
+    at a time."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in ANSWERS.split(", ")]
@@ -171,14 +177,20 @@ def answers(asked: DataFrame) -> DataFrame:
             totals[:] += [t[single].sum(), d[single].sum(), (t[single] > 0).sum(), (t[single] > d[single]).sum()]
             back = np.empty(len(key), np.int64)
             back[order] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(key)]))
-            out, at = [], 0
-            for (block, _), p in zip(held, parts):
-                own = back[at : at + len(p[0])]
+            out, ends = [], np.cumsum([len(p[0]) for p in parts])
+            first = 0
+            for last in range(len(held)):
+                block = held[last][0]
+                if last + 1 < len(held) and held[last + 1][0] == block:
+                    continue
+                span = slice(ends[first] - len(parts[first][0]), ends[last])
+                own, fold_own = back[span], back[span][deleted[span] > 0]
+                if first < last:
+                    own, fold_own = np.unique(own), np.unique(fold_own)
                 out.append((block, now, False, pack(t[own], d[own]), 0, 0, 0, 0))
-                if p[2].any():
-                    own = own[p[2] > 0]
-                    out.append((block, now, True, pack(t[own], d[own]), 0, 0, 0, 0))
-                at += len(p[0])
+                if len(fold_own):
+                    out.append((block, now, True, pack(t[fold_own], d[fold_own]), 0, 0, 0, 0))
+                first = last + 1
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 

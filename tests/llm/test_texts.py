@@ -138,6 +138,27 @@ def test_lm_against_brute_force(spark):
     assert lm_score.score_texts(spark, marked.limit(0)).count() == 0
 
 
+def test_lm_score_of_blocks_over_several_row_groups(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(3000)], k=60)), i % 5 != 1, i % 5 == 3) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean, deleted boolean").coalesce(1)
+    want = {r.doc_id: r for r in lm_score.score_texts(spark, docs).collect()}
+    small = {"parquet.block.size": "20000", "parquet.page.size": "4000", "spark.sql.files.maxPartitionBytes": "40000", "spark.sql.files.openCostInBytes": "0"}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        blocks = lm_score.save(spark, lm_score.blocks_of(docs, "text"))
+        assert blocks.select("block_").distinct().count() == 1 and lm_score.requests(blocks, 8).where("bucket = 0").count() > 1
+        got = {r.doc_id: r for r in lm_score.score_texts(spark, docs).collect()}
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+    assert got.keys() == want.keys()
+    for i, r in want.items():
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (r.n_tokens, r.n_known, r.train_tokens)
+        assert abs(got[i].base_score - r.base_score) < 1e-9 and abs(got[i].score - r.score) < 1e-6
+
+
 def test_leaks(spark):
     rng = random.Random(6)
     vocabulary = [f"v{i}" for i in range(3000)]
