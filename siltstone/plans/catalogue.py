@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone import providers
+from siltstone.config import Settings
 from siltstone.functions import lexicons as L
 from siltstone.functions import text as X
 from siltstone.operators import chunking, dedup, memory, routing, schedule, search, timetable, upkeep
@@ -145,12 +147,15 @@ def dedup_clusters(spark, sf):
 
 
 def merged_docs(spark, sf):
-    """Chunks of equal documents as clusters: first chunks with the same opening are merged."""
+    """Documents and their merged clusters, by the engine's default embedding and threshold; of equal texts one is compared."""
+    defaults = Settings()
     docs = clean(spark, sf).select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("chunk_id"), "text", X.basic_score(F.col("text")).alias("information_score"), F.col("source").alias("source_file"))
-    key = F.md5(F.substring("text", 1, 60))
-    heads = docs.groupBy(key.alias("k")).agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    placed = docs.withColumn("k", key).join(heads, "k").withColumn("component", F.col("a"))
-    return docs, dedup.merge_clusters(placed.select("component", "chunk_id", "text", "information_score", "source_file"))
+    worded = docs.where(F.size(X.words(F.lower("text"))) > 0).select("id", "text", F.sha2("text", 256).alias("k"))
+    heads = worded.groupBy("k").agg(F.min("id").alias("a"))
+    copies = worded.join(heads, "k").where("id <> a").select("a", F.col("id").alias("b"))
+    vectors = worded.join(heads.select(F.col("a").alias("id")), "id").select("id", providers.embed(F.col("text"), defaults.dimensions).alias("embedding")).persist()
+    edges = dedup.similar_pairs(vectors, defaults.similarity_threshold, "id", "embedding").select("a", "b").unionAll(copies)
+    return docs, dedup.merge_clusters(dedup.clusters(spark, docs, edges, "id", "information_score"))
 
 
 @query()

@@ -124,3 +124,18 @@ def test_incremental_stream(spark, tmp_path):
 def test_clean_text(spark):
     raw = " a\n \n \n\nb\t\tc   d\x07é....!!??  "
     assert spark.createDataFrame([(raw,)], "t string").select(X.clean_text(F.col("t")).alias("t")).first().t == "a\n\nb c d...!?"
+
+
+def test_clusters_are_of_whole_texts(spark, tmp_path):
+    from siltstone.plans import catalogue
+
+    body = [" ".join(f"word{i}x{k}" for k in range(80)) for i in range(3)]
+    opening = "This text is published under the terms of a licence that any reader may look up."
+    texts = ["First " + body[0], "Second " + body[0], f"{opening} {body[1]}", f"{opening} {body[2]}", body[1] + " alone", body[1] + " alone", "", ""]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    merged = {tuple(r.merged_from) for r in catalogue.merge_clusters(spark, str(tmp_path)).collect()}
+    assert ("0", "1") in merged and not any({"2", "3"} <= set(m) for m in merged)
+    assert any({"4", "5"} <= set(m) for m in merged) and not any({"6", "7"} & set(m) for m in merged)
+    report = catalogue.dedup_report(spark, str(tmp_path)).first()
+    assert report.chunks_before == 8 and report.merged_chunks == len(merged)
