@@ -7,6 +7,7 @@ share, so a lost executor costs a re-read and not a recomputation.
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -23,18 +24,39 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):  # local-cluster[...] has executors of its own
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     base = tempfile.mkdtemp(prefix="siltstone-")
     spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
+def _path(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def save(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Write df to a new table in the shared folder and read it back, which cuts its lineage."""
-    path = f"{shared_dir(spark)}/siltstone/{uuid.uuid4().hex}"
+    """Write df to a new table in the shared folder and read it back, which cuts its lineage.
+
+    The application's tables go when its driver ends; drop_saved lets one go before.
+    """
+    top = f"{shared_dir(spark)}/siltstone/{spark.sparkContext.applicationId}"
+    path = f"{top}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, where = _path(spark, top)
+    files.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at_ = path
+    return out
+
+
+def drop_saved(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables that save gave, when nothing that is yet to run reads them."""
+    for table in tables:
+        files, where = _path(spark, table.saved_at_)
+        files.delete(where, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -68,22 +90,23 @@ def part_of(rid: str):
     return F.shiftright(F.col(rid), 33)
 
 
-def rank_in(spark: SparkSession, df: DataFrame, key: str, rid: str) -> DataFrame:
-    """df with ``rank``: the gapless place from 0 of each row among those with its key, in order of rid.
+def rank_in(spark: SparkSession, df: DataFrame, key: str, rid: str) -> tuple[DataFrame, str]:
+    """df with the gapless place from 0 of each row among those with its key, in order of rid, and that column's name.
 
     Rows are ranked within (key, numbering partition), a group no larger than one partition, and the counts of
     earlier partitions are added. The window over counts has one row per key and partition.
     """
     from pyspark.sql import Window
 
-    part = fresh(df.columns, "part")
+    names = list(df.columns)
+    part, n_in, offset, rank = (names.append(x) or x for x in (fresh(names, y) for y in ("part", "n_in", "offset", "rank")))
     marked = df.withColumn(part, part_of(rid))
-    counts = marked.groupBy(key, part).agg(F.count("*").alias("n_in"))
+    counts = marked.groupBy(key, part).agg(F.count("*").alias(n_in))
     before = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(key, part, F.coalesce(F.sum("n_in").over(before), F.lit(0)).alias("offset_"))
+    offsets = counts.select(key, part, F.coalesce(F.sum(n_in).over(before), F.lit(0)).alias(offset))
     local = Window.partitionBy(key, part).orderBy(rid)
-    ranked = marked.withColumn("local_", F.row_number().over(local).cast("long") - 1)
-    return ranked.join(offsets, [key, part]).withColumn("rank", F.col("local_") + F.col("offset_")).drop(part, "local_", "offset_")
+    ranked = marked.withColumn(rank, F.row_number().over(local).cast("long") - 1)
+    return ranked.join(offsets, [key, part]).withColumn(rank, F.col(rank) + F.col(offset)).drop(part, offset), rank
 
 
 def components(spark: SparkSession, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -93,19 +116,20 @@ def components(spark: SparkSession, edges: DataFrame, a: str = "a", b: str = "b"
     node of an edge between two different nodes; comp is the smallest node of the component. No part of the graph
     is collected: a round is two partial aggregations and two joins on the node, of which adaptive execution splits
     hot nodes. Each round is saved, so the plan doesn't grow with the number of rounds.
+
+    The rounds end when the edges themselves show that they are stars: no node has both a smaller neighbour and
+    another one.
     """
     pairs = save(spark, edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    mark = None
     while True:
-        seen = pairs.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("u", "v"), 8))).first()
-        if tuple(seen) == mark or not seen[0]:
-            break
-        mark = tuple(seen)
         both = pairs.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(pairs.select("v", "u"))
-        low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(low, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+        low = save(spark, both.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n")).select("x", F.least("x", "m").alias("m"), "n"))
+        if low.where("m < x and n > 1").isEmpty():
+            roots = low.where("m = x").select(F.col("x").alias("node"), F.col("x").alias("comp"))
+            return pairs.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionAll(roots)
+        large = both.join(low.select("x", "m"), "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        done = pairs
         pairs = save(spark, small.select("e.u", "e.v").where("u != v").distinct())
-    roots = pairs.select(F.col("v").alias("node")).distinct().withColumn("comp", F.col("node"))
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionAll(roots)
+        drop_saved(spark, done, low)

@@ -83,9 +83,10 @@ def test_keep_first_with_repeated_and_null_ids(spark):
 
 def test_rank_in(spark):
     rows, rid = number_rows(spark, spark.range(1000).repartition(7).select((F.col("id") % 3).alias("k")))
-    got = rank_in(spark, rows, "k", rid).collect()
+    ranked, rank = rank_in(spark, rows, "k", rid)
+    got = ranked.collect()
     for k in range(3):
-        assert sorted(r["rank"] for r in got if r.k == k) == list(range(sum(r.k == k for r in got)))
+        assert sorted(r[rank] for r in got if r.k == k) == list(range(sum(r.k == k for r in got)))
 
 
 @pytest.mark.parametrize("chunk", [1024, 16])
