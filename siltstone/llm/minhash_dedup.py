@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.store import components, number_rows, release, save
+from siltstone.llm.store import components, drop_saved, number_rows, release, save
 from siltstone.llm.words import MIX, WordHasher, batches_of, finish, shingles
 
 ROWS = 3
@@ -91,15 +91,13 @@ def unit_columns(sets: list[np.ndarray], bands: int) -> dict[str, pa.Array]:
     return {"n": pa.array([len(s) for s in sets], pa.int64()), "h1": pa.array(hashes[:, 0]), "h2": pa.array(hashes[:, 1]), "sig": pa.array(packed, kind), "bands": pa.array(keys, kind)}
 
 
-def pack48(values: np.ndarray) -> bytes:
-    """A set of hashes, six bytes each."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def pack_set(values: np.ndarray) -> bytes:
+    """A set of hashes, eight bytes each."""
+    return values.astype("<u8").tobytes()
 
 
-def unpack48(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+def unpack_set(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, "<u8")
 
 
 def unequal(a: str, b: str) -> Column:
@@ -127,7 +125,7 @@ def confirm(spark: SparkSession, pairs: DataFrame, sets: DataFrame, num: int, de
         for batch in it:
             good = []
             for x, y in zip(batch.column("x"), batch.column("y")):
-                p, q = unpack48(x.as_py()), unpack48(y.as_py())
+                p, q = unpack_set(x.as_py()), unpack_set(y.as_py())
                 common = len(np.intersect1d(p, q, assume_unique=True))
                 good.append(den * common >= num * (len(p) + len(q) - common))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -141,7 +139,7 @@ def link_units(spark: SparkSession, units: DataFrame, sets_of: Callable[[DataFra
     """Edges (a, b) that connect the units exactly as all links with similarity >= num / den do.
 
     units: a saved table with uid (a unique long) and the columns UNITS. sets_of takes a table of uids and returns
-    (uid, blob) with their full sets, six bytes a hash. Units with equal sets are linked through one of them.
+    (uid, blob) with their full sets, see pack_set. Units with equal sets are linked through one of them.
     """
     threshold = num / den
     minima = bands_for(threshold) * ROWS
@@ -184,7 +182,9 @@ def link_units(spark: SparkSession, units: DataFrame, sets_of: Callable[[DataFra
     many = left.where(F.col("size") > PAIRWISE)
     if not many.isEmpty():
         edges = edges.unionAll(in_blocks(many.join(reps.select("uid", "bands"), "uid").join(sets, "uid"), num, den))
-    return save(spark, copies.unionAll(edges))
+    out = save(spark, copies.unionAll(edges))
+    drop_saved(spark, copies, members, sigs, sets, left)
+    return out
 
 
 def in_blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -198,7 +198,7 @@ def in_blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
         side = table.column("first").to_numpy()
         bands = np.array(table.column("bands").to_pylist(), dtype=np.int64)
         uid, comp, key = table.column("uid").to_numpy(), table.column("comp").to_numpy(), table.column("key")[0].as_py()
-        sets = [unpack48(x) for x in table.column("blob").to_pylist()]
+        sets = [unpack_set(x) for x in table.column("blob").to_pylist()]
         _, flat = np.unique(np.concatenate(sets), return_inverse=True)
         sizes = np.array([len(x) for x in sets])
         starts = np.cumsum(np.r_[0, sizes])
@@ -258,7 +258,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         of = document_sets(words)
         for batch in it:
             for start, texts in batches_of(batch.column(1), 1 << 20):
-                yield pa.RecordBatch.from_pydict({"uid": batch.column(0).slice(start, len(texts)), "blob": pa.array([pack48(of(t)) for t in texts], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"uid": batch.column(0).slice(start, len(texts)), "blob": pa.array([pack_set(of(t)) for t in texts], pa.binary())})
 
     text = F.col(f"`{text_col}`")
     source = copy.select(F.col(rid).alias("uid"), text.alias("text"))
@@ -278,7 +278,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         F.when(F.col("linked"), F.col("least")).otherwise(F.col("id")).alias("component_id"),
         F.when(F.col("linked"), F.col("uid") == F.col("head")).otherwise(True).alias("first_row"),
     )
-    return save(spark, decided), rid, copy
+    out = save(spark, decided)
+    drop_saved(spark, units, edges, placed)
+    return out, rid, copy
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
