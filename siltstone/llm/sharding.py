@@ -14,7 +14,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.store import number_rows, rank_in, save
+from siltstone.llm.store import fresh, number_rows, rank_in, save
 
 FINE = 2048
 
@@ -61,29 +61,30 @@ def schedule(classes: list[tuple[int, int, int]], shards: int) -> list[tuple[int
     return out
 
 
-def assign_shards(spark: SparkSession, docs: DataFrame, shards: int, text: str = "text", keep: list[str] | None = None) -> tuple[DataFrame, str]:
-    """A saved copy of docs (of its columns ``keep``, or all) with size, shard and slot as more columns, and its row id's name.
+def assign_shards(spark: SparkSession, docs: DataFrame, shards: int, text: str = "text", keep: list[str] | None = None, size: str = "size", shard: str = "shard", slot: str = "slot") -> tuple[DataFrame, str]:
+    """A saved copy of docs (of its columns ``keep``, or all) with three more columns, and its row id's name.
 
     size is the text's UTF-8 bytes (null: none) plus 1. Rows with equal texts (null and empty are equal) are one
-    group and share a shard; groups go to shards by ``schedule``. slot is gapless from 0 in each shard, in order of
-    the row ids. An empty table gives an empty table. Columns of docs named size, shard or slot are an error.
+    group and share a shard; groups go to shards by ``schedule``, those of one size class in the order of their first
+    rows. slot is gapless from 0 in each shard, in order of the row ids. An empty table gives an empty table. Where
+    docs has a column of one of the three names already, underscores are put behind the new one's.
     """
-    if {"size", "shard", "slot"} & {c.lower() for c in docs.columns}:
-        raise ValueError("docs has a column size, shard or slot")
+    names = list(docs.columns)
+    size, shard, slot, key = (names.append(x) or x for x in (fresh(names, y) for y in (size, shard, slot, "text_key")))
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    copy, rid = number_rows(spark, docs.withColumns({"size": (F.octet_length(whole) + 1).cast("long"), "text_key_": F.unhex(F.md5(whole))}), None if keep is None else [*keep, "size", "text_key_"])
-    totals = copy.groupBy("text_key_").agg((F.sum("size")).alias("total"))
-    groups, gid = number_rows(spark, totals.withColumn("class_", size_class(F.col("total"))))
-    histogram = groups.groupBy("class_").agg(F.count("*").alias("n"), F.sum("total").alias("t")).collect()  # FINE rows a doubling at most
+    copy, rid = number_rows(spark, docs.withColumns({size: (F.octet_length(whole) + 1).cast("long"), key: F.unhex(F.md5(whole))}), None if keep is None else [*keep, size, key])
+    groups = save(spark, copy.groupBy(F.col(key).alias("key")).agg(F.sum(size).alias("total"), F.min(rid).alias("first_row")).withColumn("class", size_class(F.col("total"))))
+    histogram = groups.groupBy("class").agg(F.count("*").alias("n"), F.sum("total").alias("t")).collect()  # FINE rows a doubling at most
     plan = schedule([tuple(x) for x in histogram], shards)
     if not plan:
-        return copy.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")}).drop("text_key_").limit(0), rid
-    table = spark.createDataFrame(plan, "class_ long, shard int, first_ long, last_ long")
-    ranked = rank_in(spark, groups, "class_", gid)
-    placed = ranked.join(table, "class_").where("rank >= first_ and rank < last_").select("text_key_", "shard")
-    dealt = save(spark, copy.select(rid, "text_key_").join(placed, "text_key_").select(rid, "shard"))
-    slots = rank_in(spark, dealt, "shard", rid).withColumnRenamed("rank", "slot")
-    return copy.drop("text_key_").join(slots, rid), rid
+        return copy.withColumns({shard: F.lit(0), slot: F.lit(0).cast("long")}).drop(key).limit(0), rid
+    table = spark.createDataFrame(plan, "class long, shard int, begin long, end long")
+    ranked, rank = rank_in(spark, groups, "class", "first_row")
+    placed = ranked.join(table, "class").where(F.col(rank).between(F.col("begin"), F.col("end") - 1)).select("key", "shard")
+    dealt = save(spark, copy.select(F.col(rid).alias("row"), F.col(key).alias("key")).join(placed, "key").select("row", "shard"))
+    slots, rank = rank_in(spark, dealt, "shard", "row")
+    slots = slots.select(F.col("row").alias(rid), F.col("shard").alias(shard), F.col(rank).alias(slot))
+    return copy.drop(key).join(slots, rid), rid
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,4 +96,40 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_sharding": op8_sharding}
-SQL: dict[str, str] = {}
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8 bytes in DuckDB's SQL, byte by byte over a table made by the polynomial."""
+    table = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        table.append(byte)
+    bytes_ = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+    return f"xor(list_reduce({bytes_}, lambda r, b: xor(r >> 8, {table}[CAST(xor(r, b) & 255 AS INTEGER) + 1]), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+#: The heap group by group; classes as in size_class, whose groups count for their mean. Rows are in order of doc_id.
+SQL = {
+    "op8_sharding": f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(text, '') AS t, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size FROM documents
+), g AS (
+  SELECT t, sum(size) AS total, min(doc_id) AS first FROM d GROUP BY t
+), c AS (
+  SELECT t, first, total, CAST((total >> greatest(length(bin(CAST(total AS BIGINT))) - 12, 0)) << greatest(length(bin(CAST(total AS BIGINT))) - 12, 0) AS BIGINT) AS class FROM g
+), m AS (
+  SELECT t, first, class, sum(total) OVER (PARTITION BY class) / CAST(count(*) OVER (PARTITION BY class) AS DOUBLE) AS each, row_number() OVER (ORDER BY class DESC, first) AS i FROM c
+), heap AS (
+  SELECT CAST(0 AS BIGINT) AS i, list_transform(range(16), lambda x: CAST(0 AS DOUBLE)) AS loads, CAST(-1 AS BIGINT) AS shard
+  UNION ALL
+  SELECT i, list_transform(range(16), lambda x: loads[x + 1] + CASE WHEN x = least_ THEN each ELSE 0 END), least_ FROM (
+    SELECT m.i, each, loads, CAST(list_position(loads, list_min(loads)) - 1 AS BIGINT) AS least_ FROM heap JOIN m ON m.i = heap.i + 1
+  )
+), turns AS (
+  SELECT class, shard, row_number() OVER (PARTITION BY class ORDER BY shard) AS place FROM heap JOIN m USING (i)
+), placed AS (
+  SELECT t, shard FROM (SELECT t, class, row_number() OVER (PARTITION BY class ORDER BY first) AS place FROM m) JOIN turns USING (class, place)
+)
+SELECT doc_id, size, {crc32_sql('t')} AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM d JOIN placed USING (t)
+"""
+}
