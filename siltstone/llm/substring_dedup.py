@@ -1,13 +1,16 @@
-"""Substring dedup: passages that repeat across documents are cut from all but one.
-
-Paragraphs of at least ``LEAST`` words are banded by MinHash, with bands enough to miss one pair in a million at the
-threshold; colliding paragraphs are confirmed by the exact Jaccard similarity of their five-word shingles and grouped
-by connected components, of which the first paragraph stays.
-
-A copied passage need not be a paragraph of its own. So each text is also cut by its content: among any ``WINDOW``
-neighbouring runs of ``RUN`` words the one with the least hash (a MinHash of one row) is an anchor. A passage of RUN +
-WINDOW - 1 words has the same anchors wherever it stands. Anchors that stand in several documents are repeats in all
-but the first; where they cover enough words in a row, these words are cut, ends moved to the sentence's if near.
+"""Substring dedup: passages that repeat across documents are cut from all but the first.
+
+A copied passage seldom begins and ends where a line does, so the paragraphs compared here are all windows of
+``SHINGLE + WINDOW - 1`` neighbouring words. A window's band is a MinHash of one row: the least hash among its word
+shingles. Neighbouring windows share their minima, so a text has about two bands for every WINDOW words, and any
+window that two texts have in common collides for certain, wherever it stands: recall of unedited passages is 1, and
+an edited passage is found by the windows between its edits.
+
+Collisions with the first document that has the band are chained along the text and each chain is verified against
+that document's own words: equal and different words are aligned between the colliding windows and as far as the
+match goes beyond them, and the best-scoring stretches are taken, in which at least ``num / den`` of the words are equal
+(a bound on the edit distance). Stretches that touch make a passage, which is cut if it has ``LEAST`` words. Linked
+documents are clustered by connected components. In every link the document with the smaller row id keeps its copy.
 """
 
 from __future__ import annotations
@@ -20,167 +23,247 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.minhash_dedup import UNITS, bands_for, link_units, pack48, unit_columns
-from siltstone.llm.store import components, number_rows, release, save
-from siltstone.llm.words import MIX, WordHasher, batches_of, finish, shingles
-
-#: Words of a repeated passage at least, of an anchor, and runs among which one is an anchor.
-LEAST, RUN, WINDOW = 50, 25, 8
-#: Words that anchors must cover in a row: a passage over LEAST words loses under WINDOW at either end.
-COVERED = LEAST + 1 - 2 * (WINDOW - 1)
+from siltstone.llm.store import components, drop_saved, fresh, number_rows, release, save
+from siltstone.llm.words import MIX, WordHasher, batches_of, finish
+
+#: Words of a passage that is cut, of a verified stretch of it, of a shingle, and shingles in a window; powers of two.
+LEAST, STRETCH, SHINGLE, WINDOW = 50, 25, 8, 8
+#: Words between collisions of one chain at most, words that they may shift by, and words looked at beyond a chain:
+#: enough to find a passage of LEAST words round one collision, where others collide with still earlier documents.
+GAP, SHIFT, GROW = 48, 8, 64
+#: Slices of first documents begin and end at multiples of this many words, so that many chains share one.
+TILE = 64
+#: Words that the windows of a passage of LEAST words cover at least.
+COVERED = LEAST - 2 * (WINDOW - 1)
 WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
-PARAGRAPH = re.compile(r"[^\n]+")
-
-
-def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and keys of a text's anchors; none in a text under RUN words."""
-    n = len(hashes) - RUN + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    # hashes of runs of 1, 2, 4, ... words make those of RUN words
-    h, start, power, width, left = np.zeros(n, np.uint64), 0, hashes, 1, RUN
-    while left:
-        if left & 1:
-            h = h * MIX + finish(power[start : start + n] + np.uint64(width))
-            start += width
-        left >>= 1
-        if left:
-            power = finish(power[:-width] * MIX + power[width:])
-            width *= 2
-    h = finish(h)
-    views = np.lib.stride_tricks.sliding_window_view(h, min(WINDOW, n))
-    at = views.argmin(axis=1) + np.arange(len(views))
-    at = at[np.r_[True, np.diff(at) != 0]]  # the places never go back
-    return at, h[at]
-
-
-def paragraphs(text: str | None) -> list[tuple[int, str]]:
-    """(number, text) of the paragraphs, the runs between line feeds, with at least LEAST words."""
-    return [(i, m[0]) for i, m in enumerate(PARAGRAPH.finditer(text or "")) if len(m[0]) >= 2 * LEAST - 1 and len(m[0].split()) >= LEAST]
-
-
-def cover(places: list[int]) -> list[tuple[int, int]]:
-    """Runs of words (first, end) that the anchors at these places cover, of COVERED words at least."""
-    out: list[list[int]] = []
-    for p in sorted(places):
-        if out and p <= out[-1][1]:
-            out[-1][1] = p + RUN
-        else:
-            out.append([p, p + RUN])
-    return [(a, b) for a, b in out if b - a >= COVERED]
-
-
-def char_spans(text: str, places: list[int], numbers: list[int]) -> list[tuple[int, int]]:
-    """Sorted, disjoint character spans to cut: what anchors cover, and paragraphs by number."""
-    spans = []
-    if runs := cover(places):
-        words = [m.span() for m in WORD.finditer(text)]
-
-        def ends_sentence(i: int) -> bool:
-            return text[words[i][1] - 1] in ".!?…。！？" or i + 1 < len(words) and "\n" in text[words[i][1] : words[i + 1][0]]
-
-        for a, b in runs:
-            near = [i for i in range(a, max(0, a - WINDOW + 1) - 1, -1) if i == 0 or ends_sentence(i - 1)]
-            a = near[0] if near else a
-            near = [i for i in range(b, min(len(words), b + WINDOW - 1) + 1) if i == len(words) or ends_sentence(i - 1)]
-            b = near[0] if near else b
-            spans.append([words[a][0], words[b - 1][1]])
-    if numbers:
-        wanted = set(numbers)
-        spans += [list(m.span()) for i, m in enumerate(PARAGRAPH.finditer(text)) if i in wanted]
-    spans.sort()
-    out: list[list[int]] = []
-    for s in spans:
-        if out and s[0] <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], s[1])
-        else:
-            out.append(s)
-    return [(a, b) for a, b in out]
-
-
-def without(text: str, spans: list[tuple[int, int]]) -> str:
-    """text without the spans and the white space after each."""
-    parts, at = [], 0
-    for a, b in spans:
-        parts.append(text[at:a])
-        while b < len(text) and text[b] in " \t\n\r\x0b\x0c":
-            b += 1
-        at = b
-    return "".join([*parts, text[at:]])
 
 
-def repeated_paragraphs(spark: SparkSession, source: DataFrame, num: int, den: int) -> DataFrame:
-    """(uid, number, keeper): paragraphs of source (uid, text) near-equal to one of an earlier row, the keeper."""
-    bands = bands_for(num / den)
+def rolled(values: np.ndarray, width: int, op) -> np.ndarray:
+    """op over each ``width`` (a power of two) neighbouring values."""
+    step = 1
+    while step < width:
+        values = op(values[:-step], values[step:])
+        step *= 2
+    return values
+
+
+def bands(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text numbers, places and keys of the windows' minima in texts of ``sizes`` words (LEAST at least) laid end to end."""
+    if not len(sizes):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    shingle, width = hashes, 1
+    while width < SHINGLE:
+        shingle = finish(shingle[:-width] * MIX + shingle[width:])
+        width *= 2
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    inside = (place <= sizes[text] - SHINGLE)[: len(shingle)]
+    shingle = shingle[inside]
+    text, place = (x[: len(inside)][inside] for x in (text, place))
+    least = rolled(shingle, WINDOW, np.minimum)
+    least[place[: len(least)] > sizes[text[: len(least)]] - SHINGLE - WINDOW + 1] = 0  # not within one text
+    around = np.concatenate([np.zeros(WINDOW - 1, np.uint64), least, np.zeros(WINDOW - 1, np.uint64)])
+    chosen = rolled(around, WINDOW, np.maximum) == shingle
+    return text[chosen], place[chosen], shingle[chosen]
+
+
+def find_bands(source: DataFrame) -> DataFrame:
+    """(key, uid, place) of source (uid, text)."""
 
-    def sets(hasher: WordHasher, text: str) -> np.ndarray:
-        return np.unique(shingles(hasher(text), 5))
-
-    def sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-        for batch in it:
-            for start, texts in batches_of(batch.column(1)):
-                found = [(i, number, text) for i, t in enumerate(texts) for number, text in paragraphs(t)]
-                if found:
-                    at, number, text = zip(*found)
-                    rows = batch.column(0).slice(start, len(texts)).take(pa.array(at))
-                    yield pa.RecordBatch.from_pydict({"doc": rows, "number": pa.array(number, pa.int32()), **unit_columns([sets(hasher, t) for t in text], bands)})
-
-    def full(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in it:
-            for text, wanted in zip(batch.column(0), batch.column(1)):
-                own, some = dict(paragraphs(text.as_py())), wanted.as_py()
-                yield pa.RecordBatch.from_pydict({"uid": pa.array([w["uid"] for w in some], pa.int64()), "blob": pa.array([pack48(sets(hasher, own[w["number"]])) for w in some], pa.binary())})
+            for start, texts in batches_of(batch.column(1), 2 << 20):
+                hashed = [hasher(t) for t in texts]
+                sizes = np.array([len(h) for h in hashed], dtype=np.int64)
+                long = np.flatnonzero(sizes >= LEAST)
+                text, place, key = bands(np.concatenate([hashed[i] for i in long]) if len(long) else np.empty(0, np.uint64), sizes[long])
+                uid = batch.column(0).slice(start, len(texts)).to_numpy()
+                yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "uid": uid[long][text], "place": place.astype(np.int32)})
 
-    units, uid = number_rows(spark, source.mapInArrow(sign, "doc long, number int, " + UNITS))
-    units = units.withColumnRenamed(uid, "uid")
+    return source.mapInArrow(run, "key long, uid long, place int")
 
-    def sets_of(needed: DataFrame) -> DataFrame:
-        wanted = units.select("uid", "doc", "number").join(needed, "uid", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("uid", "number")).alias("wanted"))
-        return source.join(wanted.hint("merge"), source["uid"] == wanted["doc"]).select("text", "wanted").mapInArrow(full, "uid long, blob binary")
 
-    groups = components(spark, link_units(spark, units, sets_of, num, den))
-    placed = save(spark, groups.join(units.select(F.col("uid").alias("node"), "doc", "number"), "node").select("comp", "doc", "number"))
-    # the first by the order of source, which anchors go by too; paragraphs are numbered in the order of reading
-    heads = placed.groupBy("comp").agg(F.min("doc").alias("keeper"))
-    return save(spark, placed.join(heads, "comp").where("doc != keeper").select(F.col("doc").alias("uid"), "number", "keeper"))
+def chains(collisions: DataFrame) -> DataFrame:
+    """(uid, keeper, lo, hi, own, theirs): chains of collisions that may be part of a passage, with their places in
+    both texts, and the slice of the keeper's words to verify them on.
 
+    collisions: uid and marks, a list of (place, keeper, kplace). All lists of a batch are worked on at once.
+    """
+    kind = "uid long, keeper long, lo int, hi int, own array<int>, theirs array<int>"
 
-def repeated_anchors(spark: SparkSession, source: DataFrame) -> DataFrame:
-    """(uid, place, keeper): anchors of source (uid, text) that stand in an earlier row, the first of them the keeper."""
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            marks = batch.column(1)
+            flat = marks.flatten()
+            uid = np.repeat(batch.column(0).to_numpy(), np.diff(marks.offsets.to_numpy()))
+            place, keeper, kplace = (flat.field(i).to_numpy() for i in range(3))
+            order = np.lexsort((kplace, place, keeper, uid))
+            uid, place, keeper, kplace = uid[order], place[order].astype(np.int64), keeper[order], kplace[order].astype(np.int64)
+            if not len(uid):
+                continue
+            step, kstep = np.diff(place), np.diff(kplace)
+            new = np.r_[True, (np.diff(uid) != 0) | (np.diff(keeper) != 0) | (step > GAP) | (kstep <= 0) | (np.abs(kstep - step) > SHIFT)]
+            first = np.flatnonzero(new)
+            last = np.r_[first[1:], len(uid)] - 1
+            # chains near each other make a run; a run too short for a passage goes
+            begin, end, who = place[first], place[last] + SHINGLE, uid[first]
+            order = np.lexsort((begin, who))
+            begin, end, who, first, last = (x[order] for x in (begin, end, who, first, last))
+            number = np.cumsum(np.r_[0, np.diff(who) != 0]) * (1 << 40)
+            reach = np.maximum.accumulate(end + number)
+            new = np.r_[True, (begin + number)[1:] > reach[:-1] + SHINGLE + WINDOW - 1]
+            run_of = np.cumsum(new) - 1
+            long = (np.maximum.reduceat(end, np.flatnonzero(new)) - begin[new] >= COVERED)[run_of]
+            first, last = first[long], last[long]
+            if not len(first):
+                continue
+            sizes = last - first + 1
+            taken = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+            lo = np.maximum(kplace[first] - GROW, 0) // TILE * TILE
+            hi = -(-(kplace[last] + SHINGLE + GROW) // TILE) * TILE
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x[taken].astype(np.int32))) for x in (place, kplace)]
+            yield pa.RecordBatch.from_arrays([pa.array(uid[first]), pa.array(keeper[first]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), *lists], names=["uid", "keeper", "lo", "hi", "own", "theirs"])
+
+    return collisions.mapInArrow(run, kind)
+
+
+def slices(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(keeper, lo, hi, words): the hashes of the words lo to hi of first documents. wanted: keeper, lo and hi."""
 
-    def find(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in it:
-            for start, texts in batches_of(batch.column(1)):
-                found = [anchors(hasher(t)) for t in texts]
-                at, key = (np.concatenate(x) for x in zip(*found))
-                rows = np.repeat(batch.column(0).slice(start, len(texts)).to_numpy(), [len(a) for a, _ in found])
-                yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "uid": rows, "place": at.astype(np.int32)})
+            for i in range(batch.num_rows):
+                words, own = hasher(batch.column(1)[i].as_py()), batch.column(2)[i].as_py()
+                for at in range(0, len(own), 64):
+                    some = own[at : at + 64]
+                    yield pa.RecordBatch.from_pydict({
+                        "keeper": pa.array([batch.column(0)[i].as_py()] * len(some), pa.int64()), "lo": pa.array([w["lo"] for w in some], pa.int32()),
+                        "hi": pa.array([w["hi"] for w in some], pa.int32()), "words": pa.array([words[w["lo"] : w["hi"]].tobytes() for w in some], pa.binary()),
+                    })
+
+    per_keeper = wanted.distinct().groupBy("keeper").agg(F.collect_list(F.struct("lo", "hi")).alias("own"))
+    return source.join(per_keeper.hint("merge"), source["uid"] == per_keeper["keeper"]).select("keeper", "text", "own").mapInArrow(run, "keeper long, lo int, hi int, words binary")
+
+
+def equal_at(words: np.ndarray, other: np.ndarray, shift: int, begin: int, end: int) -> np.ndarray:
+    """Whether words[i] is other[i + shift], for i from begin to end; False outside of other."""
+    out = np.zeros(end - begin, dtype=bool)
+    a, b = max(begin, -shift), min(end, len(other) - shift)
+    if a < b:
+        out[a - begin : b - begin] = words[a:b] == other[a + shift : b + shift]
+    return out
+
+
+def stretches(words: np.ndarray, other: np.ndarray, own: np.ndarray, theirs: np.ndarray, penalty: float) -> list[tuple[int, int]]:
+    """The stretches of words, along a chain, that score best against other: 1 for an equal word, -penalty for another,
+    and for every word by which the alignment shifts. Each begins and ends with an equal word."""
+    shift = theirs - own
+    turns = np.flatnonzero(np.diff(shift))
+    begin = max(0, int(own[0]) - GROW)
+    score, at, now = [], begin, int(shift[0])
+    for t in turns:
+        a, b, then = int(own[t]), int(own[t + 1]) + SHINGLE, int(shift[t + 1])
+        one, two = equal_at(words, other, now, a, b), equal_at(words, other, then, a, b)
+        split = max(at, a + int((np.r_[0, np.cumsum(one)] + np.r_[np.cumsum(two[::-1])[::-1], 0]).argmax()))
+        score.append(np.where(equal_at(words, other, now, at, split), 1.0, -penalty))
+        if split > at:
+            score[-1][-1] -= penalty * abs(then - now)
+        at, now = split, then
+    score.append(np.where(equal_at(words, other, now, at, max(at, min(len(words), int(own[-1]) + SHINGLE + GROW))), 1.0, -penalty))
+    values = np.concatenate(score)
+    out, todo = [], [(0, len(values))]
+    while todo:
+        a, b = todo.pop()
+        if b - a < STRETCH:
+            continue
+        total = np.r_[0, np.cumsum(values[a:b])]
+        low = np.minimum.accumulate(total)
+        end = int((total - low).argmax())
+        if total[end] - low[end] <= 0:
+            continue
+        first = int(end - total[: end + 1][::-1].argmin())
+        if end - first >= STRETCH:
+            out.append((begin + a + first, begin + a + end))
+            todo += [(a, a + first), (a + end, b)]
+    return out
+
+
+def joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Passages (begin, end, smallest keeper) of stretches that overlap or touch, of LEAST words at least."""
+    out: list[list[int]] = []
+    for a, b, keeper in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1], out[-1][2] = max(out[-1][1], b), min(out[-1][2], keeper)
+        else:
+            out.append([a, b, keeper])
+    return [(a, b, k) for a, b, k in out if b - a >= LEAST]
+
+
+def verify(source: DataFrame, found: DataFrame, penalty: float) -> DataFrame:
+    """(uid, begins, ends, keepers): passages of source as word places. found: uid and parts, a list of chains."""
 
-    rows = source.mapInArrow(find, "key long, uid long, place int")
-    shared = rows.groupBy("key").agg(F.min("uid").alias("keeper"), F.max("uid").alias("last")).where("keeper < last").select("key", "keeper")
-    return save(spark, rows.join(shared, "key").where("uid != keeper").select("uid", "place", "keeper"))
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in it:
+            rows = []
+            for i in range(batch.num_rows):
+                words, spans = hasher(batch.column(1)[i].as_py()), []
+                for part in batch.column(2)[i].as_py():
+                    theirs = np.array(part["theirs"], dtype=np.int64) - part["lo"]
+                    found_here = stretches(words, np.frombuffer(part["words"], np.uint64), np.array(part["own"], dtype=np.int64), theirs, penalty)
+                    spans += [(a, b, part["keeper"]) for a, b in found_here]
+                if passages := joined(spans):
+                    rows.append((batch.column(0)[i].as_py(), *map(list, zip(*passages))))
+            if rows:
+                uid, begins, ends, keepers = zip(*rows)
+                yield pa.RecordBatch.from_pydict({"uid": pa.array(uid, pa.int64()), "begins": pa.array(begins, pa.list_(pa.int32())), "ends": pa.array(ends, pa.list_(pa.int32())), "keepers": pa.array(keepers, pa.list_(pa.int64()))})
+
+    return source.join(found.hint("merge"), "uid").select("uid", "text", "parts").mapInArrow(run, "uid long, begins array<int>, ends array<int>, keepers array<long>")
 
 
 def find_repeats(spark: SparkSession, docs: DataFrame, text_col: str = "text", num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame, str]:
     """What repeats across the rows of docs.
 
-    Returns a saved copy of docs with a row id, the places of repeats, one row for each row that has some (row id,
-    places: anchors' words, numbers: paragraphs, keepers: smallest row id each, in the same order), and the row id's
-    name. Null, empty and short texts have no repeats; a passage that repeats within one row only isn't one. Of
-    repeated rows all but the first are repeats as a whole.
+    Returns a saved copy of docs with a row id, the passages of each row that has some (row id; begins and ends as word
+    numbers; keepers: the smallest row id each is verified against), and the row id's name. Null, empty and short
+    texts have no repeats; a passage that repeats within one row only isn't one. Of repeated rows all but the first
+    are repeats as a whole. Where several earlier rows hold a passage and the first of them a shorter piece of it,
+    up to WINDOW - 1 words may stay at either end.
     """
     copy, rid = number_rows(spark, docs)
     source = copy.select(F.col(rid).alias("uid"), F.col(f"`{text_col}`").alias("text"))
-    near = repeated_paragraphs(spark, source, num, den)
+    marks = save(spark, find_bands(source))
+    shared = marks.groupBy("key").agg(F.min(F.struct("uid", "place")).alias("first"), F.max("uid").alias("last")).where("first.uid < last")
+    firsts = shared.select("key", F.col("first.uid").alias("keeper"), F.col("first.place").alias("kplace"))
+    collisions = marks.join(firsts, "key").where("uid != keeper").groupBy("uid").agg(F.collect_list(F.struct("place", "keeper", "kplace")).alias("marks"))
+    chained = save(spark, chains(collisions))
     release(spark)
-    same = repeated_anchors(spark, source)
+    parts = chained.join(slices(source, chained.select("keeper", "lo", "hi")), ["keeper", "lo", "hi"])
+    found = parts.groupBy("uid").agg(F.collect_list(F.struct("keeper", "lo", "own", "theirs", "words")).alias("parts"))
+    repeats = save(spark, verify(source, found, num / (den - num)))
+    drop_saved(spark, marks, chained)
     release(spark)
-    both = same.select("uid", "place", F.lit(None).cast("int").alias("number"), "keeper").unionAll(near.select("uid", F.lit(None).cast("int"), "number", "keeper"))
-    per_row = both.groupBy("uid").agg(F.collect_list("place").alias("places"), F.collect_list("number").alias("numbers"), F.min("keeper").alias("keeper"))
-    return copy, save(spark, per_row.withColumnRenamed("uid", rid)), rid
+    return copy, repeats.withColumnRenamed("uid", rid), rid
+
+
+def char_spans(text: str, begins: list[int], ends: list[int]) -> list[tuple[int, int]]:
+    """Character spans of runs of words."""
+    words = [m.span() for m in WORD.finditer(text)]
+    return [(words[a][0], words[b - 1][1]) for a, b in zip(begins, ends)]
+
+
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """text without the spans and the white space after each."""
+    parts, at = [], 0
+    for a, b in spans:
+        parts.append(text[at:a])
+        while b < len(text) and text[b] in " \t\n\r\x0b\x0c":
+            b += 1
+        at = b
+    return "".join([*parts, text[at:]])
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", num: int = 80, den: int = 100) -> DataFrame:
@@ -189,9 +272,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, text_col: str = "text", ch
     See find_repeats for what repeats. Rows that lose all their words go; every other row and column stays.
     """
     copy, repeats, rid = find_repeats(spark, docs, text_col, num, den)
-    marks = repeats.select(rid, "places", "numbers")
-    renamed = marks.select(F.col(rid).alias("rid_"), F.struct("places", "numbers").alias("marks_"))
-    joined = copy.join(renamed.hint("merge"), copy[rid] == renamed["rid_"], "left").drop("rid_", rid)
+    other, marks = fresh(copy.columns, "other_id"), fresh(copy.columns, "marks")
+    renamed = repeats.select(F.col(rid).alias(other), F.struct("begins", "ends").alias(marks))
+    joint = copy.join(renamed.hint("merge"), copy[rid] == renamed[other], "left")
     names = docs.columns
     at, end = names.index(text_col), len(names)
 
@@ -203,33 +286,40 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, text_col: str = "text", ch
                 for i, mark in enumerate(part.column(end)):
                     if mark.is_valid and texts[i]:
                         texts[i] = without(texts[i], char_spans(texts[i], *mark.as_py().values()))
-                        keep[i] = bool(texts[i].strip())
+                        keep[i] = bool(WORD.search(texts[i]))
                 columns = [pa.array(texts, pa.string()) if c == at else part.column(c) for c in range(end)]
                 yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    out = joined.select(*[F.col(f"`{c}`") for c in docs.columns], "marks_").mapInArrow(run, docs.schema)
-    return out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else out
+    out = joint.select(*[F.col(f"`{c}`") for c in names], marks).mapInArrow(run, docs.schema)
+    return out.withColumn(chars_col, F.length(F.col(f"`{text_col}`")).cast(docs.schema[chars_col].dataType)) if chars_col in names else out
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100) -> DataFrame:
-    """The spans that cut_repeats cuts: id, id of the first row that a repeat of this row stands in, span and text."""
+    """The spans that cut_repeats cuts, one row each.
+
+    Columns: doc_id, keeper_doc_id (the first row that the passage is verified against), cluster_doc_id (the first row
+    of the component that such links make), start and end (characters), n_words and passage_sha256.
+    """
     slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     copy, repeats, rid = find_repeats(spark, slim, "text", num, den)
     kind = slim.schema["doc_id"].dataType.simpleString()
+    groups = components(spark, repeats.select(F.col(rid).alias("a"), F.explode("keepers").alias("b")))
+    spans_of = f"doc_id {kind}, row_id long, keeper long, start long, end long, n_words long, passage string"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for doc, text, places, numbers, keeper in zip(*(batch.column(i) for i in range(5))):
-                text = text.as_py()
-                spans = char_spans(text, places.as_py(), numbers.as_py())
-                if spans:
-                    out = {"doc_id": pa.array([doc.as_py()] * len(spans), batch.schema.field(0).type), "keeper": pa.array([keeper.as_py()] * len(spans), pa.int64())}
-                    yield pa.RecordBatch.from_pydict(out | {"start": pa.array([a for a, _ in spans], pa.int64()), "end": pa.array([b for _, b in spans], pa.int64()), "passage": [text[a:b] for a, b in spans]})
-
-    joined = copy.join(repeats, rid).select("doc_id", "text", "places", "numbers", "keeper")
-    spans = joined.mapInArrow(run, f"doc_id {kind}, keeper long, start long, end long, passage string")
-    firsts = copy.select(F.col(rid).alias("keeper"), F.col("doc_id").alias("keeper_doc_id"))
-    return spans.join(firsts, "keeper").select("doc_id", "keeper_doc_id", "start", "end", F.size(F.split(F.trim("passage"), "[ \\t\\n\\x0b\\x0c\\r]+")).cast("long").alias("n_words"), F.sha2("passage", 256).alias("passage_sha256"))
+            for row, doc, text, begins, ends, keepers in zip(*(batch.column(i) for i in range(6))):
+                text, begins, ends = text.as_py(), begins.as_py(), ends.as_py()
+                spans = char_spans(text, begins, ends)
+                out = {"doc_id": pa.array([doc.as_py()] * len(spans), batch.schema.field(1).type), "row_id": pa.array([row.as_py()] * len(spans), pa.int64()), "keeper": keepers.values.slice(0, len(spans))}
+                out |= {"start": pa.array([a for a, _ in spans], pa.int64()), "end": pa.array([b for _, b in spans], pa.int64()), "n_words": pa.array([b - a for a, b in zip(begins, ends)], pa.int64())}
+                yield pa.RecordBatch.from_pydict(out | {"passage": [text[a:b] for a, b in spans]})
+
+    spans = copy.join(repeats, rid).select(rid, "doc_id", "text", "begins", "ends", "keepers").mapInArrow(run, spans_of)
+    spans = spans.join(groups.withColumnRenamed("node", "row_id"), "row_id")
+    names = copy.select(F.col(rid).alias("keeper"), F.col("doc_id").alias("keeper_doc_id"))
+    firsts = copy.select(F.col(rid).alias("comp"), F.col("doc_id").alias("cluster_doc_id"))
+    return spans.join(names, "keeper").join(firsts, "comp").select("doc_id", "keeper_doc_id", "cluster_doc_id", "start", "end", "n_words", F.sha2("passage", 256).alias("passage_sha256"))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
