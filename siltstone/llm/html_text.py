@@ -1,23 +1,28 @@
 """Main text of web pages by tag-path ratios.
 
-A page's text nodes are grouped by their path of tags from the root. Each path gets its text length per node and its
-punctuation marks per node; both are smoothed over neighbouring paths in page order and fused, less the share of link
-text; paths of boilerplate elements get nothing. Paths over a share of the best one are content. They select the
-content nodes: all text in the article or main element that they stand in, else that of their own block's parent.
+A page's text nodes are grouped by their path of block tags from the root. Each path gets its text length per node and
+its punctuation marks per node; both are smoothed over neighbouring paths in page order and fused with the share of
+the page's text that the path holds and with the share of it outside of links. Paths over a share of the best one are
+content. The content region is the innermost element that holds most of their text, and the main text all that stands
+in it from the headings before its first content node to its last one.
+
+What HTML itself declares to be no text or no article goes first: scripts, forms, navigation, footers, hidden
+elements. Article elements and class or id names decide nothing; they only weigh on the ratio of a box's path.
 """
 
 from __future__ import annotations
 
 import html
-import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.llm.store import fresh
 from siltstone.llm.words import batches_of
 
 #: Fixed values of HTML: elements by kind.
@@ -26,48 +31,77 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr",), "tbody": ("tr",)}
 RAW = "script|style|noscript|template|iframe|textarea|title|noembed|noframes|xmp|select|svg|math|canvas|object|audio|video"
-#: Elements, roles and words of a class or id that mark text beside the article.
+#: Elements and landmark roles that stand beside the article.
 ASIDE_TAGS = frozenset("head nav header footer aside form button select dialog menu fieldset datalist".split())
-ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
-ASIDE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
-    "comment comments disqus reply replies respond pagination pager toolbar widget".split()
+ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog form menu menubar".split())
+#: Whole names in a class or id, or their beginnings up to a hyphen or underscore, that make a box less likely content.
+BOX_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation breadcrumb breadcrumbs sidebar masthead cookie cookies consent gdpr notice notices "
+    "popup modal newsletter subscribe subscription signup login related recommended comment comments disqus replies pagination pager toolbar widget footer menu".split()
 )
-ROOT_TAGS, ROOT_ROLES, ROOT_WORDS = frozenset(["article", "main"]), frozenset(["main", "article"]), frozenset(["articlebody"])
+ROOT_TAGS, ROOT_ROLES = frozenset(["article", "main"]), frozenset(["main", "article"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold text, not boxes of it: no region begins in them and their names say nothing.
+TEXTS = HEADINGS | frozenset("p li dt dd td th tr pre blockquote figcaption caption address summary".split())
 
 TOKEN = re.compile(rf"<!--.*?(?:--!?>|\Z)|<({RAW})\b[^>]*+>.*?(?:</\1\s*+>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S | re.I)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 MARKS = re.compile(r"[.,;:!?…¿¡。、，！？]")
 #: A path is content from this share of the best path's fused ratio on; weights of the paths before, at and after.
-SHARE, SMOOTH = 0.25, (0.15, 0.7, 0.15)
+SHARE, SMOOTH = 0.1, (0.1, 0.8, 0.1)
+#: What an article element and a box's name weigh on a ratio, and the share of the content that a region holds at least.
+IN_ARTICLE, IN_BOX, REGION = 8.0, 0.05, 0.6
 
 
-def standing(tag: str, attributes: str) -> tuple[str, int]:
-    """The name of an element in a path, and 1 if it holds an article, -1 if it stands beside one, else 0."""
+def standing(tag: str, attributes: str) -> tuple[bool, float]:
+    """Whether an element stands beside the article whatever it holds, and its weight on the ratio of what it holds."""
+    weight = IN_ARTICLE if tag in ROOT_TAGS else 1.0
     if not attributes.strip():
-        return tag, 1 if tag in ROOT_TAGS else -1 if tag in ASIDE_TAGS else 0
+        return tag in ASIDE_TAGS, weight
     found = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in ATTRIBUTE.findall(attributes)}
-    name = ".".join([tag, *sorted(found.get("class", "").split())])
     role = found.get("role", "").lower()
-    words = {w.lower() for w in WORDS.findall(found.get("class", "") + " " + found.get("id", ""))}
-    if tag in ROOT_TAGS or role in ROOT_ROLES or found.get("itemprop", "").lower() in ROOT_WORDS:
-        return name, 1
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I)
-    if tag in ASIDE_TAGS or role in ASIDE_ROLES or hidden or tag not in ("html", "body") and words & ASIDE_WORDS:
-        return name, -1
-    return name, 0
+    if role in ROOT_ROLES:
+        weight = IN_ARTICLE
+    if tag not in TEXTS and tag not in INLINE and tag not in ("html", "body"):
+        names = (found.get("class", "") + " " + found.get("id", "")).lower().split()
+        if any(n in BOX_NAMES or re.split("[-_]", n)[0] in BOX_NAMES for n in names):
+            weight *= IN_BOX
+    return bool(tag in ASIDE_TAGS or role in ASIDE_ROLES or hidden), weight
+
+
+@dataclass
+class Node:
+    """A text node: the path of its block, the block's number, its element, whether it is in a link, and its weight."""
+
+    path: str
+    block: int
+    element: int
+    link: bool
+    weight: float
+    text: str
+
+
+@dataclass
+class Open:
+    """An open element: its tag, block path and number, whether it stands beside the article or in a link, its weight."""
+
+    tag: str
+    path: str
+    element: int
+    aside: bool
+    link: bool
+    weight: float
 
 
 class Page:
-    """Text nodes of a page in order: path, block, article (its number or -1), text; None for a node beside the article."""
+    """Text nodes of a page in order, but for those beside the article, and the tags and parents of its block elements."""
 
     def __init__(self, source: str):
-        self.nodes: list[tuple[str, str, int, int, bool, str]] = []
-        #: tag, path, path of the block, side (below 0: beside the article), number of the article, in a link
-        stack: list[tuple[str, str, str, bool, int, bool]] = [("", "", "", False, -1, False)]
-        block = articles = at = 0
+        self.nodes: list[Node] = []
+        self.tags, self.parents = [""], [-1]
+        stack = [Open("", "", 0, False, False, 1.0)]
+        block = at = 0
         for token in TOKEN.finditer(source):
             if token.start() > at:
                 self._text(source[at : token.start()], stack[-1], block)
@@ -82,8 +116,8 @@ class Page:
                 continue
             block += tag not in INLINE
             if token[2] or token[5]:
-                if any(tag == x[0] for x in reversed(stack)):
-                    while stack.pop()[0] != tag:
+                if any(tag == x.tag for x in reversed(stack)):
+                    while stack.pop().tag != tag:
                         pass
                 continue
             if tag in VOID:
@@ -92,14 +126,16 @@ class Page:
                 self._close(stack, ("p",), ("table", "td", "button"))
             if tag in SIBLINGS:
                 self._close(stack, SIBLINGS[tag], ("ul", "ol", "dl", "table", "menu", "select"))
-            name, kind = standing(tag, token[4] or token[7] or "")
-            above = stack[-1]
-            path = f"{above[1]}/{name}"
-            number = above[4]
-            if kind > 0 and number < 0:
-                number, articles = articles, articles + 1
-            stack.append((tag, path, above[2] if tag in INLINE else path, above[3] or kind < 0, number, above[5] or tag == "a"))
-            if (token[4] or token[7] or "").rstrip().endswith("/") and tag not in CLOSES_P and tag not in INLINE:
+            attributes = token[4] or token[7] or ""
+            aside, weight = standing(tag, attributes)
+            top = stack[-1]
+            if tag in INLINE:
+                stack.append(Open(tag, top.path, top.element, top.aside or aside, top.link or tag == "a", top.weight))
+                continue
+            self.tags.append(tag)
+            self.parents.append(top.element)
+            stack.append(Open(tag, f"{top.path}/{tag}", len(self.tags) - 1, top.aside or aside, top.link, top.weight * weight))
+            if attributes.rstrip().endswith("/") and tag not in CLOSES_P:
                 stack.pop()
         if at < len(source):
             rest = source[at:]
@@ -107,75 +143,109 @@ class Page:
             self._text(rest[: cut.start()] if cut else rest, stack[-1], block)
 
     @staticmethod
-    def _close(stack: list, tags: tuple[str, ...], walls: tuple[str, ...]) -> None:
+    def _close(stack: list[Open], tags: tuple[str, ...], walls: tuple[str, ...]) -> None:
         for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in tags:
+            if stack[i].tag in tags:
                 del stack[i:]
                 return
-            if stack[i][0] in walls or stack[i][0] in CLOSES_P and stack[i][0] not in tags:
+            if stack[i].tag in walls or stack[i].tag in CLOSES_P and stack[i].tag not in tags:
                 return
 
-    def _text(self, text: str, top: tuple, block: int) -> None:
-        if not top[3]:
-            self.nodes.append((top[1], top[2], block, top[4], top[5], html.unescape(text) if "&" in text else text))
+    def _text(self, text: str, top: Open, block: int) -> None:
+        if not top.aside:
+            self.nodes.append(Node(top.path, block, top.element, top.link, top.weight, html.unescape(text) if "&" in text else text))
+
+    def holders(self, element: int) -> Iterator[int]:
+        """The element and all that it stands in, from the innermost on."""
+        while element >= 0:
+            yield element
+            element = self.parents[element]
 
 
-def content_paths(nodes: list[tuple[str, str, int, int, bool, str]]) -> set[str]:
-    """The paths whose fused ratio reaches SHARE of the best one."""
-    sums: dict[str, list[float]] = {}
-    for path, _, _, _, link, text in nodes:
-        n = len(text) - text.count(" ")
+def content_paths(nodes: list[Node]) -> set[tuple[str, float]]:
+    """The paths, each with its weight, whose fused ratio reaches SHARE of the best one."""
+    sums: dict[tuple[str, float], list[float]] = {}
+    blocks: set[tuple[str, float, int]] = set()
+    for node in nodes:
+        n = len("".join(node.text.split()))
         if n:
-            s = sums.setdefault(path, [0, 0, 0, 0])
-            s[0] += 1
+            s = sums.setdefault((node.path, node.weight), [0, 0, 0, 0])
+            if (node.path, node.weight, node.block) not in blocks:
+                blocks.add((node.path, node.weight, node.block))
+                s[0] += 1
             s[1] += n
-            s[2] += len(MARKS.findall(text))
-            s[3] += n if link else 0
+            s[2] += len(MARKS.findall(node.text))
+            s[3] += n if node.link else 0
     paths = list(sums)
     if not paths:
         return set()
-    ratios = [(math.log1p(c / n), math.log1p(m / n), 1 - linked / c) for n, c, m, linked in sums.values()]
+    total = sum(s[1] for s in sums.values())
 
     def smooth(values: list[float]) -> list[float]:
         padded = [values[0], *values, values[-1]]
         return [sum(w * v for w, v in zip(SMOOTH, padded[i : i + 3])) for i in range(len(values))]
 
-    fused = [t * (1 + p) * plain for t, p, plain in zip(smooth([r[0] for r in ratios]), smooth([r[1] for r in ratios]), (r[2] for r in ratios))]
+    length, marks = smooth([c / n for n, c, _, _ in sums.values()]), smooth([m / n for n, _, m, _ in sums.values()])
+    fused = [t * (1 + p) * c / total * (1 - linked / c) * weight for t, p, (_, c, _, linked), (_, weight) in zip(length, marks, sums.values(), paths)]
     best = max(fused)
     return {path for path, f in zip(paths, fused) if f >= SHARE * best}
 
 
+def region(page: Page, content: list[Node]) -> int:
+    """The innermost element, not itself one of TEXTS, that holds the share REGION of the content's weighted text."""
+    held: dict[int, float] = {}
+    for node in content:
+        n = len(node.text) * node.weight
+        for element in page.holders(node.element):
+            held[element] = held.get(element, 0) + n
+    best = 0
+    for element, n in held.items():
+        if n >= REGION * held[0] and page.tags[element] not in TEXTS and element > best:  # inner ones have higher numbers
+            best = element
+    return best
+
+
 def main_text(source: str | None) -> str:
     """The main text of a page: blocks in page order, white space as single spaces; empty for a null or empty page."""
     if not source:
         return ""
-    nodes = Page(source).nodes
-    paths = content_paths(nodes)
-    chosen = {n[3] for n in nodes if n[0] in paths and n[3] >= 0}
-    if chosen:
-        picked = [n for n in nodes if n[3] in chosen]
-    else:
-        parents = {n[1].rpartition("/")[0] for n in nodes if n[0] in paths}
-        picked = [n for n in nodes if n[0] in paths or n[1].rpartition("/")[0] in parents and not n[4]]
+    page = Page(source)
+    paths = content_paths(page.nodes)
+    content = [n for n in page.nodes if (n.path, n.weight) in paths]
+    if not content:
+        return ""
+    inside = region(page, content)
+    nodes = page.nodes
+    within = [i for i, n in enumerate(nodes) if (n.path, n.weight) in paths and n.text.strip() and inside in page.holders(n.element)]
+    if not within:
+        return ""
+    first, last = within[0], within[-1]
+    while last + 1 < len(nodes) and nodes[last + 1].block == nodes[last].block:
+        last += 1
+    while first and (nodes[first - 1].block == nodes[first].block or not nodes[first - 1].text.strip() or page.tags[nodes[first - 1].element] in HEADINGS):
+        first -= 1
+    least = max(n.weight for n in content) * IN_BOX  # a box in the region, named as one, whose path isn't content
     blocks: list[str] = []
-    last = None
-    for _, _, block, _, _, text in picked:
-        if block == last:
-            blocks[-1] += text
+    block = None
+    for n in nodes[first : last + 1]:
+        if n.weight <= least and (n.path, n.weight) not in paths:
+            continue
+        if n.block == block:
+            blocks[-1] += n.text
         else:
-            blocks.append(text)
-            last = block
+            blocks.append(n.text)
+            block = n.block
     return " ".join(" ".join(b.split()) for b in blocks if b.strip())
 
 
 def extract_text(pages: DataFrame, source: str = "html", text: str = "text") -> DataFrame:
     """pages with the main text of each whole page as one more column.
 
-    A null or empty page, and one without text, gives an empty text. Every other column is kept; one of the new
-    column's name is an error. Malformed markup never fails: tags left open end with what encloses them.
+    A null or empty page, and one without text, gives an empty text. Every other column is kept; where pages has one
+    of the new column's name, underscores are put behind the new one's. Malformed markup never fails: tags left open
+    end with what encloses them.
     """
-    if text.lower() in {c.lower() for c in pages.columns}:
-        raise ValueError(f"pages has a column {text}")
+    text = fresh(pages.columns, text)
     at = pages.columns.index(source)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
