@@ -8,6 +8,11 @@ Counts never leave the cluster. Texts are dealt into blocks of bounded size. A b
 and word pair it holds, with its own counts; requests are cut into buckets by the keys' highest bits and packed. Sums
 by key go back to the blocks that asked, in the order they asked. Texts and answers meet again by block, so a frequent
 word costs an entry a block, not one an occurrence.
+
+Requests are summed as a tree. Up to FAN blocks are summed at once; of more, each FAN make a group, whose merged
+requests are cut FAN times finer and summed in the same way, and its answers are dealt back to its members. So a
+request has about as many keys at every level, there are as many requests as the text is long, and no task holds more
+than FAN of them, however large the corpus and however frequent a word.
 """
 
 from __future__ import annotations
@@ -25,11 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.language_id import fold
-from siltstone.llm.store import release, save
+from siltstone.llm.store import rank_in, release, save
 from siltstone.llm.words import MIX, WordHasher, finish
 
-#: Bytes of text in a block (a longer text is a block of its own), and for which there is a bucket of keys.
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 2 << 20
+#: Bytes of text in a block (a longer text is a block of its own).
+BLOCK_BYTES = 8 << 20
+#: Bits of a key that are a block's bucket, and those that a level of the tree adds: blocks summed at once.
+BITS, FAN_BITS = 8, 8
 #: Hashes that stand for the end of a text, a token, and for its beginning, a context only.
 END, START = np.uint64(0x1F83D9ABFB41BD6A), np.uint64(0x5BE0CD19137E2178)
 #: Classes of context frequency (0, then powers of two), and steps of log10 probabilities per unit, with the last step for 0.
@@ -117,7 +124,7 @@ def blocks_of(docs: DataFrame, text: str) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("block_", T.LongType())]))
 
 
-def requests(blocks: DataFrame, bits: int) -> DataFrame:
+def requests(blocks: DataFrame) -> DataFrame:
     """(bucket, block_, asked): each block's sorted distinct keys and counts, cut by the keys' highest bits.
 
     A saved block may be read in several parts, as Spark splits files at row groups; each part then asks on its own.
@@ -129,9 +136,9 @@ def requests(blocks: DataFrame, bits: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             block = Block(*held)
-            bucket = (block.keys >> np.uint64(64 - bits)).astype(np.int64)
+            bucket = (block.keys >> np.uint64(64 - BITS)).astype(np.int64)
             cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
-            asked = [pack(np.diff(block.keys[a:b], prepend=np.uint64(0)), block.n_train[a:b].astype(np.uint32), block.n_deleted[a:b].astype(np.uint32)) for a, b in zip(cuts, cuts[1:])]
+            asked = [packed_request(block.keys[a:b], block.n_train[a:b], block.n_deleted[a:b]) for a, b in zip(cuts, cuts[1:])]
             return pa.RecordBatch.from_pydict({"bucket": bucket[cuts[:-1]], "block_": np.full(len(asked), now), "asked": pa.array(asked, pa.binary())})
 
         for batch in it:
@@ -152,59 +159,113 @@ def requests(blocks: DataFrame, bits: int) -> DataFrame:
     return blocks.select("block_", "text", "train", "deleted").mapInArrow(run, "bucket long, block_ long, asked binary")
 
 
-ANSWERS = "block_ long, bucket long, for_fold boolean, sums binary, n_train long, n_deleted long, v_train long, v_left long"
-
-
-def answers(asked: DataFrame) -> DataFrame:
-    """Sums over all blocks for each block that asked, in the order of its distinct keys, in however many parts it
-    asked; also those of keys in deleted texts alone (for_fold); and totals, without a block. A task holds one bucket
-    at a time."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in ANSWERS.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), *[pa.int64()] * 4]
-        totals = np.zeros(4, np.int64)
-        held: list[tuple[int, bytes]] = []
-        now = None
-
-        def flush() -> pa.RecordBatch:
-            parts = [unpack(blob, np.uint64, np.uint32, np.uint32) for _, blob in held]
-            key, train, deleted = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), *(np.concatenate([p[i] for p in parts]) for i in (1, 2))
-            order = np.argsort(key, kind="stable")
-            starts = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
-            t, d = (np.add.reduceat(x[order].astype(np.int64), starts) for x in (train, deleted))
-            single = (key[order][starts] & np.uint64(1)) == 1
-            totals[:] += [t[single].sum(), d[single].sum(), (t[single] > 0).sum(), (t[single] > d[single]).sum()]
-            back = np.empty(len(key), np.int64)
-            back[order] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(key)]))
-            out, ends = [], np.cumsum([len(p[0]) for p in parts])
-            first = 0
-            for last in range(len(held)):
-                block = held[last][0]
-                if last + 1 < len(held) and held[last + 1][0] == block:
-                    continue
-                span = slice(ends[first] - len(parts[first][0]), ends[last])
-                own, fold_own = back[span], back[span][deleted[span] > 0]
-                if first < last:
-                    own, fold_own = np.unique(own), np.unique(fold_own)
-                out.append((block, now, False, pack(t[own], d[own]), 0, 0, 0, 0))
-                if len(fold_own):
-                    out.append((block, now, True, pack(t[fold_own], d[fold_own]), 0, 0, 0, 0))
-                first = last + 1
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
-
-        for batch in it:
-            for bucket, block, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if held and bucket != now:
-                    yield flush()
-                now = bucket
-                held.append((block, blob))
-        if held:
-            yield flush()
-        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([None, None, False, b"", *totals.tolist()], kinds)], names=names)
-
-    return asked.repartition("bucket").sortWithinPartitions("bucket", "block_").mapInArrow(run, ANSWERS)
+SUMS = "block_ long, bucket long, for_fold boolean, sums binary"
+TOTALS = ["n_train", "n_deleted", "v_train", "v_left"]
+
+
+class Merge:
+    """Sums of requests of one bucket. parts: (asker, packed request) in the order of askers, whose parts follow each
+    other."""
+
+    def __init__(self, parts: list[tuple[int, bytes]]):
+        self.askers = np.array([a for a, _ in parts])
+        found = [unpack(blob, np.uint64, np.int64, np.int64) for _, blob in parts]
+        self.sizes = np.array([len(k) for k, _, _ in found])
+        key = np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _, _ in found])
+        train, deleted = (np.concatenate([f[i] for f in found]) for i in (1, 2))
+        self.held = deleted
+        order = np.argsort(key, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
+        self.keys = key[order][starts]
+        self.train, self.deleted = (np.add.reduceat(x[order], starts) for x in (train, deleted))
+        self.back = np.empty(len(key), np.int64)
+        self.back[order] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(key)]))
+
+    def answers(self, bucket: int, train: np.ndarray, deleted: np.ndarray, fold: bool) -> dict[str, pa.Array]:
+        """The columns SUMS: packed sums in the order of each asker's distinct keys, in however many parts it asked; with
+        ``fold`` also those of its keys in deleted texts alone."""
+        ends = np.cumsum(self.sizes)
+        first = np.flatnonzero(np.r_[True, np.diff(self.askers) != 0])
+        rows = []
+        for a, b in zip(first, np.r_[first[1:], len(self.askers)]):
+            span = slice(ends[a] - self.sizes[a], ends[b - 1])
+            for some in (self.back[span], self.back[span][self.held[span] > 0] if fold else None):
+                if some is not None and len(some):
+                    some = np.unique(some) if b > a + 1 else some
+                    rows.append((int(self.askers[a]), bucket, len(rows) > 0 and rows[-1][0] == int(self.askers[a]), pack(train[some], deleted[some])))
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+        return {name.split()[0]: pa.array(c, k) for name, c, k in zip(SUMS.split(", "), zip(*rows), kinds)}
+
+
+def packed_request(keys: np.ndarray, train: np.ndarray, deleted: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=np.uint64(0)), train.astype(np.int64), deleted.astype(np.int64))
+
+
+def groups_of(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], list[tuple[int, bytes]]]]:
+    """Rows (group, bucket, asker, blob), sorted, as ((group, bucket), [(asker, blob), ...])."""
+    held: list[tuple[int, bytes]] = []
+    now = None
+    for batch in it:
+        for group, bucket, asker, blob in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if held and (group, bucket) != now:
+                yield now, held
+                held = []
+            now = (group, bucket)
+            held.append((asker, blob))
+    if held:
+        yield now, held
+
+
+def sum_requests(spark: SparkSession, asked: DataFrame, blocks: DataFrame, n: int, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+    """Sums over all blocks for each block and bucket of asked (bucket, block_, asked), and a table of totals.
+
+    blocks has each of the ``n`` values of block_. Sums come in the order of the block's distinct keys. The totals, of
+    single tokens, are rows to be added up.
+    """
+    fold = bits == BITS
+    if n <= 1 << FAN_BITS:
+
+        def top(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for (_, bucket), held in groups_of(it):
+                merged = Merge(held)
+                single = (merged.keys & np.uint64(1)) == 1
+                t, d = merged.train[single], merged.deleted[single]
+                out = merged.answers(bucket, merged.train, merged.deleted, fold)
+                rest = [0] * (len(out["block_"]) - 1)
+                counts = {name: pa.array([int(v), *rest], pa.int64()) for name, v in zip(TOTALS, (t.sum(), d.sum(), (t > 0).sum(), (t > d).sum()))}
+                yield pa.RecordBatch.from_pydict(out | counts)
+
+        rows = dealt(asked.select(F.lit(0).cast("long").alias("group"), "bucket", F.col("block_").alias("asker"), F.col("asked").alias("blob")))
+        out = save(spark, rows.mapInArrow(top, SUMS + "".join(f", {name} long" for name in TOTALS)))
+        return out.select("block_", "bucket", "for_fold", "sums"), out.select(*TOTALS)
+    marked, rank = rank_in(spark, blocks.withColumn("all", F.lit(0)), "all", "block_")
+    numbered = save(spark, marked.select("block_", F.shiftright(rank, FAN_BITS).alias("group")))
+    grouped = save(spark, asked.join(numbered, "block_").select("group", "bucket", F.col("block_").alias("asker"), F.col("asked").alias("blob")))
+
+    def merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (group, _), held in groups_of(it):
+            merged = Merge(held)
+            fine = (merged.keys >> np.uint64(64 - bits - FAN_BITS)).astype(np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(fine)) + 1).tolist(), len(fine)]
+            blobs = [packed_request(merged.keys[a:b], merged.train[a:b], merged.deleted[a:b]) for a, b in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_pydict({"bucket": fine[cuts[:-1]], "block_": np.full(len(blobs), group), "asked": pa.array(blobs, pa.binary())})
+
+    above = numbered.select(F.col("group").alias("block_")).distinct()
+    sums, totals = sum_requests(spark, dealt(grouped).mapInArrow(merge, "bucket long, block_ long, asked binary"), above, -(-n >> FAN_BITS), bits + FAN_BITS)
+
+    def split(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, bucket), held in groups_of(it):
+            merged = Merge([x for x in held if x[0] >= 0])
+            train, deleted = (np.concatenate(x) for x in zip(*(unpack(blob, np.int64, np.int64) for asker, blob in held if asker < 0)))
+            yield pa.RecordBatch.from_pydict(merged.answers(bucket, train, deleted, fold))
+
+    # the sums of a group stand before its members' requests, in the order of their finer buckets
+    down = sums.select(F.col("block_").alias("group"), F.shiftright("bucket", FAN_BITS).alias("bucket"), (F.col("bucket") - F.lit(1 << 62)).alias("asker"), F.col("sums").alias("blob"))
+    return save(spark, dealt(grouped.unionAll(down)).mapInArrow(split, SUMS)), totals
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("group", "bucket").sortWithinPartitions("group", "bucket", "asker")
 
 
 def context_class(n: np.ndarray) -> np.ndarray:
@@ -304,13 +365,10 @@ def score_texts(spark: SparkSession, docs: DataFrame, train: str = "train", dele
     """
     slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(train).alias("train"), (F.col(train) & F.col(deleted)).alias("deleted"))
     blocks = save(spark, blocks_of(slim, "text"))
-    size = blocks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(8, (size // BUCKET_BYTES).bit_length())
-    answered = save(spark, answers(requests(blocks, bits)))
+    numbers = save(spark, blocks.select("block_").distinct())
+    packed, totals = sum_requests(spark, requests(blocks), numbers, numbers.count())
     release(spark)
-    sums = answered.agg(*(F.sum(c).alias(c) for c in ("n_train", "n_deleted", "v_train", "v_left"))).first()
-    total, gone, vocabulary, left = (x or 0 for x in sums)
-    packed = answered.where("block_ is not null").select("block_", "bucket", "for_fold", "sums")
+    total, gone, vocabulary, left = (x or 0 for x in totals.agg(*(F.sum(c) for c in TOTALS)).first())
     by = lambda df: df.groupBy("block_")
     counted = by(blocks.where("deleted")).cogroup(by(packed.where("for_fold"))).applyInArrow(events(total - gone), "cls long, p1 long, p2 long, n long")
     #: CLASSES * (ZERO + 1) ** 2 rows at most, whatever the corpus

@@ -99,7 +99,10 @@ def test_language(spark):
     assert {r.doc_id for r in language_id.keep_languages(spark, docs).collect()} == {*range(300), 903}
 
 
-def test_lm_against_brute_force(spark):
+@pytest.mark.parametrize(("block", "fan"), [(8 << 20, 8), (3000, 2)])
+def test_lm_against_brute_force(spark, monkeypatch, block, fan):
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", block)  # small ones: sums by several levels
+    monkeypatch.setattr(lm_score, "FAN_BITS", fan)
     rng = random.Random(4)
     texts = [" ".join(rng.choices([f"W{i}" for i in range(60)], k=rng.randint(0, 40))) for _ in range(200)] + [None, "", "unseen WORDS here", "unseen"]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, block_ string").repartition(5)
@@ -148,7 +151,7 @@ def test_lm_score_of_blocks_over_several_row_groups(spark):
         for k, v in small.items():
             spark.conf.set(k, v)
         blocks = lm_score.save(spark, lm_score.blocks_of(docs, "text"))
-        assert blocks.select("block_").distinct().count() == 1 and lm_score.requests(blocks, 8).where("bucket = 0").count() > 1
+        assert blocks.select("block_").distinct().count() == 1 and lm_score.requests(blocks).where("bucket = 0").count() > 1
         got = {r.doc_id: r for r in lm_score.score_texts(spark, docs).collect()}
     finally:
         for k in small:
