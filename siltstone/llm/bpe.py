@@ -1,11 +1,12 @@
 """BPE encoding and decoding as a bounded-lookahead streaming transducer.
 
 A tokenizer file (word-end BPE over byte symbols) is read once per worker. Text runs through in pieces: added tokens
-are cut out, the rest is normalised, cut into words, and each word's bytes are merged. Words of usual length are
-merged whole and remembered in a bounded store. A longer word streams: from the merge list follows how many symbols
-behind a place can still change the tokens before it (``lookahead``), so tokens further from the end of the buffer
-than that are final and leave it. Memory is constant in the length of text and of words. Decoding is a state machine
-over token bytes that holds back only an unfinished UTF-8 sequence.
+are cut out, the rest is normalised, cut into words, and each word's bytes are merged as they come: from the merge list
+follows how many symbols behind a place can still change the tokens before it (``lookahead``), so tokens further from
+the end of the buffer than that are final and leave it. Memory is constant in the length of text and of words. At
+white space the machine is back in its first state, and so is the one for words at a word's end; so what it makes of a
+chunk or a word between depends on nothing else, and is remembered in a bounded store. Decoding is a state machine over
+token bytes that holds back only an unfinished UTF-8 sequence.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.llm.store import fresh
 from siltstone.llm.words import batches_of
 
 #: White space, and the words of the tokenizer file's split pattern.
@@ -32,8 +34,10 @@ SPACE = "\\t\\n\\x0b\\x0c\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 LETTERS = regex.compile(r"\p{L}+")
 OTHERS = regex.compile(rf"[^{SPACE}\p{{L}}\p{{N}}]+")
-#: Chunks without ASCII white space up to this many bytes are encoded at once and remembered; longer ones stream.
+#: What the machine makes of chunks and words up to this many bytes is remembered.
 USUAL = 1024
+#: Symbols up to which the next merge is found by looking at all of them.
+FEW = 64
 #: Chunks remembered, symbols merged at once beside the lookahead, and bytes of text split at once.
 ROOM, STRIDE, PIECE = 100_000, 4096, 1 << 20
 #: Above any rank.
@@ -118,11 +122,11 @@ class Vocabulary:
                 part = made.get(part)
         return longest
 
-    def word(self, data: bytes) -> list[int]:
-        """Tokens of a whole word of usual length: the pair of least rank is merged, the leftmost first, until none is left."""
-        inner, rank, made = self.inner, self.rank, self.made
-        tokens = [inner[b] for b in data[:-1]]
-        tokens.append(self.last[data[-1]])
+    def tokens(self, symbols: list[int]) -> list[int]:
+        """Tokens of a list of symbols."""
+        if len(symbols) > FEW:
+            return self.merge(symbols)[0]
+        rank, made, tokens = self.rank, self.made, list(symbols)
         ranks = [rank(a << 32 | b, NONE) for a, b in zip(tokens, tokens[1:])]
         while ranks and (least := min(ranks)) < NONE:
             i = ranks.index(least)
@@ -190,7 +194,7 @@ class WordStream:
     def finish(self) -> list[int]:
         if self.held is None:
             return []
-        out, _ = self.v.merge([*self.buffer, self.v.last[self.held]])
+        out = self.v.tokens([*self.buffer, self.v.last[self.held]])
         self.buffer, self.held = [], None
         return out
 
@@ -210,14 +214,20 @@ class ChunkStream:
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.raw, self.tail = vocabulary, "", ""
         self.word, self.run = WordStream(vocabulary), None
+        self.known: dict[str, list[int]] = {}
 
-    def feed(self, piece: str) -> list[int]:
+    def _added(self, piece: str) -> list[int]:
+        """Take in a piece, up to the last added token in it."""
         self.raw += piece
         out: list[int] = []
         while found := self.v.added_pattern.search(self.raw):
             out += self._words(normal(self.raw[: found.start()]), True)
             out.append(self.v.added[found[0]])
             self.raw = self.raw[found.end() :]
+        return out
+
+    def feed(self, piece: str) -> list[int]:
+        out = self._added(piece)
         cut = len(self.raw) - 1
         for token in self.v.added:  # the end may be the beginning of an added token
             for n in range(min(len(token) - 1, len(self.raw)), 0, -1):
@@ -231,11 +241,24 @@ class ChunkStream:
             out += self._words(normal(ready), False)
         return out
 
-    def finish(self) -> list[int]:
-        out = self._words(normal(self.raw), True)
+    def finish(self, piece: str = "") -> list[int]:
+        """The rest, after a last piece; the machine is in its first state again."""
+        out = self._added(piece)
+        out += self._words(normal(self.raw), True)
         self.raw = ""
         return out
 
+    def _whole(self, word: str) -> list[int]:
+        """What the machine for words makes of a whole word."""
+        ids = self.known.get(word)
+        if ids is None:
+            ids = self.word.feed(word.encode()) + self.word.finish()
+            if len(word) <= USUAL:
+                if len(self.known) >= ROOM:
+                    self.known.clear()
+                self.known[word] = ids
+        return ids
+
     def _words(self, text: str, ended: bool) -> list[int]:
         text, out, at = self.tail + text, [], 0
         self.tail = ""
@@ -259,8 +282,7 @@ class ChunkStream:
                     self.run = LETTERS if LETTERS.match(found[0]) else OTHERS
                     out += self.word.feed(found[0].encode())
                     break
-                out += self.word.feed(found[0].encode())
-                out += self.word.finish()
+                out += self._whole(found[0])
         return out
 
 
@@ -270,25 +292,14 @@ class Encoder(dict):
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.v = vocabulary
-        self.words: dict[str, list[int]] = {}
+        self.stream = ChunkStream(vocabulary)
 
     def __missing__(self, chunk: bytes) -> bytes:
-        out: list[int] = []
-        text = chunk.decode("utf-8", "surrogatepass")
-        if len(chunk) <= USUAL and not self.v.added_pattern.search(text):
-            known = self.words
-            for word in WORD.findall(normal(text)):
-                ids = known.get(word)
-                if ids is None:
-                    if len(known) >= ROOM:
-                        known.clear()
-                    ids = known[word] = self.v.word(word.encode())
-                out += ids
-        else:
-            stream = ChunkStream(self.v)
-            for start in range(0, len(text), STRIDE):
-                out += stream.feed(text[start : start + STRIDE])
-            out += stream.finish()
+        text, out, start = chunk.decode("utf-8", "surrogatepass"), [], 0
+        while len(text) - start > STRIDE:
+            out += self.stream.feed(text[start : start + STRIDE])
+            start += STRIDE
+        out += self.stream.finish(text[start:])
         ids = struct.pack(f"<{len(out)}I", *out)
         if len(chunk) <= USUAL:
             if len(self) >= ROOM:
@@ -350,16 +361,14 @@ def load(path: str) -> Vocabulary:
 
 
 def _columns(docs: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    if name.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"docs has a column {name}")
-    return T.StructType([*docs.schema.fields, T.StructField(name, kind)])
+    return T.StructType([*docs.schema.fields, T.StructField(fresh(docs.columns, name), kind)])
 
 
 def encode_texts(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with the ids of each whole text, packed as little-endian unsigned 32-bit integers, as one more column.
 
-    A null or empty text has no ids. Every other column is kept; one of the new column's name is an error. The
-    tokenizer file is read on the executors from ``path``.
+    A null or empty text has no ids. Every other column is kept; where docs has one of the new column's name,
+    underscores are put behind the new one's. The tokenizer file is read on the executors from ``path``.
     """
     schema, at = _columns(docs, ids, T.BinaryType()), docs.columns.index(text)
 
@@ -368,7 +377,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", ids: str = "ids
         for batch in it:
             for start, texts in batches_of(batch.column(at)):
                 part = batch.slice(start, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([known.encode(t) for t in texts], pa.binary())], names=[*batch.schema.names, ids])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([known.encode(t) for t in texts], pa.binary())], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -389,7 +398,7 @@ def decode_ids(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "dec
                         out.append(machine.feed(values[k : k + PIECE].tolist()))
                     texts.append("".join([*out, machine.finish()]))
                 part = batch.slice(start, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, decoded])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -410,8 +419,6 @@ def op5_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
 
 def encode_documents(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:
     """Last pipeline stage: the columns of docs with the packed ids and what they decode to as a text."""
-    from siltstone.llm.store import fresh
-
     path = path or tokenizer_path()
     ids, decoded, n = fresh(docs.columns, "ids"), fresh(docs.columns, "decoded"), fresh(docs.columns, "n_tokens")
     return decode_ids(encode_texts(docs, path, ids=ids), path, ids=ids, decoded=decoded).withColumn(n, (F.octet_length(ids) / 4).cast("long"))
