@@ -3,9 +3,11 @@
 Unit vectors of cosine t or more are at a squared distance of 2 (1 - t) or less. After a fixed random rotation the
 components are split into low-dimensional blocks, each with a share of that budget in proportion to its dimensions; a
 pair within the whole budget is within it in at least one block. Each block is range-joined on a grid over its first
-components whose cells are as wide as the block's budget allows, so only neighbouring cells are compared. Cells are
-cut into chunks, so no task holds an unbounded cell. A pair is verified in the first block that finds it, by its
-cosine in double precision, and what leaves a task is counts and a spanning forest, not pairs.
+components: a vector goes to its own cell and, if its neighbours may stand over an edge of it, to the cell beyond.
+Cells are cut into chunks, so no task holds an unbounded cell. A pair is verified in the first block that finds it, by
+its cosine in double precision, and what leaves a task is counts and a spanning forest, not pairs.
+
+Equal vectors are folded into one with a count first, so a group of copies costs as much as one vector.
 """
 
 from __future__ import annotations
@@ -18,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.store import components, number_rows, release, save
+from siltstone.llm.store import components, drop_saved, number_rows, release, save
 
 BLOCKS, GRID = 8, 2
+#: Width of a cell by the reach of its block's budget.
+WIDE = 3
 #: Rows of a cell compared at once with as many others, and hot cells that may be broadcast.
 CHUNK, FEW = 1024, 50_000
 #: Slack for rounding in squared distances.
@@ -53,8 +57,14 @@ def matrix(column: pa.Array) -> np.ndarray:
 KEY = ["label", "dims", "block", "c0", "c1"]
 
 
+def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows scaled so that squares neither overflow nor vanish, and their norms."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x, np.linalg.norm(x, axis=1)
+
+
 def cells(rows: DataFrame, least: float, vectors: bool) -> DataFrame:
-    """rows (uid, label, dims, v) dealt to the cells of all blocks; home is true in a vector's own cell."""
+    """rows (uid, label, dims, copies, v) dealt to the cells of all blocks; home is true in a vector's own cell."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -62,36 +72,43 @@ def cells(rows: DataFrame, least: float, vectors: bool) -> DataFrame:
             for dims in np.unique(dims_of):
                 for part in range(0, int((dims_of == dims).sum()), 256):
                     some = batch.take(pa.array(np.flatnonzero(dims_of == dims)[part : part + 256]))
-                    x = matrix(some.column(3))
-                    y = x / np.linalg.norm(x, axis=1)[:, None] @ rotation(int(dims))
+                    x, norm = unit(matrix(some.column(4)))
+                    y = x / norm[:, None] @ rotation(int(dims))
                     at, block, c0, c1, home = [], [], [], [], []
                     for b, (own, budget) in enumerate(zip(blocks_of(int(dims)), budgets(int(dims), least))):
-                        cell = np.floor(y[:, own[:GRID]] / np.sqrt(budget)).astype(np.int64)
-                        if cell.shape[1] < GRID:
-                            cell = np.c_[cell, np.zeros(len(cell), np.int64)]
-                        for d0, d1 in FORWARD:
-                            at.append(np.arange(len(x)))
-                            block.append(np.full(len(x), b))
-                            c0.append(cell[:, 0] + d0)
-                            c1.append(cell[:, 1] + d1)
-                            home.append(np.full(len(x), (d0, d1) == (0, 0)))
+                        reach = np.sqrt(budget)
+                        place = y[:, own[:GRID]] / (WIDE * reach)
+                        if place.shape[1] < GRID:
+                            place = np.c_[place, np.full(len(place), 0.5)]
+                        cell = np.floor(place).astype(np.int64)
+                        left, right = place - cell <= 1 / WIDE, cell + 1 - place <= 1 / WIDE
+                        for step in FORWARD:
+                            near = np.ones(len(x), dtype=bool)
+                            for k, d in enumerate(step):
+                                near &= right[:, k] if d > 0 else left[:, k] if d < 0 else True
+                            some_at = np.flatnonzero(near)
+                            at.append(some_at)
+                            block.append(np.full(len(some_at), b))
+                            c0.append(cell[some_at, 0] + step[0])
+                            c1.append(cell[some_at, 1] + step[1])
+                            home.append(np.full(len(some_at), step == (0, 0)))
                     dealt = some.take(pa.array(np.concatenate(at)))
-                    out = [dealt.column(0), dealt.column(1), dealt.column(2), *(pa.array(np.concatenate(z).astype(np.int32)) for z in (block, c0, c1)), pa.array(np.concatenate(home))]
-                    yield pa.RecordBatch.from_arrays([*out, *([dealt.column(3)] if vectors else [])], names=["uid", *KEY, "home", *(["v"] if vectors else [])])
+                    out = [*dealt.columns[:3], *(pa.array(np.concatenate(z).astype(np.int32)) for z in (block, c0, c1)), pa.array(np.concatenate(home))]
+                    yield pa.RecordBatch.from_arrays([*out, *(dealt.columns[3:] if vectors else [])], names=["uid", *KEY, "home", *(["copies", "v"] if vectors else [])])
 
     kind = rows.schema["v"].dataType.simpleString()
     label = rows.schema["label"].dataType.simpleString()
-    return rows.select("uid", "label", "dims", "v").mapInArrow(run, f"uid long, label {label}, dims int, block int, c0 int, c1 int, home boolean" + (f", v {kind}" if vectors else ""))
+    return rows.select("uid", "label", "dims", "copies", "v").mapInArrow(run, f"uid long, label {label}, dims int, block int, c0 int, c1 int, home boolean" + (f", copies long, v {kind}" if vectors else ""))
 
 
 def compare_chunks(least: float):
-    """Links between the rows of two chunks of a cell: counts as (uid, null, n) and a spanning forest as (a, b, null)."""
+    """Links between the rows of two chunks of a cell: counts of the vectors they stand for as (uid, null, n) and a
+    spanning forest as (a, b, null)."""
 
     def run(table: pa.Table) -> pa.Table:
-        first, home, uid = (table.column(c).to_numpy(zero_copy_only=False) for c in ("first", "home", "uid"))
+        first, home, uid, copies = (table.column(c).to_numpy(zero_copy_only=False) for c in ("first", "home", "uid", "copies"))
         dims, block = table.column("dims")[0].as_py(), table.column("block")[0].as_py()
-        x = matrix(table.column("v").combine_chunks())
-        norm = np.linalg.norm(x, axis=1)
+        x, norm = unit(matrix(table.column("v").combine_chunks()))
         y = x / norm[:, None] @ rotation(dims)
         own, budget = blocks_of(dims), budgets(dims, least)
         one = np.flatnonzero(first)
@@ -119,8 +136,8 @@ def compare_chunks(least: float):
                 keep = gap[:, own[before]].sum(1) > budget[before] + SLACK
                 j, gap = j[keep], gap[keep]
             j = j[(x[j] * x[one[i]]).sum(1) / (norm[j] * norm[one[i]]) >= least]
-            counts[one[i]] += len(j)
-            counts[j] += 1
+            counts[one[i]] += copies[j].sum()
+            counts[j] += copies[one[i]]
             for k in j:
                 r, s = find(one[i]), find(k)
                 if r != s:
@@ -147,23 +164,27 @@ def near_vectors(spark: SparkSession, table: DataFrame, id_col: str = "vec_id",
     copy, rid = number_rows(spark, slim)
     sound = "label is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(v, x -> x != 0)"
     rows = copy.where(sound).select(F.col(rid).alias("uid"), "label", F.size("v").alias("dims"), "v")
-    sizes = cells(rows, least, False).groupBy(*KEY).agg(F.count("*").alias("size"))
+    classes = save(spark, rows.groupBy("label", "dims", "v").agg(F.min("uid").alias("uid"), F.count("*").alias("copies")))
+    many = classes.where("copies > 1").select(F.xxhash64("label", "v").alias("h"), F.col("label").alias("l"), F.col("v").alias("w"), F.col("uid").alias("head"), "copies")
+    twins = save(spark, rows.withColumn("h", F.xxhash64("label", "v")).join(many, "h").where("label = l and v = w").select(F.col("uid").alias("twin"), "head", "copies"))
+    sizes = cells(classes, least, False).groupBy(*KEY).agg(F.count("*").alias("size"))
     hot = save(spark, sizes.where(F.col("size") > CHUNK))
     few = hot.count() <= FEW
-    dealt = cells(rows, least, True).join(F.broadcast(hot) if few else hot, KEY, "left")
+    dealt = cells(classes, least, True).join(F.broadcast(hot) if few else hot, KEY, "left")
     chunked = dealt.withColumn("chunks", F.ceil(F.coalesce("size", F.lit(1)) / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("uid"), F.col("chunks")).cast("int"))
     spread = chunked.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    keyed = spread.select(*KEY, "uid", "home", "v", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), (F.col("chunk") <= F.col("with")).alias("first"))
+    keyed = spread.select(*KEY, "uid", "home", "copies", "v", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), (F.col("chunk") <= F.col("with")).alias("first"))
     found = save(spark, keyed.groupBy(*KEY, "i", "j").applyInArrow(compare_chunks(least), "a long, b long, n long"))
     release(spark)
-    counts = found.where("b is null").groupBy(F.col("a").alias(rid)).agg(F.sum("n").alias("n_links"))
+    counts = found.where("b is null").groupBy(F.col("a").alias("head")).agg(F.sum("n").alias("n"))
     groups = components(spark, found.where("b is not null").select("a", "b"))
-    placed = save(spark, copy.select(rid, "id").join(counts, rid, "left").join(groups.withColumnRenamed("node", rid), rid, "left"))
-    smallest = placed.where("comp is not null").groupBy("comp").agg(F.min("id").alias("smallest"))
-    return placed.join(smallest, "comp", "left").select(
-        "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("smallest")).alias("component_id"), F.col("comp").isNotNull().alias("linked"),
-    )
+    stood = copy.select(rid, "id").join(twins.withColumnRenamed("twin", rid), rid, "left").withColumn("head", F.coalesce("head", rid))
+    placed = stood.join(counts, "head", "left").join(groups.withColumnRenamed("node", "head"), "head", "left")
+    placed = save(spark, placed.select("id", (F.coalesce("n", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"), F.coalesce("comp", "head").alias("comp")))
+    smallest = placed.where("n_links > 0").groupBy("comp").agg(F.min("id").alias("smallest"))
+    out = placed.join(smallest, "comp", "left").select("id", "n_links", F.when(F.col("n_links") == 0, F.col("id")).otherwise(F.col("smallest")).alias("component_id"), (F.col("n_links") > 0).alias("linked"))
+    drop_saved(spark, classes, twins, hot, found)
+    return out
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

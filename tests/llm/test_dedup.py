@@ -89,6 +89,11 @@ def test_rank_in(spark):
         assert sorted(r[rank] for r in got if r.k == k) == list(range(sum(r.k == k for r in got)))
 
 
+def cosine(a, b):
+    a, b = ([x / max(map(abs, v)) for x in v] for v in (a, b))
+    return sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5)
+
+
 @pytest.mark.parametrize("chunk", [1024, 16])
 def test_vectors_against_all_pairs(spark, monkeypatch, chunk):
     import numpy as np
@@ -100,7 +105,7 @@ def test_vectors_against_all_pairs(spark, monkeypatch, chunk):
         for _ in range(12):
             base = rng.standard_normal(16)
             rows += [(label, (base + rng.standard_normal(16) * s).tolist()) for s in rng.uniform(0.05, 0.45, rng.integers(1, 12))]
-    rows += [(0, rows[0][1]), (None, rows[0][1]), (0, None), (0, [0.0] * 16), (0, [float("nan")] * 16), (0, [1.0, None]), (0, []), (0, [3.0]), (0, [2.0]), (1, [1.0, 0.0]), (1, [2.0, 0.0])]
+    rows += [(0, rows[0][1]), (None, rows[0][1]), (0, None), (0, [0.0] * 16), (0, [float("nan")] * 16), (0, [1.0, None]), (0, []), (0, [3.0]), (0, [2.0]), (1, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [1e200, 1e200]), (1, [1e-200, 1e-200]), (1, [1e-200, 1.1e-200]), (1, [-0.0, 1.0]), (1, [0.0, 1.0])] + [(0, rows[3][1])] * 30
     table = spark.createDataFrame([(i, label, v) for i, (label, v) in enumerate(rows)], "vec_id long, label int, embedding array<double>")
     got = {r.id: r for r in embedding_dedup.near_vectors(spark, table).collect()}
     links = {i: set() for i in range(len(rows))}
@@ -108,13 +113,41 @@ def test_vectors_against_all_pairs(spark, monkeypatch, chunk):
     for i in good:
         for j in good:
             a, b = rows[i], rows[j]
-            if i != j and a[0] == b[0] and len(a[1]) == len(b[1]) and np.dot(a[1], b[1]) / (np.linalg.norm(a[1]) * np.linalg.norm(b[1])) >= 0.93:
+            if i != j and a[0] == b[0] and len(a[1]) == len(b[1]) and cosine(a[1], b[1]) >= 0.93:
                 links[i].add(j)
     want = union_find(range(len(rows)), [(i, j) for i, js in links.items() for j in js])
     assert {i: (r.n_links, r.component_id) for i, r in got.items()} == {i: (len(links[i]), want[i]) for i in links}
     assert embedding_dedup.near_vectors(spark, table.limit(0)).count() == 0
 
 
+def test_op6_on_links_at_above_and_below_the_threshold(spark, tmp_path):
+    """A table as the registered query reads it; the test tables hold no pair near the threshold."""
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for k in range(60):
+        u = rng.standard_normal(64)
+        u /= np.linalg.norm(u)
+        w = rng.standard_normal(64)
+        w -= w @ u * u
+        w /= np.linalg.norm(w)
+        target = 0.93 + (-1) ** k * [1e-6, 1e-4, 0.02][k % 3]
+        pair = [u.astype(np.float32), (target * u + np.sqrt(1 - target**2) * w).astype(np.float32)]
+        label = k % 4
+        rows += [(2 * k + i, v.tolist(), label) for i, v in enumerate(pair)]
+        linked = cosine(*(v.astype(float).tolist() for v in pair)) >= 0.93
+        assert linked == (k % 2 == 0)
+        want |= {2 * k: (int(linked), 2 * k, True), 2 * k + 1: (int(linked), 2 * k if linked else 2 * k + 1, not linked)}
+    rows += [(1000 + i, [1.0] + [0.0] * 63, 9) for i in range(40)] + [(2000, [2.0] + [0.0] * 63, 9), (2001, [1.0] + [0.0] * 63, 8)]
+    want |= {1000 + i: (40, 1000, i == 0) for i in range(40)} | {2000: (40, 1000, False), 2001: (0, 2001, True)}
+    edge = [0.93, (1 - 0.93**2) ** 0.5] + [0.0] * 62  # at the threshold
+    spark.createDataFrame([*rows, (3000, edge, 7), (3001, [1.0] + [0.0] * 63, 7)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.op6_embedding_dedup(spark, str(tmp_path)).collect()}
+    at = cosine(np.array(edge, np.float32).astype(float).tolist(), [1.0] + [0.0] * 63) >= 0.93
+    assert got == want | {3000: (int(at), 3000, True), 3001: (int(at), 3000 if at else 3001, not at)}
+
+
 def text_of(rng, n):
     out = []
     while len(out) < n:
