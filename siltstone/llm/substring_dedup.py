@@ -15,6 +15,7 @@ documents are clustered by connected components. In every link the document with
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ from siltstone.llm.store import components, drop_saved, fresh, number_rows, rele
 from siltstone.llm.words import MIX, WordHasher, batches_of, finish
 
 #: Words of a passage that is cut, of a verified stretch of it, of a shingle, and shingles in a window; powers of two.
-LEAST, STRETCH, SHINGLE, WINDOW = 50, 25, 8, 8
+LEAST, STRETCH, SHINGLE, WINDOW = 50, 25, 8, 16
 #: Words between collisions of one chain at most, words that they may shift by, and words looked at beyond a chain:
 #: enough to find a passage of LEAST words round one collision, where others collide with still earlier documents.
 GAP, SHIFT, GROW = 48, 8, 64
@@ -108,9 +109,14 @@ def chains(collisions: DataFrame) -> DataFrame:
             last = np.r_[first[1:], len(uid)] - 1
             # chains near each other make a run; a run too short for a passage goes
             begin, end, who = place[first], place[last] + SHINGLE, uid[first]
-            order = np.lexsort((begin, who))
+            order = np.lexsort((-end, begin, who))
             begin, end, who, first, last = (x[order] for x in (begin, end, who, first, last))
             number = np.cumsum(np.r_[0, np.diff(who) != 0]) * (1 << 40)
+            # a chain within a long and dense one is left to that one
+            broad = (end - begin >= LEAST) & ((last - first + 1) * 2 * WINDOW >= end - begin)
+            over = np.r_[-1, np.maximum.accumulate(np.where(broad, end + number, -1))[:-1]]
+            keep = end + number > over
+            begin, end, number, first, last = (x[keep] for x in (begin, end, number, first, last))
             reach = np.maximum.accumulate(end + number)
             new = np.r_[True, (begin + number)[1:] > reach[:-1] + SHINGLE + WINDOW - 1]
             run_of = np.cumsum(new) - 1
@@ -202,57 +208,38 @@ def joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return [(a, b, k) for a, b, k in out if b - a >= LEAST]
 
 
-def verify(source: DataFrame, found: DataFrame, penalty: float) -> DataFrame:
-    """(uid, begins, ends, keepers): passages of source as word places. found: uid and parts, a list of chains."""
+def passages_of(words: np.ndarray, parts: list[dict] | None, penalty: float) -> list[tuple[int, int, int]]:
+    """Passages (begin, end, keeper) of a text's words, from its chains with their keepers' words."""
+    spans = []
+    for part in parts or ():
+        theirs = np.array(part["theirs"], dtype=np.int64) - part["lo"]
+        found = stretches(words, np.frombuffer(part["words"], np.uint64), np.array(part["own"], dtype=np.int64), theirs, penalty)
+        spans += [(a, b, part["keeper"]) for a, b in found]
+    return joined(spans)
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-        for batch in it:
-            rows = []
-            for i in range(batch.num_rows):
-                words, spans = hasher(batch.column(1)[i].as_py()), []
-                for part in batch.column(2)[i].as_py():
-                    theirs = np.array(part["theirs"], dtype=np.int64) - part["lo"]
-                    found_here = stretches(words, np.frombuffer(part["words"], np.uint64), np.array(part["own"], dtype=np.int64), theirs, penalty)
-                    spans += [(a, b, part["keeper"]) for a, b in found_here]
-                if passages := joined(spans):
-                    rows.append((batch.column(0)[i].as_py(), *map(list, zip(*passages))))
-            if rows:
-                uid, begins, ends, keepers = zip(*rows)
-                yield pa.RecordBatch.from_pydict({"uid": pa.array(uid, pa.int64()), "begins": pa.array(begins, pa.list_(pa.int32())), "ends": pa.array(ends, pa.list_(pa.int32())), "keepers": pa.array(keepers, pa.list_(pa.int64()))})
-
-    return source.join(found.hint("merge"), "uid").select("uid", "text", "parts").mapInArrow(run, "uid long, begins array<int>, ends array<int>, keepers array<long>")
-
-
-def find_repeats(spark: SparkSession, docs: DataFrame, text_col: str = "text", num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame, str]:
-    """What repeats across the rows of docs.
 
-    Returns a saved copy of docs with a row id, the passages of each row that has some (row id; begins and ends as word
-    numbers; keepers: the smallest row id each is verified against), and the row id's name. Null, empty and short
-    texts have no repeats; a passage that repeats within one row only isn't one. Of repeated rows all but the first
-    are repeats as a whole. Where several earlier rows hold a passage and the first of them a shorter piece of it,
-    up to WINDOW - 1 words may stay at either end.
-    """
+def candidates(spark: SparkSession, docs: DataFrame, text_col: str) -> tuple[DataFrame, str, DataFrame]:
+    """A saved copy of docs with a row id, the id's name, and the rows with chains: uid and parts, a list of chains with
+    the words to verify them on. The joins are all by sorting: their sides grow with the documents."""
     copy, rid = number_rows(spark, docs)
     source = copy.select(F.col(rid).alias("uid"), F.col(f"`{text_col}`").alias("text"))
     marks = save(spark, find_bands(source))
     shared = marks.groupBy("key").agg(F.min(F.struct("uid", "place")).alias("first"), F.max("uid").alias("last")).where("first.uid < last")
     firsts = shared.select("key", F.col("first.uid").alias("keeper"), F.col("first.place").alias("kplace"))
-    collisions = marks.join(firsts, "key").where("uid != keeper").groupBy("uid").agg(F.collect_list(F.struct("place", "keeper", "kplace")).alias("marks"))
+    collisions = marks.join(firsts.hint("merge"), "key").where("uid != keeper").groupBy("uid").agg(F.collect_list(F.struct("place", "keeper", "kplace")).alias("marks"))
     chained = save(spark, chains(collisions))
+    drop_saved(spark, marks)
     release(spark)
-    parts = chained.join(slices(source, chained.select("keeper", "lo", "hi")), ["keeper", "lo", "hi"])
-    found = parts.groupBy("uid").agg(F.collect_list(F.struct("keeper", "lo", "own", "theirs", "words")).alias("parts"))
-    repeats = save(spark, verify(source, found, num / (den - num)))
-    drop_saved(spark, marks, chained)
+    sliced = save(spark, slices(source, chained.select("keeper", "lo", "hi")))
     release(spark)
-    return copy, repeats.withColumnRenamed("uid", rid), rid
+    parts = chained.join(sliced.hint("merge"), ["keeper", "lo", "hi"])
+    return copy, rid, parts.groupBy("uid").agg(F.collect_list(F.struct("keeper", "lo", "own", "theirs", "words")).alias("parts"))
 
 
-def char_spans(text: str, begins: list[int], ends: list[int]) -> list[tuple[int, int]]:
-    """Character spans of runs of words."""
+def char_spans(text: str, passages: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Character spans of passages of words."""
     words = [m.span() for m in WORD.finditer(text)]
-    return [(words[a][0], words[b - 1][1]) for a, b in zip(begins, ends)]
+    return [(words[a][0], words[b - 1][1]) for a, b, _ in passages]
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -269,31 +256,40 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 def cut_repeats(spark: SparkSession, docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", num: int = 80, den: int = 100) -> DataFrame:
     """docs with repeated passages cut from the text, and the count of characters, if there is such a column, renewed.
 
-    See find_repeats for what repeats. Rows that lose all their words go; every other row and column stays.
+    Null, empty and short texts have no repeats; a passage that repeats within one row only isn't one. Of repeated rows
+    all but the first are repeats as a whole. Where several earlier rows hold a passage and the first of them a shorter
+    piece of it, up to WINDOW - 1 words may stay at either end. Rows that lose all their words go; every other row and
+    column stays.
     """
-    copy, repeats, rid = find_repeats(spark, docs, text_col, num, den)
-    other, marks = fresh(copy.columns, "other_id"), fresh(copy.columns, "marks")
-    renamed = repeats.select(F.col(rid).alias(other), F.struct("begins", "ends").alias(marks))
+    copy, rid, found = candidates(spark, docs, text_col)
+    names, penalty = docs.columns, num / (den - num)
+    other, parts = fresh(copy.columns, "other_id"), fresh(copy.columns, "parts")
+    renamed = found.select(F.col("uid").alias(other), F.col("parts").alias(parts))
     joint = copy.join(renamed.hint("merge"), copy[rid] == renamed[other], "left")
-    names = docs.columns
     at, end = names.index(text_col), len(names)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
         for batch in it:
             for start, texts in batches_of(batch.column(at)):
                 part = batch.slice(start, len(texts))
                 keep = [True] * len(texts)
-                for i, mark in enumerate(part.column(end)):
-                    if mark.is_valid and texts[i]:
-                        texts[i] = without(texts[i], char_spans(texts[i], *mark.as_py().values()))
-                        keep[i] = bool(WORD.search(texts[i]))
+                for i, chain in enumerate(part.column(end)):
+                    if chain.is_valid and texts[i]:
+                        passages = passages_of(hasher(texts[i]), chain.as_py(), penalty)
+                        if passages:
+                            texts[i] = without(texts[i], char_spans(texts[i], passages))
+                            keep[i] = bool(WORD.search(texts[i]))
                 columns = [pa.array(texts, pa.string()) if c == at else part.column(c) for c in range(end)]
                 yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    out = joint.select(*[F.col(f"`{c}`") for c in names], marks).mapInArrow(run, docs.schema)
+    out = joint.select(*[F.col(f"`{c}`") for c in names], parts).mapInArrow(run, docs.schema)
     return out.withColumn(chars_col, F.length(F.col(f"`{text_col}`")).cast(docs.schema[chars_col].dataType)) if chars_col in names else out
 
 
+SPANS = {"row": pa.int64(), "keeper": pa.int64(), "start": pa.int64(), "end": pa.int64(), "n_words": pa.int64(), "passage_sha256": pa.string()}
+
+
 def repeated_spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100) -> DataFrame:
     """The spans that cut_repeats cuts, one row each.
 
@@ -301,25 +297,32 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     of the component that such links make), start and end (characters), n_words and passage_sha256.
     """
     slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    copy, repeats, rid = find_repeats(spark, slim, "text", num, den)
-    kind = slim.schema["doc_id"].dataType.simpleString()
-    groups = components(spark, repeats.select(F.col(rid).alias("a"), F.explode("keepers").alias("b")))
-    spans_of = f"doc_id {kind}, row_id long, keeper long, start long, end long, n_words long, passage string"
+    copy, rid, found = candidates(spark, slim, "text")
+    penalty = num / (den - num)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
         for batch in it:
-            for row, doc, text, begins, ends, keepers in zip(*(batch.column(i) for i in range(6))):
-                text, begins, ends = text.as_py(), begins.as_py(), ends.as_py()
-                spans = char_spans(text, begins, ends)
-                out = {"doc_id": pa.array([doc.as_py()] * len(spans), batch.schema.field(1).type), "row_id": pa.array([row.as_py()] * len(spans), pa.int64()), "keeper": keepers.values.slice(0, len(spans))}
-                out |= {"start": pa.array([a for a, _ in spans], pa.int64()), "end": pa.array([b for _, b in spans], pa.int64()), "n_words": pa.array([b - a for a, b in zip(begins, ends)], pa.int64())}
-                yield pa.RecordBatch.from_pydict(out | {"passage": [text[a:b] for a, b in spans]})
-
-    spans = copy.join(repeats, rid).select(rid, "doc_id", "text", "begins", "ends", "keepers").mapInArrow(run, spans_of)
-    spans = spans.join(groups.withColumnRenamed("node", "row_id"), "row_id")
-    names = copy.select(F.col(rid).alias("keeper"), F.col("doc_id").alias("keeper_doc_id"))
-    firsts = copy.select(F.col(rid).alias("comp"), F.col("doc_id").alias("cluster_doc_id"))
-    return spans.join(names, "keeper").join(firsts, "comp").select("doc_id", "keeper_doc_id", "cluster_doc_id", "start", "end", "n_words", F.sha2("passage", 256).alias("passage_sha256"))
+            rows = []
+            for uid, text, parts in zip(*(batch.column(i) for i in range(3))):
+                text = text.as_py()
+                passages = passages_of(hasher(text), parts.as_py(), penalty)
+                if passages:
+                    for (a, b, keeper), (start, end) in zip(passages, char_spans(text, passages)):
+                        rows.append((uid.as_py(), keeper, start, end, b - a, hashlib.sha256(text[start:end].encode("utf-8", "surrogatepass")).hexdigest()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), SPANS.values())], names=list(SPANS))
+
+    source = copy.select(F.col(rid).alias("uid"), "text")
+    kinds = ", ".join(f"{name} {'long' if kind == pa.int64() else 'string'}" for name, kind in SPANS.items())
+    spans = save(spark, source.join(found.hint("merge"), "uid").select("uid", "text", "parts").mapInArrow(run, kinds))
+    release(spark)
+    groups = components(spark, spans.select(F.col("row").alias("a"), F.col("keeper").alias("b")))
+    ids = copy.select(F.col(rid).alias("id"), "doc_id")
+    out = spans.join(groups.withColumnRenamed("node", "row"), "row")
+    for column, name in (("row", "doc_id"), ("keeper", "keeper_doc_id"), ("comp", "cluster_doc_id")):
+        out = out.join(ids.select(F.col("id").alias(column), F.col("doc_id").alias(name)), column)
+    return out.select("doc_id", "keeper_doc_id", "cluster_doc_id", "start", "end", "n_words", "passage_sha256")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

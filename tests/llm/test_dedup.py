@@ -162,7 +162,8 @@ def test_repeated_passages_are_cut_once(spark):
     paragraph = text_of(rng, 70)
     edited = paragraph.replace(paragraph.split()[30], "other")
     texts = [text_of(rng, 120) + (" " if i % 2 else "\n") + (passage if i < 5 else short if i < 9 else "") + " " + text_of(rng, 90) for i in range(12)]
-    texts += [text_of(rng, 80) + "\n" + paragraph, text_of(rng, 80) + "\n" + edited, None, "", "few words", "few words"]
+    # different words before the paragraph, as an equal one would belong to what repeats
+    texts += [text_of(rng, 80) + " One.\n" + paragraph, text_of(rng, 80) + " Two.\n" + edited, None, "", "few words", "few words"]
     docs = spark.createDataFrame([(i, t, len(t or ""), "a") for i, t in enumerate(texts)], "doc_id long, text string, n_chars long, row_id string").coalesce(1)
     out = {r.doc_id: r for r in substring_dedup.cut_repeats(spark, docs).collect()}
     assert len(out) == len(texts)
