@@ -86,8 +86,8 @@ def find_bands(source: DataFrame) -> DataFrame:
 
 
 def chains(collisions: DataFrame) -> DataFrame:
-    """(uid, keeper, lo, hi, own, theirs): chains of collisions that may be part of a passage, with their places in
-    both texts, and the slice of the keeper's words to verify them on.
+    """(uid, keeper, lo, hi, own, theirs): chains of collisions that may be part of a passage, with the places in both
+    texts of their ends and shifts, and the slice of the keeper's words to verify them on.
 
     collisions: uid and marks, a list of (place, keeper, kplace). All lists of a batch are worked on at once.
     """
@@ -124,8 +124,14 @@ def chains(collisions: DataFrame) -> DataFrame:
             first, last = first[long], last[long]
             if not len(first):
                 continue
+            # of each chain its ends and the places where it shifts
             sizes = last - first + 1
             taken = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            turn = np.diff((kplace - place)[taken]) != 0
+            kept = np.r_[turn, False] | np.r_[False, turn]
+            kept[np.cumsum(sizes) - sizes] = kept[np.cumsum(sizes) - 1] = True
+            sizes = np.add.reduceat(kept.astype(np.int64), np.cumsum(sizes) - sizes)
+            taken = taken[kept]
             offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
             lo = np.maximum(kplace[first] - GROW, 0) // TILE * TILE
             hi = -(-(kplace[last] + SHINGLE + GROW) // TILE) * TILE
@@ -135,14 +141,18 @@ def chains(collisions: DataFrame) -> DataFrame:
     return collisions.mapInArrow(run, kind)
 
 
+def short(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(32)).astype(np.uint32)
+
+
 def slices(source: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(keeper, lo, hi, words): the hashes of the words lo to hi of first documents. wanted: keeper, lo and hi."""
+    """(keeper, lo, hi, words): 32 bits of each word lo to hi of first documents. wanted: keeper, lo and hi."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in it:
             for i in range(batch.num_rows):
-                words, own = hasher(batch.column(1)[i].as_py()), batch.column(2)[i].as_py()
+                words, own = short(hasher(batch.column(1)[i].as_py())), batch.column(2)[i].as_py()
                 for at in range(0, len(own), 64):
                     some = own[at : at + 64]
                     yield pa.RecordBatch.from_pydict({
@@ -210,10 +220,10 @@ def joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 
 def passages_of(words: np.ndarray, parts: list[dict] | None, penalty: float) -> list[tuple[int, int, int]]:
     """Passages (begin, end, keeper) of a text's words, from its chains with their keepers' words."""
-    spans = []
+    words, spans = short(words), []
     for part in parts or ():
         theirs = np.array(part["theirs"], dtype=np.int64) - part["lo"]
-        found = stretches(words, np.frombuffer(part["words"], np.uint64), np.array(part["own"], dtype=np.int64), theirs, penalty)
+        found = stretches(words, np.frombuffer(part["words"], np.uint32), np.array(part["own"], dtype=np.int64), theirs, penalty)
         spans += [(a, b, part["keeper"]) for a, b in found]
     return joined(spans)
 
