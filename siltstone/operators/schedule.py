@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -64,11 +65,38 @@ def without_document(schedules: DataFrame, doc_id: str) -> tuple[DataFrame, int]
     return schedules.where(~gone), schedules.where(gone).count()
 
 
+#: Functions that reach beyond the rows: Java code, files, the session.
+UNSAFE = frozenset("reflect java_method try_reflect read_files input_file_name current_user session_user current_catalog current_schema current_database version".split())
+
+
 def run_select(spark: SparkSession, sql: str, **views: DataFrame) -> DataFrame:
-    """The result of one SELECT over the given views; anything else is refused."""
-    if not re.match(r"(?is)^\s*(select|with)\b", sql) or ";" in sql.rstrip().rstrip(";") or re.search(r"(?i)\b(insert|update|delete|drop|create|alter|truncate|merge|cache|set)\s", sql):
+    """The result of one SELECT over the given views; anything else is refused.
+
+    The statement is parsed, not searched for words: its plan must be a query, all its relations given views or its own
+    common table expressions, and its functions none of UNSAFE.
+    """
+    statement = sql.strip().rstrip(";").strip()
+    names = {k: f"view_{uuid.uuid4().hex}" for k in views}
+    for k, name in names.items():
+        statement = re.sub(r"\{" + re.escape(k) + r"\}", name, statement)
+    parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
+    tree = parsed.treeString()
+    if not re.match(r"(?is)(select|with)\b", statement) or re.search(r"(?m)^\W*(Insert\w*|Create\w*|Drop\w*|Set\w*Command|UnresolvedTableValuedFunction)\b", tree):
         raise ValueError("only one SELECT is allowed")
-    return spark.sql(sql.rstrip().rstrip(";"), **views)
+    own = {x.lower() for x in re.findall(r"(?m)CTE \[([^\]]*)\]", tree) for x in x.split(", ")}
+    relations = {x.lower() for x in re.findall(r"'UnresolvedRelation \[([^\]]*)\]", tree)}
+    functions = {x.lower() for x in re.findall(r"'(?:\w+\.)*(\w+)\(", tree)}
+    if beyond := relations - own - {n.lower() for n in names.values()}:
+        raise ValueError(f"no such view: {', '.join(sorted(beyond))}")
+    if functions & UNSAFE:
+        raise ValueError(f"not allowed: {', '.join(sorted(functions & UNSAFE))}")
+    for k, name in names.items():
+        views[k].createOrReplaceTempView(name)
+    try:
+        return spark.sql(statement)
+    finally:
+        for name in names.values():
+            spark.catalog.dropTempView(name)
 
 
 def sentences(schedules: DataFrame) -> DataFrame:

@@ -37,10 +37,10 @@ def current(files: DataFrame, index: DataFrame) -> DataFrame:
 def cached_answers(questions: DataFrame, cache: DataFrame, now: Column, least: float = 0.97, ttl: int = 3600) -> DataFrame:
     """The first cached answer of each question (qid, intent, v): same intent, not expired, cosine ``least`` or more.
 
-    cache: v, answer, ts, intent; bounded by the cache's own limit.
+    cache: v, answer, ts, intent, of any size: which side is broadcast, if any, is left to the sizes that Spark sees.
     """
     live = cache.where(F.unix_timestamp(now) - F.unix_timestamp("ts") < ttl).select("intent", F.col("v").alias("cv"), "answer", "ts")
-    near = questions.join(F.broadcast(live), "intent").where(V.cosine(V.doubles(F.col("v")), V.doubles(F.col("cv"))) >= least)
+    near = questions.join(live, "intent").where(V.cosine(V.doubles(F.col("v")), V.doubles(F.col("cv"))) >= least)
     return near.groupBy("qid").agg(F.min_by("answer", "ts").alias("answer"))
 
 

@@ -11,7 +11,7 @@ from siltstone import providers
 from siltstone.config import Settings
 from siltstone.functions import lexicons as L
 from siltstone.functions import text as X
-from siltstone.operators import chunking, dedup, memory, routing, schedule, search, timetable, upkeep
+from siltstone.operators import answers, chunking, dedup, memory, routing, schedule, search, timetable, upkeep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -549,3 +549,96 @@ def url_list_validate(spark, sf):
 def query_expansions(spark, sf):
     asked = questions(spark, sf)
     return asked.select("qid", search.expansions(F.col("text"), "Example College").alias("expanded"), search.enhance_query(F.col("text"), F.lit("fees"), 2025, "Example College").alias("enhanced"))
+
+
+LINES = f"WITH {TIMETABLE}, n AS (SELECT *, class_group || ' has ' || subject || ' on ' || \"day\" || ' from ' || start_time || ' to ' || end_time || ' in ' || room AS line FROM s)"
+
+
+@query(f"{LINES} SELECT line, count(*) AS n FROM n GROUP BY line")
+def schedule_lines(spark, sf):
+    return timetable_view(spark, sf).select(answers.schedule_line().alias("line")).groupBy("line").agg(F.count("*").alias("n"))
+
+
+ANSWERED = (
+    "a AS (SELECT class_group, string_agg(line, chr(10) ORDER BY k) FILTER (k <= 5) || CASE WHEN count(*) > 5 THEN chr(10) || chr(10) || '(Showing first 5 of ' || count(*) || ' results)' ELSE '' END AS answer"
+    ' FROM (SELECT *, row_number() OVER (PARTITION BY class_group ORDER BY "day", start_time, line) AS k FROM n) GROUP BY class_group)'
+)
+
+
+@query(f"{LINES}, {ANSWERED} SELECT * FROM a")
+def schedule_answers(spark, sf):
+    rows = timetable_view(spark, sf).withColumn("line", answers.schedule_line())
+    return answers.format_rows(rows, "class_group", ["day", "start_time", "line"])
+
+
+def scored_hits(spark, sf):
+    docs = clean(spark, sf).withColumns({"class_group": F.concat(F.lit("G"), F.col("doc_id") % 15), "score": (F.col("doc_id") * 37 % 100) / 100})
+    return answers.relevant(docs, "class_group", [F.desc("score"), "doc_id"], 0.7)
+
+
+HITS = (
+    f"c AS (SELECT doc_id, {CLEAN} AS text, 'G' || (doc_id % 15) AS class_group, (doc_id * 37 % 100) / 100 AS score FROM documents), p AS (SELECT *, row_number() OVER (PARTITION BY class_group ORDER BY score DESC, doc_id) AS place FROM c),"
+    " h AS (SELECT doc_id, class_group, score, substr(text, 1, 200) AS text, row_number() OVER (PARTITION BY class_group ORDER BY place) AS n FROM p WHERE place <= 3 AND score > 0.7 QUALIFY n <= 2)"
+)
+
+
+@query(f"WITH {HITS} SELECT class_group, doc_id, round(score, 6) AS score, md5(text) AS text_md5, CAST(n AS INT) AS n FROM h")
+def relevant_hits(spark, sf):
+    return scored_hits(spark, sf).select("class_group", "doc_id", six("score").alias("score"), F.md5("text").alias("text_md5"), "n")
+
+
+@query(
+    f"{LINES}, {ANSWERED}, {HITS}, d AS (SELECT class_group, chr(10) || '**Additional Context:**' || chr(10) || string_agg('• ' || text || '...', chr(10) ORDER BY n) AS said FROM h WHERE text <> '' GROUP BY class_group), g AS (SELECT 'G' || unnest(range(16)) AS class_group)"
+    " SELECT class_group, md5(coalesce(nullif(concat_ws(chr(10), '**Schedule Information:**' || chr(10) || answer, said), ''), 'I couldn''t find specific information to answer your question.')) AS response_md5 FROM g LEFT JOIN a USING (class_group) LEFT JOIN d USING (class_group)"
+)
+def combined_answers(spark, sf):
+    asked = spark.range(16).select(F.concat(F.lit("G"), "id").alias("class_group"))
+    found = answers.combine(asked, schedule_answers(spark, sf), scored_hits(spark, sf), "class_group")
+    return found.select("class_group", F.md5("response").alias("response_md5"))
+
+
+def part_sql(name: str) -> str:
+    value = f"lower(regexp_extract(text, '(?i){answers.FIELDS[name]}', 1))"
+    return f"CASE WHEN {value} <> '' THEN 'lower({name}) = ' || chr(39) || {value} || chr(39) END"
+
+
+@query(f"{ASKING}, w AS (SELECT qid, concat_ws(' AND ', {', '.join(map(part_sql, answers.FIELDS))}) AS w FROM q) SELECT qid, CASE WHEN w <> '' THEN 'SELECT * FROM schedules WHERE ' || w || ' ORDER BY day, start_time' END AS sql_text FROM w")
+def question_sql(spark, sf):
+    return questions(spark, sf).select("qid", answers.to_sql(F.col("text")).alias("sql_text"))
+
+
+@query(f'{LINES} SELECT class_group, subject, room, start_time FROM n WHERE lower(class_group) = \'g3\' AND lower("day") = \'monday\'')
+def ask_schedule(spark, sf):
+    return answers.ask_schedule(spark, "what has G3 on Monday?", timetable_view(spark, sf), lambda q: "SELECT * FROM {schedules} WHERE lower(class_group) = 'g3' AND lower(day) = 'monday'").select("class_group", "subject", "room", "start_time")
+
+
+@query(
+    f"{ASKING}, f AS (SELECT qid, {ENTS} > 0 AS s, {like_any('lower(text)', L.NOW_PHRASES)} AS r FROM q) SELECT qid, CASE WHEN s AND r THEN 'structured_schedule_with_real_time' WHEN s THEN 'structured_schedule' WHEN r THEN 'vector_with_real_time' ELSE 'vector_only' END AS approach,"
+    " CASE WHEN s THEN 5 WHEN r THEN 10 ELSE 15 END AS context_limit FROM f"
+)
+def answer_approach(spark, sf):
+    found = routing.analyse(questions(spark, sf))
+    structured, live = F.size("schedule_entities") > 0, F.col("requires_real_time")
+    return found.select("qid", answers.approach(structured, live).alias("approach"), answers.source_limit(structured, live).alias("context_limit"))
+
+
+@query(
+    f"SELECT CAST({len(L.STRUCTURED_PATTERNS)} AS BIGINT) AS structured_pattern_categories, CAST({sum(map(len, L.STRUCTURED_PATTERNS.values()))} AS BIGINT) AS total_structured_patterns, CAST({len(L.SCHEDULE_ENTITIES)} AS BIGINT) AS schedule_entity_patterns,"
+    f" CAST({len(L.SEMANTIC_WORDS)} AS BIGINT) AS semantic_keywords, true AS supports_hybrid_queries, true AS fallback_available"
+)
+def routing_statistics(spark, sf):
+    return answers.routing_statistics(spark)
+
+
+@query("SELECT count(*) AS total_cached_queries, count(*) FILTER (epoch(TIMESTAMP '2024-01-15 12:00:00') - epoch(ts) < 86400) AS valid_cached_entries, CAST(86400 AS BIGINT) AS cache_ttl_seconds FROM (SELECT date_trunc('second', ts) AS ts FROM events)")
+def cache_statistics(spark, sf):
+    return answers.cache_statistics(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), F.lit("2024-01-15 12:00:00").cast("timestamp"), 86400)
+
+
+@query(
+    "WITH h AS (SELECT regexp_extract(url, '^(https?://[^/]+)', 1) AS url, page_id, (page_id * 13 % 50) / 50 AS r FROM pages), l AS (SELECT url, arg_max(page_id, page_id) AS page_id, arg_max(r, page_id) AS r FROM h GROUP BY url)"
+    " SELECT url, page_id, round(r, 6) AS relevance_score FROM l ORDER BY r DESC, url LIMIT 10"
+)
+def announcements(spark, sf):
+    hits = table(spark, sf, "pages").select(F.regexp_extract("url", "^(https?://[^/]+)", 1).alias("url"), "page_id", ((F.col("page_id") * 13 % 50) / 50).alias("relevance_score"))
+    return answers.last_by_url(hits, "page_id", 10).select("url", "page_id", six("relevance_score").alias("relevance_score"))

@@ -30,22 +30,41 @@ class Engine:
 
     def _put(self, df: DataFrame, name: str) -> None:
         df.write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        if name == "index":  # its postings are old now
+            self.__dict__.pop("lexical_index", None)
+
+    def _upsert(self, df: DataFrame, name: str) -> None:
+        """Put in place of the rows of df's documents, and keep those of others. df must not read the table."""
+        try:
+            old = self.table(name)
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return self._put(df, name)
+        self._put(df, f"{name}_new")
+        new = self.table(f"{name}_new")
+        rest = old.join(new.select("doc_id").distinct(), "doc_id", "left_anti")
+        self._put(rest.unionByName(new, allowMissingColumns=True), f"{name}_all")
+        self._put(self.table(f"{name}_all"), name)
 
     def process_folder(self, path: str) -> DataFrame:
         """Read all supported files, chunk, score, merge duplicates and embed; returns one row a file with its error."""
         found = files.extract(files.scan(self.spark, path))
-        self._put(found, "documents")
-        return self.process_texts(self.table("documents"))
+        self._put(found, "read")
+        self._upsert(self.table("read"), "documents")
+        return self.process_texts(self.table("read"))
 
     def process_texts(self, docs: DataFrame) -> DataFrame:
-        """The same from documents (doc_id, text and what else is known of them)."""
+        """The same from documents (doc_id, text and what else is known of them). What the corpus has of the same
+        documents is replaced, the rest stays."""
         s = self.settings
-        self._put(chunking.chunk_documents(docs.where("text is not null"), s.chunk_size, s.chunk_overlap), "chunks")
-        chunks = self.table("chunks").where(X.strip(F.col("text")) != "")
-        self._put(chunks.withColumn("embedding", self.embed(F.col("text"), s.dimensions)).where("embedding is not null"), "index")
+        self._put(chunking.chunk_documents(docs.where("text is not null"), s.chunk_size, s.chunk_overlap), "cut")
+        self._upsert(self.table("cut"), "chunks")
+        chunks = self.table("cut").where(X.strip(F.col("text")) != "")
+        self._upsert(chunks.withColumn("embedding", self.embed(F.col("text"), s.dimensions)).where("embedding is not null"), "index")
         if s.deduplicate:
             self.deduplicate()
-        counts = self.table("chunks").groupBy("doc_id").agg(F.count("*").alias("num_chunks"))
+        counts = self.table("cut").groupBy("doc_id").agg(F.count("*").alias("num_chunks"))
         return docs.drop("text").join(counts, "doc_id", "left").withColumn("num_chunks", F.coalesce("num_chunks", F.lit(0)))
 
     def deduplicate(self) -> DataFrame:
@@ -110,8 +129,9 @@ class Engine:
         return self.table("index").where(V.nonzero(F.col("embedding")))
 
     def delete_document(self, doc_id: str) -> None:
-        """A document out of documents, chunks, index and the merged set; each table is written anew beside the old one."""
-        for name in ("documents", "chunks", "index"):
+        """A document out of documents, chunks, index, timetable and the merged set; each table is written anew beside the
+        old one. The postings are made anew by the next search."""
+        for name in ("documents", "chunks", "index", "schedules"):
             try:
                 rows = self.table(name)
             except Exception as e:
