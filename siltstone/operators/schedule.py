@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
+from pyspark.errors import ParseException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,8 +80,10 @@ def run_select(spark: SparkSession, sql: str, **views: DataFrame) -> DataFrame:
     names = {k: f"view_{uuid.uuid4().hex}" for k in views}
     for k, name in names.items():
         statement = re.sub(r"\{" + re.escape(k) + r"\}", name, statement)
-    parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
-    tree = parsed.treeString()
+    try:
+        tree = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement).treeString()
+    except ParseException as e:
+        raise ValueError("only one SELECT is allowed") from e
     if not re.match(r"(?is)(select|with)\b", statement) or re.search(r"(?m)^\W*(Insert\w*|Create\w*|Drop\w*|Set\w*Command|UnresolvedTableValuedFunction)\b", tree):
         raise ValueError("only one SELECT is allowed")
     own = {x.lower() for x in re.findall(r"(?m)CTE \[([^\]]*)\]", tree) for x in x.split(", ")}
