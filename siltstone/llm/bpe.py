@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.store import fresh
-from siltstone.llm.words import batches_of
+from siltstone.llm.words import batches_of, tidy
 
 #: White space, and the words of the tokenizer file's split pattern.
 SPACE = "\\t\\n\\x0b\\x0c\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -373,6 +373,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", ids: str = "ids
     schema, at = _columns(docs, ids, T.BinaryType()), docs.columns.index(text)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         known = encoder(path)
         for batch in it:
             for start, texts in batches_of(batch.column(at)):

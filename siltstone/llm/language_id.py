@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.store import fresh
-from siltstone.llm.words import batches_of
+from siltstone.llm.words import batches_of, tidy
 
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 15
@@ -70,6 +70,7 @@ def fit(spark: SparkSession, rows: DataFrame, text: str = "text", label: str = "
     """Models of all rows of rows with a text and a label, each of about MOST_LANGUAGES labels; none without such rows."""
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         place: dict[str, int] = {}
         sums, docs = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in it:
@@ -134,6 +135,7 @@ def scored(spark: SparkSession, docs: DataFrame, models: list[Model], text: str)
         shared = spark.sparkContext.broadcast(model)
 
         def run(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            tidy()
             known = shared.value
             prior = np.log(known.texts)
             table = np.asfortranarray(known.table)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.store import components, drop_saved, number_rows, release, save
-from siltstone.llm.words import MIX, WordHasher, batches_of, finish, shingles
+from siltstone.llm.words import MIX, WordHasher, batches_of, finish, shingles, tidy
 
 ROWS = 3
 #: A pair at the threshold is missed by all bands with this probability at most.
@@ -122,6 +122,7 @@ def confirm(spark: SparkSession, pairs: DataFrame, sets: DataFrame, num: int, de
     """Those of pairs (a, b) with den * |intersection| >= num * |union| of their full sets (uid, blob), saved."""
 
     def check(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in it:
             good = []
             for x, y in zip(batch.column("x"), batch.column("y")):
@@ -250,7 +251,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     def sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = document_sets(words)
         for batch in it:
-            for start, texts in batches_of(batch.column(1)):
+            for start, texts in batches_of(batch.column(1), 1 << 20):
                 sets = [of(t) for t in texts]
                 yield pa.RecordBatch.from_pydict({"uid": batch.column(0).slice(start, len(texts)), **unit_columns(sets, bands)})
 

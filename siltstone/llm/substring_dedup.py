@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.store import components, drop_saved, fresh, number_rows, release, save
-from siltstone.llm.words import MIX, WordHasher, batches_of, finish
+from siltstone.llm.words import MIX, WordHasher, batches_of, finish, tidy
 
 #: Words of a passage that is cut, of a verified stretch of it, of a shingle, and shingles in a window; powers of two.
 LEAST, STRETCH, SHINGLE, WINDOW = 50, 25, 8, 16
@@ -34,6 +34,8 @@ LEAST, STRETCH, SHINGLE, WINDOW = 50, 25, 8, 16
 GAP, SHIFT, GROW = 48, 8, 64
 #: Slices of first documents begin and end at multiples of this many words, so that many chains share one.
 TILE = 64
+#: Words whose hashes a worker remembers, and collisions that it looks at together (or those of one text).
+ROOM, TOGETHER = 50_000, 50_000
 #: Words that the windows of a passage of LEAST words cover at least.
 COVERED = LEAST - 2 * (WINDOW - 1)
 WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
@@ -72,9 +74,9 @@ def find_bands(source: DataFrame) -> DataFrame:
     """(key, uid, place) of source (uid, text)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        hasher = WordHasher(ROOM)
         for batch in it:
-            for start, texts in batches_of(batch.column(1), 2 << 20):
+            for start, texts in batches_of(batch.column(1), 1 << 19):
                 hashed = [hasher(t) for t in texts]
                 sizes = np.array([len(h) for h in hashed], dtype=np.int64)
                 long = np.flatnonzero(sizes >= LEAST)
@@ -89,12 +91,22 @@ def chains(collisions: DataFrame) -> DataFrame:
     """(uid, keeper, lo, hi, own, theirs): chains of collisions that may be part of a passage, with the places in both
     texts of their ends and shifts, and the slice of the keeper's words to verify them on.
 
-    collisions: uid and marks, a list of (place, keeper, kplace). All lists of a batch are worked on at once.
+    collisions: uid and marks, a list of (place, keeper, kplace). The lists of many rows are worked on at once.
     """
     kind = "uid long, keeper long, lo int, hi int, own array<int>, theirs array<int>"
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
+            ends = np.cumsum(np.diff(batch.column(1).offsets.to_numpy()))
+            start = 0
+            while start < len(ends):
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + TOGETHER, side="right")))
+                yield batch.slice(start, stop - start)
+                start = stop
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
+        for batch in pieces(it):
             marks = batch.column(1)
             flat = marks.flatten()
             uid = np.repeat(batch.column(0).to_numpy(), np.diff(marks.offsets.to_numpy()))
@@ -149,7 +161,7 @@ def slices(source: DataFrame, wanted: DataFrame) -> DataFrame:
     """(keeper, lo, hi, words): 32 bits of each word lo to hi of first documents. wanted: keeper, lo and hi."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        hasher = WordHasher(ROOM)
         for batch in it:
             for i in range(batch.num_rows):
                 words, own = short(hasher(batch.column(1)[i].as_py())), batch.column(2)[i].as_py()
@@ -279,7 +291,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, text_col: str = "text", ch
     at, end = names.index(text_col), len(names)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        hasher = WordHasher(ROOM)
         for batch in it:
             for start, texts in batches_of(batch.column(at)):
                 part = batch.slice(start, len(texts))
@@ -311,7 +323,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     penalty = num / (den - num)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        hasher = WordHasher(ROOM)
         for batch in it:
             rows = []
             for uid, text, parts in zip(*(batch.column(i) for i in range(3))):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 #: Odd multipliers of the shingle hash.
@@ -21,13 +23,25 @@ def finish(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def tidy() -> None:
+    """Give memory that is no longer used back to the system: a worker goes on from task to task, with what each one's
+    largest arrays once took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        pass
+
+
 class WordHasher:
     """64-bit hashes of a text's words: runs of bytes other than ASCII white space, A to Z lower-cased.
 
-    Hashes of words seen are kept, up to ``room`` of them; then the store starts anew, so memory is bounded.
+    Hashes of words seen are kept, up to ``room`` of them; then the store starts anew, so memory is bounded. One is made
+    at the beginning of a task.
     """
 
-    def __init__(self, room: int = 200_000):
+    def __init__(self, room: int = 100_000):
+        tidy()
         self.known: dict[bytes, int] = {}
         self.room = room
 
