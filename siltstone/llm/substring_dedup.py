@@ -275,6 +275,33 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*parts, text[at:]])
 
 
+SPANS = {"row": pa.int64(), "keeper": pa.int64(), "start": pa.int64(), "end": pa.int64(), "n_words": pa.int64(), "passage_sha256": pa.string()}
+
+
+def verified(spark: SparkSession, copy: DataFrame, rid: str, text_col: str, found: DataFrame, num: int, den: int) -> DataFrame:
+    """A saved table with a row for each passage: SPANS, by row ids and characters."""
+    penalty = num / (den - num)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher(ROOM)
+        for batch in it:
+            rows = []
+            for uid, text, parts in zip(*(batch.column(i) for i in range(3))):
+                text = text.as_py()
+                passages = passages_of(hasher(text), parts.as_py(), penalty)
+                if passages:
+                    for (a, b, keeper), (start, end) in zip(passages, char_spans(text, passages)):
+                        rows.append((uid.as_py(), keeper, start, end, b - a, hashlib.sha256(text[start:end].encode("utf-8", "surrogatepass")).hexdigest()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), SPANS.values())], names=list(SPANS))
+
+    source = copy.select(F.col(rid).alias("uid"), F.col(f"`{text_col}`").alias("text"))
+    kinds = ", ".join(f"{name} {'long' if kind == pa.int64() else 'string'}" for name, kind in SPANS.items())
+    spans = save(spark, source.join(found.hint("merge"), "uid").select("uid", "text", "parts").mapInArrow(run, kinds))
+    release(spark)
+    return spans
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", num: int = 80, den: int = 100) -> DataFrame:
     """docs with repeated passages cut from the text, and the count of characters, if there is such a column, renewed.
 
@@ -284,34 +311,30 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, text_col: str = "text", ch
     column stays.
     """
     copy, rid, found = candidates(spark, docs, text_col)
-    names, penalty = docs.columns, num / (den - num)
-    other, parts = fresh(copy.columns, "other_id"), fresh(copy.columns, "parts")
-    renamed = found.select(F.col("uid").alias(other), F.col("parts").alias(parts))
-    joint = copy.join(renamed.hint("merge"), copy[rid] == renamed[other], "left")
+    spans = verified(spark, copy, rid, text_col, found, num, den)
+    names = docs.columns
+    other, marks = fresh(copy.columns, "other_id"), fresh(copy.columns, "marks")
+    per_row = spans.groupBy(F.col("row").alias(other)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(marks))
+    joint = copy.join(per_row.hint("merge"), copy[rid] == per_row[other], "left")
     at, end = names.index(text_col), len(names)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher(ROOM)
+        tidy()
         for batch in it:
             for start, texts in batches_of(batch.column(at)):
                 part = batch.slice(start, len(texts))
                 keep = [True] * len(texts)
-                for i, chain in enumerate(part.column(end)):
-                    if chain.is_valid and texts[i]:
-                        passages = passages_of(hasher(texts[i]), chain.as_py(), penalty)
-                        if passages:
-                            texts[i] = without(texts[i], char_spans(texts[i], passages))
-                            keep[i] = bool(WORD.search(texts[i]))
+                for i, mark in enumerate(part.column(end)):
+                    if mark.is_valid:
+                        texts[i] = without(texts[i], [(m["start"], m["end"]) for m in mark.as_py()])
+                        keep[i] = bool(WORD.search(texts[i]))
                 columns = [pa.array(texts, pa.string()) if c == at else part.column(c) for c in range(end)]
                 yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    out = joint.select(*[F.col(f"`{c}`") for c in names], parts).mapInArrow(run, docs.schema)
+    out = joint.select(*[F.col(f"`{c}`") for c in names], marks).mapInArrow(run, docs.schema)
     return out.withColumn(chars_col, F.length(F.col(f"`{text_col}`")).cast(docs.schema[chars_col].dataType)) if chars_col in names else out
 
 
-SPANS = {"row": pa.int64(), "keeper": pa.int64(), "start": pa.int64(), "end": pa.int64(), "n_words": pa.int64(), "passage_sha256": pa.string()}
-
-
 def repeated_spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100) -> DataFrame:
     """The spans that cut_repeats cuts, one row each.
 
@@ -320,25 +343,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     """
     slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     copy, rid, found = candidates(spark, slim, "text")
-    penalty = num / (den - num)
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher(ROOM)
-        for batch in it:
-            rows = []
-            for uid, text, parts in zip(*(batch.column(i) for i in range(3))):
-                text = text.as_py()
-                passages = passages_of(hasher(text), parts.as_py(), penalty)
-                if passages:
-                    for (a, b, keeper), (start, end) in zip(passages, char_spans(text, passages)):
-                        rows.append((uid.as_py(), keeper, start, end, b - a, hashlib.sha256(text[start:end].encode("utf-8", "surrogatepass")).hexdigest()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), SPANS.values())], names=list(SPANS))
-
-    source = copy.select(F.col(rid).alias("uid"), "text")
-    kinds = ", ".join(f"{name} {'long' if kind == pa.int64() else 'string'}" for name, kind in SPANS.items())
-    spans = save(spark, source.join(found.hint("merge"), "uid").select("uid", "text", "parts").mapInArrow(run, kinds))
-    release(spark)
+    spans = verified(spark, copy, rid, "text", found, num, den)
     groups = components(spark, spans.select(F.col("row").alias("a"), F.col("keeper").alias("b")))
     ids = copy.select(F.col(rid).alias("id"), "doc_id")
     out = spans.join(groups.withColumnRenamed("node", "row"), "row")
