@@ -48,5 +48,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: The stages aren't expressible in SQL; tests hold them against brute force.
+#: The stages aren't expressible in SQL; the tests of their operators hold each of these against brute force.
 ORACLE_SQL = None
