@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.store import fresh
+from siltstone.llm.store import bound_batches, fresh
 from siltstone.llm.words import batches_of, tidy
 
 #: White space, and the words of the tokenizer file's split pattern.
@@ -371,6 +371,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", ids: str = "ids
     underscores are put behind the new one's. The tokenizer file is read on the executors from ``path``.
     """
     schema, at = _columns(docs, ids, T.BinaryType()), docs.columns.index(text)
+    bound_batches(docs.sparkSession)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()

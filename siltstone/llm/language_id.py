@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.store import fresh
+from siltstone.llm.store import bound_batches, fresh
 from siltstone.llm.words import batches_of, tidy
 
 ORDERS = (1, 2, 3, 4)
@@ -85,6 +85,7 @@ def fit(spark: SparkSession, rows: DataFrame, text: str = "text", label: str = "
             full = np.flatnonzero(own)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * (len(full) + 1), pa.string()), "bucket": np.r_[full, -1].astype(np.int32), "n": np.r_[own[full], docs[i]]})
 
+    bound_batches(spark)
     used = rows.select(F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").alias("lang")).where("text is not null and lang is not null")
     parts = -(-used.select("lang").distinct().count() // MOST_LANGUAGES)
     models = []

@@ -65,6 +65,19 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Most bytes of an Arrow batch that goes to a Python worker, or one row. Its columns are held several times over: by the
+#: executor, which doubles its buffers as they grow, and by the worker, which has one batch more in hand than it works on.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let the session's Arrow batches have BATCH_BYTES at most, unless it asks for smaller ones."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def fresh(columns: list[str], name: str) -> str:
     """A column name that none of ``columns`` has (Spark compares them without case)."""
     taken = {c.lower() for c in columns}
@@ -81,6 +94,7 @@ def number_rows(spark: SparkSession, df: DataFrame, columns: list[str] | None =
     """
     rid = fresh(df.columns, "row_id")
     kept = df.columns if columns is None else columns
+    bound_batches(spark)
     raw = save(spark, df.select(F.monotonically_increasing_id().alias(rid), *[F.col(f"`{c}`") for c in kept]))
     return raw, rid
 
