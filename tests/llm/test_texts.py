@@ -5,12 +5,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siltstone.llm import bpe, chat_format, decontaminate, html_text, language_id, lm_score, sharding
+from siltstone.llm.store import BATCH_BYTES, bound_batches
 
 PIECES = ["<|turn|>", "<|text|>", "<|end|>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "\\", "<", "|", "[", "a", "é", " ", "\n", "<\\|end|>", "人"]
 texts = st.lists(st.sampled_from(PIECES), max_size=20).map("".join)
@@ -237,3 +239,17 @@ def test_sharding(spark):
     for s in range(4):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
     assert sharding.assign_shards(spark, docs.limit(0), 4)[0].count() == 0
+
+
+def test_batches_for_workers_are_bounded(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "64m")
+    bound_batches(spark)
+    wide = spark.range(0, 4000, 1, 1).withColumn("text", F.repeat(F.lit("abcdefgh"), 1000))
+    sizes = wide.mapInArrow(lambda it: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in it), "n long").collect()
+    assert len(sizes) > 5 and max(r.n for r in sizes) <= BATCH_BYTES + 10_000
+    spark.conf.set(name, "1m")
+    bound_batches(spark)
+    assert spark.conf.get(name) == "1m"
+    spark.conf.set(name, before)
