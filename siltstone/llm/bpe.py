@@ -38,8 +38,8 @@ OTHERS = regex.compile(rf"[^{SPACE}\p{{L}}\p{{N}}]+")
 USUAL = 1024
 #: Symbols up to which the next merge is found by looking at all of them.
 FEW = 64
-#: Chunks remembered, symbols merged at once beside the lookahead, and bytes of text split at once.
-ROOM, STRIDE, PIECE = 100_000, 4096, 1 << 20
+#: Chunks (and words) remembered in each of two generations, symbols merged at once beside the lookahead, and bytes of text split at once.
+ROOM, STRIDE, PIECE = 150_000, 4096, 1 << 20
 #: Above any rank.
 NONE = 1 << 62
 
@@ -215,6 +215,7 @@ class ChunkStream:
         self.v, self.raw, self.tail = vocabulary, "", ""
         self.word, self.run = WordStream(vocabulary), None
         self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     def _added(self, piece: str) -> list[int]:
         """Take in a piece, up to the last added token in it."""
@@ -252,10 +253,12 @@ class ChunkStream:
         """What the machine for words makes of a whole word."""
         ids = self.known.get(word)
         if ids is None:
-            ids = self.word.feed(word.encode()) + self.word.finish()
+            ids = self.older.get(word)
+            if ids is None:
+                ids = self.word.feed(word.encode()) + self.word.finish()
             if len(word) <= USUAL:
                 if len(self.known) >= ROOM:
-                    self.known.clear()
+                    self.known, self.older = {}, self.known
                 self.known[word] = ids
         return ids
 
@@ -270,12 +273,17 @@ class ChunkStream:
             if at < len(text) or ended:
                 out += self.word.finish()
                 self.run = None
-        if self.run is None:
+        if ended:
+            known = self.known
+            for word in WORD.findall(text, at):
+                ids = known.get(word)
+                out += self._whole(word) if ids is None else ids
+        elif self.run is None:
             for found in WORD.finditer(text, at):
-                if text[found.start()] == "'" and found.start() + 3 > len(text) and not ended:  # perhaps 're and the like
+                if text[found.start()] == "'" and found.start() + 3 > len(text):  # perhaps 're and the like
                     self.tail = text[found.start() :]
                     break
-                if found.end() == len(text) and not ended:
+                if found.end() == len(text):
                     if len(found[0]) < 8:  # it may yet become a longer word or another one
                         self.tail = found[0]
                         break
@@ -287,22 +295,30 @@ class ChunkStream:
 
 
 class Encoder(dict):
-    """Packs the ids of texts as little-endian 32-bit integers; as a dict it remembers usual chunks."""
+    """Packs the ids of texts as little-endian 32-bit integers; as a dict it remembers usual chunks.
+
+    When it is full, it becomes the older generation and what that one held is forgotten, but for what is asked for
+    again, so that frequent chunks stay.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.v = vocabulary
         self.stream = ChunkStream(vocabulary)
+        self.older: dict[bytes, bytes] = {}
 
     def __missing__(self, chunk: bytes) -> bytes:
-        text, out, start = chunk.decode("utf-8", "surrogatepass"), [], 0
-        while len(text) - start > STRIDE:
-            out += self.stream.feed(text[start : start + STRIDE])
-            start += STRIDE
-        out += self.stream.finish(text[start:])
-        ids = struct.pack(f"<{len(out)}I", *out)
+        ids = self.older.get(chunk)
+        if ids is None:
+            text, out, start = chunk.decode("utf-8", "surrogatepass"), [], 0
+            while len(text) - start > STRIDE:
+                out += self.stream.feed(text[start : start + STRIDE])
+                start += STRIDE
+            out += self.stream.finish(text[start:])
+            ids = struct.pack(f"<{len(out)}I", *out)
         if len(chunk) <= USUAL:
             if len(self) >= ROOM:
+                self.older = dict(self)
                 self.clear()
             self[chunk] = ids
         return ids
