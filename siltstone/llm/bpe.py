@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.store import bound_batches, fresh
-from siltstone.llm.words import batches_of, tidy
+from siltstone.llm.words import batches_of, kept, tidy
 
 #: White space, and the words of the tokenizer file's split pattern.
 SPACE = "\\t\\n\\x0b\\x0c\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -365,10 +365,13 @@ class Decoder:
         return "" if self.names else self.state.decode(b"", True)
 
 
-@cache
 def encoder(path: str) -> Encoder:
-    """One encoder for each worker process, so that chunks stay known from task to task."""
-    return Encoder(load(path))
+    """The worker's encoder: chunks stay known from task to task, until another operator's task begins there."""
+    name = f"bpe {path}"
+    known = kept.get(name)
+    tidy()
+    kept[name] = Encoder(load(path)) if known is None else known
+    return kept[name]
 
 
 @cache
@@ -390,7 +393,6 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", ids: str = "ids
     bound_batches(docs.sparkSession)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tidy()
         known = encoder(path)
         for batch in it:
             for start, texts in batches_of(batch.column(at)):

@@ -23,9 +23,14 @@ def finish(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+#: What a worker keeps for the next task of the same operator, by name; a task of another operator drops it.
+kept: dict[str, object] = {}
+
+
 def tidy() -> None:
     """Give memory that is no longer used back to the system: a worker goes on from task to task, with what each one's
-    largest arrays once took."""
+    largest arrays once took, and with what is kept."""
+    kept.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
