@@ -37,16 +37,22 @@ def _path(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
+def new_path(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there goes when the application's driver ends."""
+    top = f"{shared_dir(spark)}/siltstone/{spark.sparkContext.applicationId}"
+    files, where = _path(spark, top)
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return f"{top}/{uuid.uuid4().hex}"
+
+
 def save(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Write df to a new table in the shared folder and read it back, which cuts its lineage.
 
     The application's tables go when its driver ends; drop_saved lets one go before.
     """
-    top = f"{shared_dir(spark)}/siltstone/{spark.sparkContext.applicationId}"
-    path = f"{top}/{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.option("compression", "zstd").parquet(path)
-    files, where = _path(spark, top)
-    files.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at_ = path
     return out
