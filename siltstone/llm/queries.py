@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules in the order of their operators.
-MODULES = ["chat_format", "decontaminate", "substring_dedup", "language_id", "bpe", "embedding_dedup", "html_text", "sharding", "minhash_dedup", "lm_score", "importance", "warc"]
+MODULES = ["chat_format", "decontaminate", "substring_dedup", "language_id", "bpe", "embedding_dedup", "html_text", "sharding", "minhash_dedup", "lm_score", "importance", "warc", "prefix_trie"]
 
 
 def _all(name: str) -> dict:
