@@ -105,7 +105,7 @@ def resample(
     )
     table = gains(spark, docs, target, text, n, buckets).select(F.col("bucket").alias(bucket), F.col("gain").alias(gain))
     rows = docs.select(F.monotonically_increasing_id().alias(rid), *[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(body))
-    rows = listed(rows, body, own).withColumn(enough, F.coalesce(F.size(own) >= least_words, F.lit(False)))
+    rows = listed(rows, body, own).withColumn(enough, F.coalesce(F.when(F.col(own).isNotNull(), F.size(own)), F.lit(0)) >= least_words)
     features = exploded(rows, own, bucket, n, buckets).join(F.broadcast(table), bucket, "left")
     sums = features.groupBy(rid).agg(*[F.first(f"`{c}`").alias(c) for c in kept], F.first(enough).alias(enough), F.count(bucket).alias(n_features), F.coalesce(F.sum(gain), F.lit(0)).alias(weight))
     scored = sums.withColumn(score, F.col(weight) + gumbel(F.col(f"`{key}`"), seed))

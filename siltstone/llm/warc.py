@@ -5,8 +5,8 @@ Spark's own output (any file system it knows). Of records with equal payloads of
 the greatest key is a response, the others are revisits that carry no payload. Which payloads repeat is found in a scan
 of its own, so payloads only move where the table of repeated digests is too large to broadcast.
 
-Reading: the text reader cuts the files at every ``WARC/1.``, in splits of any size (the mark doesn't overlap itself, so
-no cut hangs on where a buffer ends). Each piece that such a cut begins is a candidate. A candidate's header gives the
+Reading: the text reader cuts the files at every ``WARC/1.`` after a line end, in splits of any size (the mark doesn't
+overlap itself, so no cut hangs on where a buffer ends, and no header line holds it). Each piece is a candidate. A candidate's header gives the
 offset of its successor, but a payload may hold the mark, or whole records, so a candidate proves nothing by itself.
 Offsets come from the lengths of pieces, summed in each split and over the splits before it. In each split a candidate
 is followed to the offset at which its chain leaves the split; between splits pointer jumping, doubled each round, marks
@@ -16,6 +16,8 @@ record before it and is put back there.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from siltstone.llm.store import drop_saved, new_path, save
 
 MAGIC, LINE, GAP = "WARC/1.", "\r\n", "\r\n\r\n"
+MARK = "\n" + MAGIC
 LEAST = 1000
 DATE = "1970-01-01T00:00:00Z"
 URN = "urn:x-key:"
@@ -87,27 +90,28 @@ def field(name: str) -> Column:
 def pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A saved table of what stands between the marks: id, file, split, file_size, value, size, head and length.
 
-    ``head`` is the header without the mark, ``length`` what it says of its block; null where it says nothing sound. The
-    id ascends along a split.
+    ``head`` is the header as far as it is in ``value`` (a file's first piece has the mark as well), ``length`` what it says
+    of its block; null where it says nothing sound. The id ascends along a split.
     """
-    raw = spark.read.option("lineSep", MAGIC).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("_metadata.file_size").alias("file_size"))
+    raw = spark.read.option("lineSep", MARK).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("_metadata.file_size").alias("file_size"))
     raw = raw.withColumns({"id": F.monotonically_increasing_id(), "size": F.octet_length("value").cast("long"), "head": F.when(F.contains("value", F.lit(GAP)), F.substring_index("value", GAP, 1))})
-    return save(spark, raw.withColumn("length", F.when(F.col("head").rlike(r"^\d+\r\n"), field("Content-Length").try_cast("long"))))
+    return save(spark, raw.withColumn("length", F.when(F.col("head").rlike(rf"^({re.escape(MAGIC)})?\d+\r\n"), field("Content-Length").try_cast("long"))))
 
 
 def candidates(spark: SparkSession, table: DataFrame) -> DataFrame:
     """A saved narrow table of pieces: file, split, id, start and next, the offset of the successor (null: unsound).
 
-    What stands before a file's first mark, if only the empty string, has a start below 0 and no successor.
+    Only the first piece of a file that begins with the mark starts at 0. What else a file begins with is unsound.
     """
     along = W.partitionBy("file", "split").orderBy("id").rowsBetween(W.unboundedPreceding, -1)
-    whole = F.col("size") + len(MAGIC)
+    whole = F.col("size") + len(MARK)
     splits = table.groupBy("file", "split").agg(F.sum(whole).alias("n"))
     earlier = splits.select("file", "split", F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    narrow = table.select("file", "split", "id", "file_size", "size", "length", F.octet_length("head").alias("n_head")).withColumn("before", F.coalesce(F.sum(whole).over(along), F.lit(0)))
-    placed = narrow.join(earlier, ["file", "split"]).withColumn("start", F.col("base") + F.col("before") - len(MAGIC))
-    after = F.col("start") + len(MAGIC) + F.col("n_head") + len(GAP) + F.col("length") + len(GAP)
-    return save(spark, placed.select("file", "split", "id", "file_size", "start", F.when((F.col("start") >= 0) & (F.col("length") >= 0), after).alias("next")))
+    narrow = table.select("file", "split", "id", "file_size", "size", "length", F.octet_length("head").alias("n_head"), F.startswith("value", F.lit(MAGIC)).alias("marked")).withColumn("before", F.coalesce(F.sum(whole).over(along), F.lit(0)))
+    at = F.col("base") + F.col("before")
+    placed = narrow.join(earlier, ["file", "split"]).withColumns({"at": at, "start": F.when(at == 0, 0).otherwise(at - len(MAGIC))})
+    sound = (F.col("length") >= 0) & (F.col("marked") == (F.col("at") == 0))
+    return save(spark, placed.select("file", "split", "id", "file_size", "start", F.when(sound, F.col("at") + F.col("n_head") + len(GAP) + F.col("length") + len(GAP)).alias("next")))
 
 
 def exits(start: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -209,7 +213,7 @@ def read_warc(spark: SparkSession, path: str | list[str]) -> DataFrame:
     odd = save(spark, mixed.unionAll(odd.where("owner is null").select("id", "owner", "start", "whole")))
     alone = table.join(odd, "id", "left_anti").select("file", "value", F.lit(True).alias("whole"))
     parts = table.join(odd.where("owner is not null"), "id").groupBy("owner").agg(F.first("file").alias("file"), F.sort_array(F.collect_list(F.struct("start", "value"))).alias("parts"), F.first("whole").alias("whole"))
-    joined = parts.select("file", F.array_join(F.transform("parts", lambda x: x["value"]), MAGIC).alias("value"), "whole")
+    joined = parts.select("file", F.array_join(F.transform("parts", lambda x: x["value"]), MARK).alias("value"), "whole")
     rows = alone.unionAll(joined).withColumn("head", F.substring_index("value", GAP, 1))
     at, size = F.octet_length("head") + len(GAP) + 1, field("Content-Length").cast("int")
     rows = rows.withColumn("block", F.substring(F.col("value").cast("binary"), at, size))
