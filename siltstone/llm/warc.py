@@ -193,7 +193,7 @@ def verified(spark: SparkSession, found: DataFrame) -> DataFrame:
     carried = by_split.select("file", "split", F.last("o", True).over(before).alias("o"), F.last("u", True).over(before).alias("u"))
     owned = marked.join(carried, ["file", "split"]).withColumns({"owner": F.coalesce("owner", "o"), "until": F.coalesce("until", "u")})
     ends = marked.where("reached").select("file", F.col("start").alias("until"), F.lit(True).alias("sound"))
-    checked = owned.join(ends, ["file", "until"], "left").withColumn("whole", F.coalesce("sound", F.lit(False)) | (F.col("until") == F.col("file_size")))
+    checked = owned.join(ends.hint("merge"), ["file", "until"], "left")  # a row for each record: never broadcast.withColumn("whole", F.coalesce("sound", F.lit(False)) | (F.col("until") == F.col("file_size")))
     return save(spark, checked.select("file", "id", "start", "reached", F.when(F.col("reached") | (F.col("start") < F.col("until")), F.col("owner")).alias("owner"), "whole"))
 
 
@@ -209,7 +209,7 @@ def read_warc(spark: SparkSession, path: str | list[str]) -> DataFrame:
     verdict = verified(spark, candidates(spark, table))
     # What isn't a record by itself, and the records that such pieces belong to: few, but where payloads hold archives.
     odd = verdict.where("owner is null or not reached or not whole")
-    mixed = verdict.join(odd.select("owner").distinct(), "owner").select("id", "owner", "start", "whole")
+    mixed = verdict.hint("merge").join(odd.select("owner").distinct(), "owner").select("id", "owner", "start", "whole")
     odd = save(spark, mixed.unionAll(odd.where("owner is null").select("id", "owner", "start", "whole")))
     alone = table.join(odd, "id", "left_anti").select("file", "value", F.lit(True).alias("whole"))
     parts = table.join(odd.where("owner is not null"), "id").groupBy("owner").agg(F.first("file").alias("file"), F.sort_array(F.collect_list(F.struct("start", "value"))).alias("parts"), F.first("whole").alias("whole"))
