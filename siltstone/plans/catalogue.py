@@ -135,13 +135,13 @@ COMPONENTS = f"WITH RECURSIVE {PAIRS}, e AS (SELECT a, b FROM p UNION ALL SELECT
 
 @query(f"{COMPONENTS} SELECT id, component FROM k")
 def near_dup_components(spark, sf):
-    return dedup.connected(spark, dedup.similar_pairs(table(spark, sf, "embeddings"), 0.35, "vec_id", "embedding"))
+    return dedup.connected(spark, dedup.links(table(spark, sf, "embeddings"), 0.35, "vec_id", "embedding"))
 
 
 @query(f"{COMPONENTS}, f AS (SELECT k.*, CAST(label AS DOUBLE) AS s FROM k JOIN v ON vec_id = id), q AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY s DESC, id) AS n FROM f) SELECT component, max(CASE WHEN n = 1 THEN id END) AS primary_id, count(*) AS n_members FROM q GROUP BY component")
 def dedup_clusters(spark, sf):
     rows = table(spark, sf, "embeddings").withColumn("s", F.col("label").cast("double"))
-    edges = dedup.similar_pairs(rows, 0.35, "vec_id", "embedding")
+    edges = dedup.links(rows, 0.35, "vec_id", "embedding")
     placed = dedup.clusters(spark, rows, edges, "vec_id", "s")
     return placed.groupBy("component").agg(F.max(F.when(F.col("is_primary"), F.col("vec_id"))).alias("primary_id"), F.count("*").alias("n_members"))
 
@@ -153,8 +153,8 @@ def merged_docs(spark, sf):
     worded = docs.where(F.size(X.words(F.lower("text"))) > 0).select("id", "text", F.sha2("text", 256).alias("k"))
     heads = worded.groupBy("k").agg(F.min("id").alias("a"))
     copies = worded.join(heads, "k").where("id <> a").select("a", F.col("id").alias("b"))
-    vectors = worded.join(heads.select(F.col("a").alias("id")), "id").select("id", providers.embed(F.col("text"), defaults.dimensions).alias("embedding")).persist()
-    edges = dedup.similar_pairs(vectors, defaults.similarity_threshold, "id", "embedding").select("a", "b").unionAll(copies)
+    vectors = worded.join(heads.select(F.col("a").alias("id")), "id").select("id", providers.embed(F.col("text"), defaults.dimensions).alias("embedding"))
+    edges = dedup.links(vectors, defaults.similarity_threshold, "id", "embedding").unionAll(copies)
     return docs, dedup.merge_clusters(dedup.clusters(spark, docs, edges, "id", "information_score"))
 
 

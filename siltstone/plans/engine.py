@@ -70,7 +70,7 @@ class Engine:
     def deduplicate(self) -> DataFrame:
         """Merge chunks that are alike; the report is one row."""
         rows = self.table("index").withColumn("id", F.xxhash64("chunk_id"))
-        edges = dedup.similar_pairs(rows, self.settings.similarity_threshold, "id", "embedding")
+        edges = dedup.links(rows, self.settings.similarity_threshold, "id", "embedding")
         placed = dedup.clusters(self.spark, rows.withColumn("source_file", F.col("doc_id").cast("string")), edges, "id", "information_score")
         merged = dedup.merge_clusters(placed)
         after = dedup.deduplicated(rows, merged)
