@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import lexicons as L
 from siltstone.functions import text as X
 from siltstone.functions import vectors as V
+from siltstone.operators.tables import cut
 
 
 def nearest(rows: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vector_col: str = "embedding", where: Column | None = None) -> DataFrame:
@@ -41,7 +42,7 @@ def tfidf(docs: DataFrame, features: int = 5000, most: float = 0.95, least: int
     Terms in fewer than ``least`` documents or more than the share ``most`` are left out; of the rest the ``features``
     most frequent stay, ties by term. The idf table is that small, so it may be broadcast.
     """
-    tf = terms(docs)
+    tf = cut(terms(docs))
     n = docs.agg(F.count("*").alias("n_docs"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("cf")).join(F.broadcast(n))
     kept = df.where((F.col("df") >= least) & (F.col("df") <= most * F.col("n_docs"))).orderBy(F.desc("cf"), "term").limit(features)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone import providers
@@ -12,6 +13,9 @@ from siltstone.config import Settings
 from siltstone.functions import lexicons as L
 from siltstone.functions import text as X
 from siltstone.operators import answers, chunking, dedup, memory, routing, schedule, search, timetable, upkeep
+from siltstone.operators.tables import scratch
+from siltstone.operators.term_index import TermIndex
+from siltstone.operators.vector_index import VectorIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -197,6 +201,18 @@ def similar_chunks(spark, sf):
     return search.similar_to(table(spark, sf, "embeddings"), 0, 10).withColumn("score", six("score"))
 
 
+@query(
+    f"WITH e AS ({VECTORS}), s AS (SELECT q.vec_id AS query_id, d.vec_id, {COSINE.format(a='q.v', b='d.v')} AS c FROM e q JOIN e d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0),"
+    " r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(greatest(0.0, least(1.0, c)), 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10"
+)
+def knn_batch(spark, sf):
+    """The ten nearest other vectors of every vector whose id is divisible by 100, through an index of all."""
+    rows = table(spark, sf, "embeddings")
+    index = VectorIndex.build(rows, scratch(spark), "vec_id", "embedding")
+    hits = index.search(rows.where("vec_id % 100 = 0"), 10, "vec_id", "embedding", exclude_self=True)
+    return hits.select("query_id", F.col("id").alias("vec_id"), six("score").alias("score"), "rank")
+
+
 ASKED = "the thing and onthe heanre thtion erthe andre"
 TFIDF = f"""docs AS (SELECT doc_id, {CLEAN} AS text FROM documents),
 t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '\\b\\w\\w+\\b'), lambda x: x NOT IN ({quoted(L.STOP_WORDS)})) AS w FROM docs UNION ALL SELECT -1, list_filter(regexp_extract_all('{ASKED}', '\\b\\w\\w+\\b'), lambda x: x NOT IN ({quoted(L.STOP_WORDS)}))),
@@ -219,6 +235,33 @@ def tfidf_topk(spark, sf):
     return lexical_hits(spark, sf, 10).withColumn("score", six("score"))
 
 
+GROWN = TFIDF.replace("FROM documents)", "FROM documents WHERE doc_id % 5 <> 3)")
+
+
+@query(f"WITH {GROWN}, h AS (SELECT * FROM lex ORDER BY score DESC, doc_id LIMIT 10) SELECT doc_id, round(score, 6) AS score FROM h WHERE score > 0.1")
+def lexical_grown(spark, sf):
+    """The search of tfidf_topk in an index that was begun with some documents, got others later and lost a fifth of all."""
+    docs = clean(spark, sf).select("doc_id", "text")
+    index = TermIndex.build(docs.where("doc_id % 2 = 0"), scratch(spark))
+    index.remove(docs.where("doc_id % 5 = 3"))
+    index.add(docs.where("doc_id % 2 = 1 and doc_id % 5 <> 3"))
+    return index.search(spark.createDataFrame([(-1, ASKED)], "doc_id long, text string"), 10).select("doc_id", six("score").alias("score"))
+
+
+BATCH = TFIDF.replace(f"UNION ALL SELECT -1, list_filter(regexp_extract_all('{ASKED}'", "UNION ALL SELECT -1 - conv_id, list_filter(regexp_extract_all(lower(regexp_replace(text, '[^\\x00-\\x7f]', '', 'g'))").replace(f"NOT IN ({quoted(L.STOP_WORDS)}))),\ng AS", f"NOT IN ({quoted(L.STOP_WORDS)})) FROM conversations WHERE turn = 0),\ng AS")
+BATCH = BATCH.replace("SELECT d.doc_id, sum(d.w * q.w) AS score", "SELECT -1 - q.doc_id AS conv_id, d.doc_id, sum(d.w * q.w) AS score").replace("WHERE q.doc_id = -1 AND d.doc_id >= 0 GROUP BY d.doc_id", "WHERE q.doc_id < 0 AND d.doc_id >= 0 GROUP BY q.doc_id, d.doc_id")
+
+
+@query(f"WITH {BATCH}, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM lex) SELECT conv_id, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3 AND score > 0.1")
+def lexical_batch(spark, sf):
+    """The three documents whose words are nearest to each conversation's first turn, from weights written once."""
+    index = TermIndex.build(clean(spark, sf).select("doc_id", "text"), scratch(spark))
+    index.refresh()
+    asked = table(spark, sf, "conversations").where("turn = 0").select(F.col("conv_id").alias("doc_id"), F.regexp_replace("text", r"[^\x00-\x7f]", "").alias("text"))
+    hits = index.scores(asked).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id")))
+    return hits.where("rank <= 3 and score > 0.1").select(F.col("query_id").alias("conv_id"), "doc_id", six("score").alias("score"), "rank")
+
+
 def dense_hits(spark, sf, k):
     return search.nearest(table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id"), query_vector(spark, sf), k, "doc_id").select("doc_id", "score")
 

@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from siltstone.operators import similarity
+from siltstone.operators import similarity, tables
+from siltstone.operators.vector_index import VectorIndex
 
 
 def unit(x):
@@ -78,3 +79,51 @@ def test_odd_vectors_copies_and_parts(spark, threshold):
     tied = {(r.a, r.b) for r in similarity.links(df, threshold, within="part").collect()}
     assert {("a", "b"), ("a", "c")} <= tied <= got
     assert similarity.similar_pairs(df.limit(0), threshold).collect() == []
+
+
+def nearest(v, q, k, ids=None, own=None):
+    """ids of the k greatest cosines, ties by id."""
+    ids = range(len(v)) if ids is None else ids
+    c = unit(v) @ (q / np.linalg.norm(q))
+    return [i for _, i in sorted((-round(x, 12), i) for x, i in zip(c, ids) if i != own)[:k]]
+
+
+def clustered(n=3000, d=24, groups=30):
+    draw = np.random.default_rng(3)
+    centres = draw.standard_normal((groups, d)) * 4
+    return centres[draw.integers(0, groups, n)] + draw.standard_normal((n, d)) * 0.3
+
+
+def by_query(found):
+    out = {}
+    for r in sorted(found.collect(), key=lambda r: (r.query_id, r["rank"])):
+        out.setdefault(r.query_id, []).append(r.id)
+    return out
+
+
+def test_index_is_exact_prunes_cells_and_grows(spark, monkeypatch):
+    from siltstone.operators import vector_index
+
+    monkeypatch.setattr(vector_index, "BLOCK", 50)
+    v = clustered()
+    index = VectorIndex.build(frame(spark, v[:2500]), tables.scratch(spark))
+    queries = frame(spark, v).where("id % 97 = 0")
+    found = index.search(queries, 7).cache()
+    assert by_query(found) == {i: nearest(v[:2500], v[i], 7) for i in range(0, 3000, 97)}
+    assert found.selectExpr("avg(cells) as c").first().c < 0.4 * len(index.centres())
+    index.add(frame(spark, v).where("id >= 2500"))
+    assert by_query(index.search(queries, 7, exclude_self=True)) == {i: nearest(v, v[i], 7, own=i) for i in range(0, 3000, 97)}
+    near = by_query(index.search(queries, 7, exact=False, probes=2))
+    assert sum(len({*near[i]} & {*nearest(v, v[i], 7)}) for i in near) >= 0.9 * 7 * len(near)
+
+
+def test_index_of_odd_rows(spark):
+    rows = [("a", [1.0, 0.0]), ("b", [2.0, 0.0]), ("c", [1.0, 0.0]), ("d", None), ("e", [0.0, 0.0]), ("f", [0.0, 1.0]), ("g", [float("nan"), 1.0])]
+    df = spark.createDataFrame(rows, "id string, v array<double>")
+    index = VectorIndex.build(df, tables.scratch(spark), cells=2)
+    assert by_query(index.search(df, 3)) == {"a": ["a", "b", "c"], "b": ["a", "b", "c"], "c": ["a", "b", "c"], "f": ["f", "a", "b"]}
+    assert by_query(index.search(df, 9, exclude_self=True))["f"] == ["a", "b", "c"]
+    assert index.search(df.limit(0), 3).collect() == []
+    empty = VectorIndex.build(df.limit(0), tables.scratch(spark))
+    assert empty.search(df, 3).collect() == []
+    empty.add(df.limit(0))
