@@ -66,33 +66,76 @@ def without_document(schedules: DataFrame, doc_id: str) -> tuple[DataFrame, int]
     return schedules.where(~gone), schedules.where(gone).count()
 
 
-#: Functions that reach beyond the rows: Java code, files, the session.
-UNSAFE = frozenset("reflect java_method try_reflect read_files input_file_name current_user session_user current_catalog current_schema current_database version".split())
+#: What a statement may be made of: nodes of its parsed plan, expressions in them, and functions by name.
+PLANS = frozenset(
+    "Project Filter Aggregate Sort GlobalLimit LocalLimit Offset Distinct Join Union Intersect Except SubqueryAlias UnresolvedSubqueryColumnAliases UnresolvedHaving UnresolvedWith UnresolvedRelation OneRowRelation".split()
+)
+EXPRESSIONS = frozenset(
+    "UnresolvedAttribute UnresolvedStar UnresolvedAlias UnresolvedOrdinal Alias MultiAlias Literal UnresolvedFunction And Or Not EqualTo EqualNullSafe LessThan LessThanOrEqual GreaterThan GreaterThanOrEqual Between In InSubquery Exists ScalarSubquery ListQuery "
+    "Like ILike RLike LikeAny LikeAll NotLikeAny NotLikeAll Cast CaseWhen If Add Subtract Multiply Divide Remainder IntegralDivide UnaryMinus UnaryPositive Concat IsNull IsNotNull SortOrder CreateNamedStruct UnresolvedExtractValue "
+    "WindowExpression WindowSpecDefinition SpecifiedWindowFrame UnspecifiedFrame UnboundedPreceding UnboundedFollowing CurrentRow".split()
+)
+FUNCTIONS = frozenset(
+    "count sum min max avg mean first last any_value collect_list collect_set lower upper trim ltrim rtrim length char_length substring substr concat concat_ws replace coalesce nullif ifnull nvl if abs round floor ceil ceiling greatest least "
+    "like contains startswith endswith instr locate split regexp_extract regexp_replace regexp_like rlike array_join sort_array size cast int string double date to_date to_timestamp date_format hour minute year month day dayofweek "
+    "row_number rank dense_rank lag lead percentile stddev variance count_if isnull isnotnull and or not = == <> != < <= > >= + - * / % || between in".split()
+)
+
+
+def check_plan(plan, views: set[str]) -> None:
+    """Raise ValueError unless a parsed plan is made of PLANS, EXPRESSIONS and FUNCTIONS and reads nothing but views.
+
+    A common table expression may be read after its own definition, in the statement that defines it.
+    """
+    seq = lambda s: [s.apply(i) for i in range(s.size())]
+    kind = plan.getClass().getSimpleName().rstrip("$")
+    if kind not in PLANS:
+        raise ValueError("only one SELECT is allowed")
+    if kind == "UnresolvedRelation":
+        name = [x.lower() for x in seq(plan.multipartIdentifier())]
+        if len(name) != 1 or name[0] not in views:
+            raise ValueError(f"no such view: {'.'.join(name)}")
+    if kind == "UnresolvedWith":
+        if plan.allowRecursion():
+            raise ValueError("only one SELECT is allowed")
+        for relation in seq(plan.cteRelations()):
+            check_plan(relation._2(), views)
+            views = views | {relation._1().lower()}
+
+    def check(e) -> None:
+        name = e.getClass().getSimpleName().rstrip("$")
+        if name not in EXPRESSIONS:
+            raise ValueError(f"not allowed: {name}")
+        if name == "UnresolvedFunction":
+            called = [x.lower() for x in seq(e.nameParts())]
+            if len(called) != 1 or called[0] not in FUNCTIONS:
+                raise ValueError(f"not allowed: {'.'.join(called)}")
+        if name in ("InSubquery", "Exists", "ScalarSubquery", "ListQuery"):
+            check_plan((e.query() if name == "InSubquery" else e).plan(), views)
+        for child in seq(e.children()):
+            if child.getClass().getSimpleName() != "ListQuery":
+                check(child)
+
+    for e in seq(plan.expressions()):
+        check(e)
+    for child in seq(plan.children()):
+        check_plan(child, views)
 
 
 def run_select(spark: SparkSession, sql: str, **views: DataFrame) -> DataFrame:
     """The result of one SELECT over the given views; anything else is refused.
 
-    The statement is parsed, not searched for words: its plan must be a query, all its relations given views or its own
-    common table expressions, and its functions none of UNSAFE.
+    The statement is parsed, and every node of its plan must be one that a plain query is made of (check_plan).
     """
     statement = sql.strip().rstrip(";").strip()
     names = {k: f"view_{uuid.uuid4().hex}" for k in views}
     for k, name in names.items():
         statement = re.sub(r"\{" + re.escape(k) + r"\}", name, statement)
     try:
-        tree = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement).treeString()
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
     except ParseException as e:
         raise ValueError("only one SELECT is allowed") from e
-    if not re.match(r"(?is)(select|with)\b", statement) or re.search(r"(?m)^\W*(Insert\w*|Create\w*|Drop\w*|Set\w*Command|UnresolvedTableValuedFunction)\b", tree):
-        raise ValueError("only one SELECT is allowed")
-    own = {x.lower() for x in re.findall(r"(?m)CTE \[([^\]]*)\]", tree) for x in x.split(", ")}
-    relations = {x.lower() for x in re.findall(r"'UnresolvedRelation \[([^\]]*)\]", tree)}
-    functions = {x.lower() for x in re.findall(r"'(?:\w+\.)*(\w+)\(", tree)}
-    if beyond := relations - own - {n.lower() for n in names.values()}:
-        raise ValueError(f"no such view: {', '.join(sorted(beyond))}")
-    if functions & UNSAFE:
-        raise ValueError(f"not allowed: {', '.join(sorted(functions & UNSAFE))}")
+    check_plan(plan, set(names.values()))
     for k, name in names.items():
         views[k].createOrReplaceTempView(name)
     try:

@@ -10,12 +10,23 @@ def test_only_given_views_can_be_read(spark, sf):
     rows = spark.createDataFrame([("G1", "Monday"), ("G2", None)], "class_group string, day string")
     assert run_select(spark, "SELECT 'data set x' AS x, day FROM {s} WHERE day = 'Monday';", s=rows).collect() == [("data set x", "Monday")]
     assert run_select(spark, "WITH d AS (SELECT * FROM {s}) SELECT count(*) AS n FROM d", s=rows).first().n == 2
+    spark.range(3).createOrReplaceTempView("other")
+    for sql in (
+        "SELECT upper(day) AS d, count(*) AS n FROM {s} GROUP BY upper(day) HAVING count(*) >= 1 ORDER BY 1 LIMIT 5", "SELECT a.day FROM {s} AS a JOIN {s} AS b ON a.class_group = b.class_group WHERE a.day LIKE 'M%' OR a.day IS NULL AND NOT a.day IN ('x', 'y')",
+        "SELECT * FROM {s} WHERE day IN (SELECT day FROM {s}) AND EXISTS (SELECT 1 FROM {s}) AND class_group BETWEEN 'A' AND 'Z'", "WITH a AS (SELECT * FROM {s}), b AS (SELECT * FROM a) SELECT DISTINCT day FROM b UNION ALL SELECT day FROM a", "SELECT class_group || 'x' AS y, CASE WHEN day = 'Monday' THEN 1 ELSE 2 END AS z, CAST(1 AS STRING) AS w, row_number() OVER (PARTITION BY day ORDER BY class_group) AS n FROM {s}",
+        "select * from {s} where lower(day) = 'monday' order by day, class_group",
+    ):
+        assert run_select(spark, sql, s=rows).collect() is not None
     for sql in (
         f"SELECT * FROM parquet.`{sf}/nation.parquet`", "SELECT reflect('java.lang.Math', 'abs', -7) AS x", "DROP TABLE x", "SELECT java_method('java.lang.Math', 'abs', -7) AS x FROM {s}",
+        "SELECT * FROM IDENTIFIER('other')", "WITH other AS (SELECT * FROM other) SELECT * FROM other", "SELECT IDENTIFIER('reflect')('java.lang.Math', 'abs', -7) FROM {s}", "SELECT 1 AS x LIMIT (SELECT count(*) FROM other)",
+        f"SELECT {', '.join(f'{i} AS c{i}' for i in range(40))}, reflect('java.lang.Math', 'abs', -7) AS x FROM {{s}}", "WITH a AS (SELECT * FROM b), b AS (SELECT 1 AS x) SELECT * FROM a", "SELECT (SELECT max(x) FROM other) AS y", "SELECT * FROM {s} WHERE EXISTS (SELECT * FROM other)",
+        "SELECT * FROM range(3)", "SELECT transform(day) USING 'cat' FROM {s}", "SELECT x.reflect('a') FROM {s} AS x", "SELECT current_user() AS u", "WITH d AS (DELETE FROM {s}) SELECT 1", "SELECT * FROM {s} JOIN other ON true", "SELECT * FROM (SELECT * FROM (SELECT * FROM other))", "SELECT * FROM spark_catalog.default.other",
         "SELECT * FROM other", "INSERT INTO {s} VALUES (1, 2)", "SELECT * FROM {s} WHERE day IN (SELECT day FROM other)", "SET a = b", "SHOW TABLES",
     ):
-        with pytest.raises(Exception):  # noqa: B017 a ValueError, or the parser's own
-            run_select(spark, sql, s=rows).collect()
+        with pytest.raises(ValueError):
+            run_select(spark, sql, s=rows)
+    spark.catalog.dropTempView("other")
 
 
 def test_answers(spark):
