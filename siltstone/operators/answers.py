@@ -27,9 +27,9 @@ def schedule_line() -> Column:
 
 def format_rows(rows: DataFrame, by: str, order: list[str], most: int = 5) -> DataFrame:
     """(by, answer): the first ``most`` lines of each group and how many there are. rows: by, line and order's columns."""
-    ranked = rows.withColumn("n", F.row_number().over(W.partitionBy(by).orderBy(*order))).groupBy(by)
-    first = F.array_sort(F.collect_list(F.when(F.col("n") <= most, F.struct("n", "line"))))
-    found = ranked.agg(F.transform(first, lambda x: x["line"]).alias("lines"), F.count("*").alias("total"))
+    top = rows.withColumn("n", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("n") <= most)
+    lines = top.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("first"))
+    found = lines.join(rows.groupBy(by).agg(F.count("*").alias("total")), by).withColumn("lines", F.transform("first", lambda x: x["line"]))
     rest = F.when(F.col("total") > most, F.concat(F.lit(f"\n\n(Showing first {most} of "), F.col("total"), F.lit(" results)"))).otherwise("")
     return found.select(by, F.concat(F.array_join("lines", "\n"), rest).alias("answer"))
 

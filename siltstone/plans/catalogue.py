@@ -12,7 +12,7 @@ from siltstone import providers
 from siltstone.config import Settings
 from siltstone.functions import lexicons as L
 from siltstone.functions import text as X
-from siltstone.operators import answers, chunking, dedup, memory, routing, schedule, search, timetable, upkeep
+from siltstone.operators import answers, chunking, dedup, memory, route, routing, schedule, search, timetable, upkeep
 from siltstone.operators.tables import scratch
 from siltstone.operators.term_index import TermIndex
 from siltstone.operators.vector_index import VectorIndex
@@ -665,6 +665,53 @@ def answer_approach(spark, sf):
     return found.select("qid", answers.approach(structured, live).alias("approach"), answers.source_limit(structured, live).alias("context_limit"))
 
 
+#: Each conversation's user turns, some behind a question about the timetable, a greeting or a word of the router's.
+ROUTED = ["Which class is in Room 12 on Monday? ", "What is on in Room 7 today? ", "hello there ", "Explain the requirement policy for Tuesday in lab 2. ", "", "", "Wednesday? "]
+ROUTED_SQL = f"""q AS (SELECT conv_id * 1000 + turn AS qid, CASE WHEN (conv_id + turn) % 11 = 10 THEN NULL ELSE [{quoted(ROUTED)}][1 + (conv_id + turn) % {len(ROUTED)}] || {ASCII} END AS text FROM conversations WHERE role = 'user')"""
+ROUTED_TERMS = TFIDF.replace(f"UNION ALL SELECT -1, list_filter(regexp_extract_all('{ASKED}'", "UNION ALL SELECT -1 - qid, list_filter(regexp_extract_all(lower(text)").replace(f"NOT IN ({quoted(L.STOP_WORDS)}))),\ng AS", f"NOT IN ({quoted(L.STOP_WORDS)})) FROM q WHERE text IS NOT NULL),\ng AS")
+ROUTED_TERMS = ROUTED_TERMS.replace("SELECT d.doc_id, sum(d.w * q.w) AS score", "SELECT -1 - q.doc_id AS qid, d.doc_id, sum(d.w * q.w) AS score").replace("WHERE q.doc_id = -1 AND d.doc_id >= 0 GROUP BY d.doc_id", "WHERE q.doc_id < 0 AND d.doc_id >= 0 GROUP BY q.doc_id, d.doc_id")
+INTENT_OF = f"""CASE WHEN t = '' THEN 'general_chat' WHEN regexp_matches(t, '(?i){L.GREETING}') AND n <= 6 THEN 'general_chat' WHEN regexp_matches(t, '(?i){L.FEEDBACK}') AND NOT contains(t, '?') AND n <= 10 THEN 'feedback' {" ".join(f"WHEN {like_any('lower(t)', words)} THEN '{kind}'" for kind, _, words in L.INTENT_WORDS)} ELSE 'factual_query' END"""
+KEY_PARTS = {name: f"nullif(lower(regexp_extract(text, '(?i){pattern}', 1)), '')" for name, pattern in answers.FIELDS.items()}
+
+
+@query(
+    f"WITH {TIMETABLE}, s2 AS (SELECT * REPLACE ('Room ' || room[2:] AS room) FROM s), {ROUTED_SQL}, {ROUTED_TERMS},"
+    f" a AS (SELECT *, {CATS} AS cats, {ENTS} AS ents, {like_sum('lower(text)', L.SEMANTIC_WORDS)} AS k, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM q WHERE text IS NOT NULL),"
+    f" b AS (SELECT *, 2 * len(cats) + ents AS sc, len(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '')) AS n, {', '.join(f'{v} AS f_{x}' for x, v in KEY_PARTS.items())} FROM a),"
+    f" c AS (SELECT *, {INTENT_OF} AS intent_type, CASE WHEN sc >= 3 AND k <= 1 THEN 'structured' WHEN sc >= 1 AND k >= 2 THEN 'hybrid' WHEN k > sc THEN 'semantic' WHEN sc > 0 THEN 'structured' ELSE 'unknown' END AS query_type FROM b),"
+    f" e AS (SELECT c.qid, {', '.join(answers.FIELDS)}, start_time, end_time, subject, row_number() OVER (PARTITION BY c.qid ORDER BY \"day\", start_time, class_group || ' has ' || subject || ' on ' || \"day\" || ' from ' || start_time || ' to ' || end_time || ' in ' || room) AS r, count(*) OVER (PARTITION BY c.qid) AS total"
+    f" FROM c JOIN s2 ON query_type <> 'semantic' AND coalesce({', '.join('f_' + x for x in answers.FIELDS)}) IS NOT NULL AND {' AND '.join(f'(f_{x} IS NULL OR f_{x} = lower({x}))' for x in answers.FIELDS)}),"
+    " st AS (SELECT qid, any_value(total) AS total, string_agg(class_group || ' has ' || subject || ' on ' || \"day\" || ' from ' || start_time || ' to ' || end_time || ' in ' || room, chr(10) ORDER BY r) FILTER (r <= 5) || CASE WHEN any_value(total) > 5 THEN chr(10) || chr(10) || '(Showing first 5 of ' || any_value(total) || ' results)' ELSE '' END AS answer FROM e GROUP BY qid),"
+    " h AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM lex),"
+    " u AS (SELECT c.qid, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rank) AS sources, count(*) AS n FROM c JOIN h USING (qid) WHERE score > 0.1 AND rank <= CASE WHEN query_type = 'hybrid' THEN 10 ELSE 15 END GROUP BY c.qid),"
+    " p AS (SELECT qid, chr(10) || '**Additional Context:**' || chr(10) || string_agg('• ' || substr(text, 1, 200) || '...', chr(10) ORDER BY rank) AS said FROM (SELECT qid, rank, docs.text, row_number() OVER (PARTITION BY qid ORDER BY rank) AS i FROM h JOIN docs USING (doc_id) WHERE rank <= 3 AND score > 0.7) WHERE i <= 2 AND text <> '' GROUP BY qid),"
+    f" z AS (SELECT c.*, intent_type IN ({quoted(list(routing.CANNED))}) AS canned, coalesce(total, 0) AS total, answer, coalesce(u.n, 0) AS nh, coalesce(sources, '') AS sources, said, query_type = 'unknown' AND coalesce(u.n, 0) < 3 AND total > 0 AS fell FROM c LEFT JOIN st USING (qid) LEFT JOIN u USING (qid) LEFT JOIN p USING (qid)),"
+    " y AS (SELECT *, NOT canned AND (query_type = 'structured' AND total > 0 OR coalesce(fell, false)) AS tabled FROM z)"
+    " SELECT qid, intent_type, query_type, CASE WHEN canned THEN 'canned' WHEN tabled THEN 'structured' WHEN query_type = 'hybrid' THEN 'hybrid' ELSE 'semantic' END AS approach,"
+    " CASE WHEN canned THEN NULL WHEN fell THEN 'structured' WHEN query_type = 'structured' AND NOT tabled THEN 'semantic' END AS fallback,"
+    f" md5(CASE WHEN canned THEN CASE intent_type {' '.join(f'WHEN {chr(39)}{x}{chr(39)} THEN {chr(39)}{t}{chr(39)}' for x, t in routing.CANNED.items())} END WHEN tabled THEN answer WHEN query_type = 'hybrid' THEN coalesce(nullif(concat_ws(chr(10), '**Schedule Information:**' || chr(10) || answer, said), ''), 'I couldn''t find specific information to answer your question.') END) AS answer_md5,"
+    " CASE WHEN canned OR tabled THEN '' ELSE sources END AS sources, CAST(CASE WHEN canned THEN 0 WHEN tabled THEN total WHEN query_type = 'hybrid' THEN total + nh ELSE nh END AS BIGINT) AS result_count, CAST(NULL AS VARCHAR) AS error FROM y"
+    " UNION ALL SELECT qid, NULL, NULL, 'none', NULL, NULL, NULL, 0, 'Query processing failed: no question' FROM q WHERE text IS NULL"
+)
+def routed_answers(spark, sf):
+    """Every user turn of the conversations as a question, answered by its route from the timetable and an index of the documents."""
+    said = table(spark, sf, "conversations").where("role = 'user'")
+    n = F.col("conv_id") + F.col("turn")
+    front = F.element_at(F.array(*[F.lit(x) for x in ROUTED]), (1 + n % len(ROUTED)).cast("int"))
+    asked = said.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.when(n % 11 != 10, F.concat(front, F.regexp_replace("text", r"[^\x00-\x7f]", ""))).alias("text"))
+    docs = clean(spark, sf).select("doc_id", "text")
+    index = TermIndex.build(docs, scratch(spark))
+    index.refresh()
+
+    def searched(some: DataFrame) -> DataFrame:
+        scores = index.scores(some.withColumnRenamed("qid", "doc_id")).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id")))
+        return scores.where("rank <= 15 and score > 0.1").join(docs, "doc_id").select(F.col("query_id").alias("qid"), F.col("doc_id").alias("key"), "text", "score", "rank")
+
+    rooms = timetable_view(spark, sf).withColumn("room", F.concat(F.lit("Room "), F.substring("room", 2, 9)))
+    found = route.answer_questions(asked, rooms, searched)
+    return found.withColumn("answer_md5", F.md5("answer")).withColumn("sources", F.array_join("sources", ",")).drop("answer")
+
+
 @query(
     f"SELECT CAST({len(L.STRUCTURED_PATTERNS)} AS BIGINT) AS structured_pattern_categories, CAST({sum(map(len, L.STRUCTURED_PATTERNS.values()))} AS BIGINT) AS total_structured_patterns, CAST({len(L.SCHEDULE_ENTITIES)} AS BIGINT) AS schedule_entity_patterns,"
     f" CAST({len(L.SEMANTIC_WORDS)} AS BIGINT) AS semantic_keywords, true AS supports_hybrid_queries, true AS fallback_available"
