@@ -12,7 +12,9 @@ from siltstone import providers
 from siltstone.config import Settings
 from siltstone.functions import text as X
 from siltstone.functions import vectors as V
-from siltstone.operators import chunking, dedup, memory, routing, schedule, search, timetable, upkeep
+from siltstone.operators import chunking, dedup, memory, route, routing, schedule, search, timetable, upkeep
+from siltstone.operators.tables import scratch
+from siltstone.operators.vector_index import VectorIndex
 from siltstone.sources import files, sinks
 
 
@@ -30,8 +32,9 @@ class Engine:
 
     def _put(self, df: DataFrame, name: str) -> None:
         df.write.mode("overwrite").parquet(f"{self.folder}/{name}")
-        if name == "index":  # its postings are old now
+        if name == "index":  # what was made of it is old now
             self.__dict__.pop("lexical_index", None)
+            self.__dict__.pop("vector_index", None)
 
     def _upsert(self, df: DataFrame, name: str) -> None:
         """Put in place of the rows of df's documents, and keep those of others. df must not read the table."""
@@ -106,14 +109,41 @@ class Engine:
     def similar_chunks(self, chunk_id: str, k: int = 5) -> DataFrame:
         return search.similar_to(self.table("index"), chunk_id, k, "chunk_id", "embedding")
 
+    @cached_property
+    def vector_index(self) -> VectorIndex:
+        return VectorIndex.build(self.table("index"), scratch(self.spark), "chunk_id", "embedding")
+
+    def schedules(self) -> DataFrame:
+        """The timetable; empty before anything was uploaded."""
+        try:
+            return self.table("schedules")
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return self.spark.createDataFrame([], "class_group string, subject string, day string, start_time string, end_time string, room string")
+
+    def answer_all(self, questions: DataFrame) -> DataFrame:
+        """One row for each question (qid, text), answered by its route: the timetable, chunks near in meaning, or both."""
+
+        def near(asked: DataFrame) -> DataFrame:
+            vectors = asked.select("qid", self.embed(F.col("text"), self.settings.dimensions).alias("embedding")).where("embedding is not null")
+            hits = self.vector_index.search(vectors, route.ALONE, "qid", "embedding")
+            return hits.join(self.table("index").select(F.col("chunk_id").alias("id"), "text"), "id").select(F.col("query_id").alias("qid"), F.col("id").alias("key"), "text", "score", "rank")
+
+        return route.answer_questions(questions, self.schedules(), near, classify=self.classify)
+
     def answer(self, query: str, k: int = 15) -> DataFrame:
-        """One row: the question's intent and route, the context's sources and the answer."""
-        asked = routing.classify(routing.analyse(self.spark.createDataFrame([(query,)], "text string")), model=self.classify)
+        """One row: the question's intent and route, what answered it, the context's sources and the answer.
+
+        The route's answer stands where it has one; else one is made from packed context.
+        """
+        one = self.spark.createDataFrame([(0, query)], "qid long, text string")
+        asked = routing.classify(routing.analyse(one), model=self.classify)
+        routed = self.answer_all(one).select("qid", "approach", "result_count", "answer")
         ranked = self.search(query, k).withColumn("rank", F.row_number().over(W.orderBy(F.coalesce("enhanced_score", "score").desc(), "chunk_id")))
         packed = memory.pack_context(ranked, self.settings.context_budget)
         context = packed.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"]), "\n\n").alias("context"), F.sort_array(F.collect_set("doc_id")).alias("sources"))
-        canned = routing.canned_answer(F.col("intent_type"))
-        return asked.join(context).withColumn("response", F.coalesce(canned, self.generate(F.col("text"), F.col("context"))))
+        return asked.join(routed, "qid").drop("qid").join(context).withColumn("response", F.coalesce("answer", self.generate(F.col("text"), F.col("context")))).drop("answer")
 
     def upload_schedule(self, cells: DataFrame, doc_id: str, now=None) -> int:
         """Entries of grids into the timetable; how many."""
