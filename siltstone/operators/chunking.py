@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions import lexicons as L
@@ -81,24 +82,50 @@ def chunk_fixed(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFr
     return cut.select("doc_id", "chunk_index", F.substring("clean", F.col("start") + 1, F.lit(size)).alias("text"))
 
 
-def sentence_rows(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("pos", "sentence"))
+def boundaries(words: list[list[str]], lengths: list[int], target: int, floor: float) -> list[int]:
+    """Where chunks begin, by sentence numbers, and last the number of sentences.
 
+    A sentence that is neither the first nor the last begins one if the cosines of its word counts with both neighbours are under
+    ``floor``; then it begins one, perhaps again, if the sentences since the last beginning, itself included, pass one and
+    a half of ``target`` characters.
+    """
+    counts = [Counter(w) for w in words]
+    norms = [math.sqrt(sum(n * n for n in c.values())) for c in counts]
+    like = [sum(n * b[w] for w, n in a.items()) / (x * y) if x and y else 0.0 for a, b, x, y in zip(counts, counts[1:], norms, norms[1:])]
+    found, grown = [0], lengths[0]
+    for i in range(1, len(words) - 1):
+        apart = like[i - 1] < floor and like[i] < floor
+        grown = lengths[i] if apart else grown + lengths[i]
+        found += [i] * apart
+        if grown > 1.5 * target:
+            found.append(i)
+            grown = lengths[i]
+    return [*found, len(words)]
+
+
+def overlapping(bounds: list[int], ratio: float) -> list[tuple[int, int]]:
+    """From each boundary to the next, end excluded, with as many sentences more on both inner sides as overlap."""
+    n = bounds[-1]
+    more = int(n * ratio) if n > 5 else 1
+    last = len(bounds) - 2
+    return [(max(0, a - more * (i > 0)), min(n, b + more * (i < last))) for i, (a, b) in enumerate(zip(bounds, bounds[1:]))]
+
+
+def semantic_chunks(docs: DataFrame, target: int = 400, floor: float = 0.7, ratio: float = 0.1) -> DataFrame:
+    """Overlapping chunks of whole sentences between places where sentences are unlike both neighbours, bounded in length.
+
+    docs: doc_id, text. A sentence's vector counts its words. Chunks of a document overlap by ``ratio`` of its sentences, by
+    one where it has five or fewer. sentence_range has the numbers of the first sentence and of the one after the last. The
+    first and the last chunk have a boundary score of 1, others 0.8. A text without a sentence has no chunk.
+    """
 
-def semantic_chunks(docs: DataFrame, target: int = 500, floor: float = 0.05) -> DataFrame:
-    """Chunks at boundaries between sentences of little likeness, bounded in length.
+    @F.pandas_udf("array<struct<first: int, last: int>>")
+    def ranges(words: pd.Series, lengths: pd.Series) -> pd.Series:
+        return pd.Series([overlapping(boundaries([list(x) for x in w], list(n), target, floor), ratio) if len(n) else [] for w, n in zip(words, lengths)])
 
-    Likeness is the Jaccard similarity of word sets, in place of a model's. A sentence begins a chunk when it is unlike
-    both neighbours or the text since the last target passes one and a half of it.
-    """
-    order = W.partitionBy("doc_id").orderBy("pos")
-    rows = sentence_rows(docs).withColumn("set", X.word_set(F.col("sentence")))
-    rows = rows.withColumn("back", X.jaccard(F.col("set"), F.lag("set").over(order))).withColumn("on", X.jaccard(F.col("set"), F.lead("set").over(order)))
-    grown = F.floor((F.sum(F.length("sentence")).over(order.rowsBetween(W.unboundedPreceding, -1))) / (1.5 * target))
-    rows = rows.withColumn("block", F.coalesce(grown, F.lit(0)))
-    starts = ((F.col("back") < floor) & (F.col("on") < floor)) | (F.col("block") != F.lag("block", 1, 0).over(order))
-    rows = rows.withColumn("chunk", F.sum(F.when(starts & (F.col("pos") > 0), 1).otherwise(0)).over(order))
-    grouped = rows.groupBy("doc_id", "chunk").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda s: s["sentence"]), " ").alias("text"))
-    ends = W.partitionBy("doc_id")
-    edge = (F.col("chunk") == F.min("chunk").over(ends)) | (F.col("chunk") == F.max("chunk").over(ends))
-    return grouped.select("doc_id", F.col("chunk").cast("int").alias("chunk_index"), "text", F.concat_ws("-", "first", "last").alias("sentence_range"), F.when(edge, 1.0).otherwise(0.8).alias("semantic_boundary_score"), X.chunker_score(F.col("text")).alias("information_score"))
+    rows = docs.select("doc_id", X.sentences(F.col("text")).alias("s")).where(F.size("s") > 0)
+    cut = rows.withColumn("r", ranges(F.transform("s", lambda x: X.words(F.lower(x))), F.transform("s", F.length)))
+    # The overlap grows with the document, so the chunks of a long one are far larger together than it: one at a time.
+    out = cut.select("doc_id", "s", F.size("r").alias("n"), F.posexplode("r").alias("chunk_index", "r")).select("doc_id", "n", "chunk_index", "r.*", F.array_join(F.slice("s", F.col("r.first") + 1, F.col("r.last") - F.col("r.first")), " ").alias("text")).where("text <> ''")
+    edge = (F.col("chunk_index") == 0) | (F.col("chunk_index") == F.col("n") - 1)
+    return out.select("doc_id", "chunk_index", "text", F.concat_ws("-", "first", "last").alias("sentence_range"), F.when(edge, 1.0).otherwise(0.8).alias("semantic_boundary_score"), X.chunker_score(F.col("text")).alias("information_score"))

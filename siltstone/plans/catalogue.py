@@ -116,9 +116,21 @@ def chunk_documents(spark, sf):
     return chunking.chunk_documents(table(spark, sf, "documents"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE d AS (SELECT doc_id, {CLEAN} AS text FROM documents), sp AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?]+[\"'')\\]]*)\\s+([A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS s FROM d),"
+    " t AS (SELECT doc_id, CAST(unnest(range(len(s))) AS INT) AS pos, unnest(s) AS s, CAST(len(s) AS INT) AS n FROM sp WHERE len(s) > 0), w AS (SELECT doc_id, pos, unnest(list_filter(regexp_split_to_array(lower(s), '\\s+'), lambda x: x <> '')) AS w FROM t),"
+    " c AS (SELECT doc_id, pos, w, count(*) AS c FROM w GROUP BY ALL), o AS (SELECT doc_id, pos, sqrt(sum(c * c)) AS o FROM c GROUP BY ALL), p AS (SELECT a.doc_id, a.pos, sum(a.c * b.c) AS p FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 AND a.w = b.w GROUP BY ALL),"
+    " l AS (SELECT p.doc_id, p.pos, p / (a.o * b.o) AS l FROM p JOIN o a ON a.doc_id = p.doc_id AND a.pos = p.pos JOIN o b ON b.doc_id = p.doc_id AND b.pos = p.pos + 1),"
+    " f AS MATERIALIZED (SELECT t.doc_id, t.pos, n, length(s) AS len, coalesce(x.l, 0) < 0.7 AND coalesce(y.l, 0) < 0.7 AS apart FROM t LEFT JOIN l x ON x.doc_id = t.doc_id AND x.pos = t.pos - 1 LEFT JOIN l y ON y.doc_id = t.doc_id AND y.pos = t.pos),"
+    " r AS (SELECT doc_id, pos, n, len AS g, 0 AS k FROM f WHERE pos = 0 UNION ALL SELECT f.doc_id, f.pos, f.n, CASE WHEN (CASE WHEN apart THEN 0 ELSE g END) + len > 600 THEN len ELSE (CASE WHEN apart THEN 0 ELSE g END) + len END,"
+    " CAST(apart AS INT) + CAST((CASE WHEN apart THEN 0 ELSE g END) + len > 600 AS INT) FROM r JOIN f ON f.doc_id = r.doc_id AND f.pos = r.pos + 1 AND f.pos < f.n - 1),"
+    " b AS (SELECT doc_id, n, 0 AS p0 FROM f WHERE pos = 0 UNION ALL SELECT doc_id, n, pos FROM (SELECT doc_id, n, pos, unnest(range(k)) FROM r) UNION ALL SELECT doc_id, n, n FROM f WHERE pos = 0),"
+    " g AS (SELECT doc_id, n, p0, lead(p0) OVER v AS upto, row_number() OVER v - 1 AS i, count(*) OVER (PARTITION BY doc_id) - 2 AS last, CASE WHEN n > 5 THEN CAST(floor(n * 0.1) AS INT) ELSE 1 END AS more FROM b WINDOW v AS (PARTITION BY doc_id ORDER BY p0)),"
+    " h AS (SELECT doc_id, i, last, greatest(0, p0 - CASE WHEN i > 0 THEN more ELSE 0 END) AS a, least(n, upto + CASE WHEN i < last THEN more ELSE 0 END) AS z FROM g WHERE upto IS NOT NULL)"
+    " SELECT doc_id, CAST(i AS INT) AS chunk_index, md5(array_to_string(s[a + 1:z], ' ')) AS text_md5, a || '-' || z AS sentence_range, CAST(CASE WHEN i = 0 OR i = last THEN 1.0 ELSE 0.8 END AS DOUBLE) AS semantic_boundary_score FROM h JOIN sp USING (doc_id) WHERE a < z"
+)
 def semantic_chunks(spark, sf):
-    return chunking.semantic_chunks(clean(spark, sf))
+    return chunking.semantic_chunks(clean(spark, sf)).select("doc_id", "chunk_index", F.md5("text").alias("text_md5"), "sentence_range", "semantic_boundary_score")
 
 
 @query("SELECT md5(text) AS text_md5, min(doc_id) AS first_id, count(*) AS n_docs FROM documents GROUP BY text HAVING count(*) > 1")
