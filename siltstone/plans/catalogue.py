@@ -260,16 +260,16 @@ def lexical_grown(spark, sf):
     return index.search(spark.createDataFrame([(-1, ASKED)], "doc_id long, text string"), 10).select("doc_id", six("score").alias("score"))
 
 
-BATCH = TFIDF.replace(f"UNION ALL SELECT -1, list_filter(regexp_extract_all('{ASKED}'", "UNION ALL SELECT -1 - conv_id, list_filter(regexp_extract_all(lower(regexp_replace(text, '[^\\x00-\\x7f]', '', 'g'))").replace(f"NOT IN ({quoted(L.STOP_WORDS)}))),\ng AS", f"NOT IN ({quoted(L.STOP_WORDS)})) FROM conversations WHERE turn = 0),\ng AS")
+BATCH = TFIDF.replace(f"UNION ALL SELECT -1, list_filter(regexp_extract_all('{ASKED}'", "UNION ALL SELECT -1 - conv_id, list_filter(regexp_extract_all(lower(regexp_replace(text, '[^\\x00-\\x7f]', '', 'g'))").replace(f"NOT IN ({quoted(L.STOP_WORDS)}))),\ng AS", f"NOT IN ({quoted(L.STOP_WORDS)})) FROM conversations WHERE turn = 0 AND conv_id % 100 = 0),\ng AS")
 BATCH = BATCH.replace("SELECT d.doc_id, sum(d.w * q.w) AS score", "SELECT -1 - q.doc_id AS conv_id, d.doc_id, sum(d.w * q.w) AS score").replace("WHERE q.doc_id = -1 AND d.doc_id >= 0 GROUP BY d.doc_id", "WHERE q.doc_id < 0 AND d.doc_id >= 0 GROUP BY q.doc_id, d.doc_id")
 
 
 @query(f"WITH {BATCH}, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM lex) SELECT conv_id, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3 AND score > 0.1")
 def lexical_batch(spark, sf):
-    """The three documents whose words are nearest to each conversation's first turn, from weights written once."""
+    """The three documents whose words are nearest to the first turn of each conversation whose id is divisible by 100, from weights written once."""
     index = TermIndex.build(clean(spark, sf).select("doc_id", "text"), scratch(spark))
     index.refresh()
-    asked = table(spark, sf, "conversations").where("turn = 0").select(F.col("conv_id").alias("doc_id"), F.regexp_replace("text", r"[^\x00-\x7f]", "").alias("text"))
+    asked = table(spark, sf, "conversations").where("turn = 0 and conv_id % 100 = 0").select(F.col("conv_id").alias("doc_id"), F.regexp_replace("text", r"[^\x00-\x7f]", "").alias("text"))
     hits = index.scores(asked).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id")))
     return hits.where("rank <= 3 and score > 0.1").select(F.col("query_id").alias("conv_id"), "doc_id", six("score").alias("score"), "rank")
 
@@ -677,9 +677,10 @@ def answer_approach(spark, sf):
     return found.select("qid", answers.approach(structured, live).alias("approach"), answers.source_limit(structured, live).alias("context_limit"))
 
 
-#: Each conversation's user turns, some behind a question about the timetable, a greeting or a word of the router's.
+#: Fixed questions, and the user turns of conversations whose ids are divisible by 100, some behind a question about the timetable, a greeting or a word of the router's.
 ROUTED = ["Which class is in Room 12 on Monday? ", "What is on in Room 7 today? ", "hello there ", "Explain the requirement policy for Tuesday in lab 2. ", "", "", "Wednesday? "]
-ROUTED_SQL = f"""q AS (SELECT conv_id * 1000 + turn AS qid, CASE WHEN (conv_id + turn) % 11 = 10 THEN NULL ELSE [{quoted(ROUTED)}][1 + (conv_id + turn) % {len(ROUTED)}] || {ASCII} END AS text FROM conversations WHERE role = 'user')"""
+ROUTED_SQL = f"""q AS (SELECT conv_id * 1000 + turn AS qid, CASE WHEN (conv_id + turn) % 11 = 10 THEN NULL ELSE [{quoted(ROUTED)}][1 + (conv_id + turn) % {len(ROUTED)}] || {ASCII} END AS text FROM conversations WHERE role = 'user' AND conv_id % 100 = 0
+ UNION ALL SELECT {10**12} + i, [{quoted([*QUESTIONS, *ROUTED])}][1 + i] FROM (SELECT unnest(range({len(QUESTIONS) + len(ROUTED)})) AS i))"""
 ROUTED_TERMS = TFIDF.replace(f"UNION ALL SELECT -1, list_filter(regexp_extract_all('{ASKED}'", "UNION ALL SELECT -1 - qid, list_filter(regexp_extract_all(lower(text)").replace(f"NOT IN ({quoted(L.STOP_WORDS)}))),\ng AS", f"NOT IN ({quoted(L.STOP_WORDS)})) FROM q WHERE text IS NOT NULL),\ng AS")
 ROUTED_TERMS = ROUTED_TERMS.replace("SELECT d.doc_id, sum(d.w * q.w) AS score", "SELECT -1 - q.doc_id AS qid, d.doc_id, sum(d.w * q.w) AS score").replace("WHERE q.doc_id = -1 AND d.doc_id >= 0 GROUP BY d.doc_id", "WHERE q.doc_id < 0 AND d.doc_id >= 0 GROUP BY q.doc_id, d.doc_id")
 INTENT_OF = f"""CASE WHEN t = '' THEN 'general_chat' WHEN regexp_matches(t, '(?i){L.GREETING}') AND n <= 6 THEN 'general_chat' WHEN regexp_matches(t, '(?i){L.FEEDBACK}') AND NOT contains(t, '?') AND n <= 10 THEN 'feedback' {" ".join(f"WHEN {like_any('lower(t)', words)} THEN '{kind}'" for kind, _, words in L.INTENT_WORDS)} ELSE 'factual_query' END"""
@@ -706,11 +707,12 @@ KEY_PARTS = {name: f"nullif(lower(regexp_extract(text, '(?i){pattern}', 1)), '')
     " UNION ALL SELECT qid, NULL, NULL, 'none', NULL, NULL, NULL, 0, 'Query processing failed: no question' FROM q WHERE text IS NULL"
 )
 def routed_answers(spark, sf):
-    """Every user turn of the conversations as a question, answered by its route from the timetable and an index of the documents."""
-    said = table(spark, sf, "conversations").where("role = 'user'")
+    """Questions answered by their routes, from the timetable and an index of all documents."""
+    said = table(spark, sf, "conversations").where("role = 'user' and conv_id % 100 = 0")
     n = F.col("conv_id") + F.col("turn")
     front = F.element_at(F.array(*[F.lit(x) for x in ROUTED]), (1 + n % len(ROUTED)).cast("int"))
     asked = said.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.when(n % 11 != 10, F.concat(front, F.regexp_replace("text", r"[^\x00-\x7f]", ""))).alias("text"))
+    asked = asked.unionAll(spark.createDataFrame([(10**12 + i, x) for i, x in enumerate([*QUESTIONS, *ROUTED])], "qid long, text string"))
     docs = clean(spark, sf).select("doc_id", "text")
     index = TermIndex.build(docs, scratch(spark))
     index.refresh()
