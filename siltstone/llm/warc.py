@@ -88,13 +88,13 @@ def field(name: str) -> Column:
 
 
 def pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """A saved table of what stands between the marks: id, file, split, file_size, value, size, head and length.
+    """A saved table of what stands between the marks: id, path, file (a hash of it), split, file_size, value, size, head, length.
 
     ``head`` is the header as far as it is in ``value`` (a file's first piece has the mark as well), ``length`` what it says
     of its block; null where it says nothing sound. The id ascends along a split.
     """
     raw = spark.read.option("lineSep", MARK).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("_metadata.file_size").alias("file_size"))
-    raw = raw.withColumns({"id": F.monotonically_increasing_id(), "size": F.octet_length("value").cast("long"), "head": F.when(F.contains("value", F.lit(GAP)), F.substring_index("value", GAP, 1))})
+    raw = raw.withColumns({"id": F.monotonically_increasing_id(), "size": F.octet_length("value").cast("long"), "head": F.when(F.contains("value", F.lit(GAP)), F.substring_index("value", GAP, 1))}).withColumn("path", F.col("file")).withColumn("file", F.xxhash64("path"))
     return save(spark, raw.withColumn("length", F.when(F.col("head").rlike(rf"^({re.escape(MAGIC)})?\d+\r\n"), field("Content-Length").try_cast("long"))))
 
 
@@ -167,7 +167,7 @@ def verified(spark: SparkSession, found: DataFrame) -> DataFrame:
         after = rows["next"].fillna(-1).astype("int64").to_numpy()
         return rows.assign(exit=exits(rows["start"].to_numpy(), after))[after >= 0][["file", "start", "exit"]]
 
-    left = save(spark, found.groupBy("file", "split").applyInPandas(leave, "file string, start long, exit long"))
+    left = save(spark, found.groupBy("file", "split").applyInPandas(leave, "file long, start long, exit long"))
     targets = left.where("exit >= 0").select("file", F.col("exit").alias("start")).unionAll(left.where("start = 0").select("file", "start")).distinct()
     marks = reached(spark, left.join(targets, ["file", "start"], "left_semi"))
     first = marks.select("file", F.col("start").alias("entry")).join(found.select("file", "split", F.col("start").alias("entry")), ["file", "entry"]).groupBy("file", "split").agg(F.min("entry").alias("entry"))
@@ -187,13 +187,13 @@ def verified(spark: SparkSession, found: DataFrame) -> DataFrame:
                 out.loc[here, name] = values[own[last[here]]]
         return out
 
-    marked = save(spark, found.join(first, ["file", "split"], "left").groupBy("file", "split").applyInPandas(mark, "file string, split long, id long, start long, file_size long, reached boolean, owner long, until long"))
+    marked = save(spark, found.join(first, ["file", "split"], "left").groupBy("file", "split").applyInPandas(mark, "file long, split long, id long, start long, file_size long, reached boolean, owner long, until long"))
     by_split = marked.groupBy("file", "split").agg(F.max_by("owner", F.when(F.col("owner").isNotNull(), F.col("start"))).alias("o"), F.max_by("until", F.when(F.col("owner").isNotNull(), F.col("start"))).alias("u"))
     before = W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)
     carried = by_split.select("file", "split", F.last("o", True).over(before).alias("o"), F.last("u", True).over(before).alias("u"))
     owned = marked.join(carried, ["file", "split"]).withColumns({"owner": F.coalesce("owner", "o"), "until": F.coalesce("until", "u")})
     ends = marked.where("reached").select("file", F.col("start").alias("until"), F.lit(True).alias("sound"))
-    checked = owned.join(ends.hint("merge"), ["file", "until"], "left")  # a row for each record: never broadcast.withColumn("whole", F.coalesce("sound", F.lit(False)) | (F.col("until") == F.col("file_size")))
+    checked = owned.join(ends, ["file", "until"], "left").withColumn("whole", F.coalesce("sound", F.lit(False)) | (F.col("until") == F.col("file_size")))
     return save(spark, checked.select("file", "id", "start", "reached", F.when(F.col("reached") | (F.col("start") < F.col("until")), F.col("owner")).alias("owner"), "whole"))
 
 
@@ -209,11 +209,11 @@ def read_warc(spark: SparkSession, path: str | list[str]) -> DataFrame:
     verdict = verified(spark, candidates(spark, table))
     # What isn't a record by itself, and the records that such pieces belong to: few, but where payloads hold archives.
     odd = verdict.where("owner is null or not reached or not whole")
-    mixed = verdict.hint("merge").join(odd.select("owner").distinct(), "owner").select("id", "owner", "start", "whole")
+    mixed = verdict.join(odd.select("owner").distinct(), "owner").select("id", "owner", "start", "whole")
     odd = save(spark, mixed.unionAll(odd.where("owner is null").select("id", "owner", "start", "whole")))
-    alone = table.join(odd, "id", "left_anti").select("file", "value", F.lit(True).alias("whole"))
-    parts = table.join(odd.where("owner is not null"), "id").groupBy("owner").agg(F.first("file").alias("file"), F.sort_array(F.collect_list(F.struct("start", "value"))).alias("parts"), F.first("whole").alias("whole"))
-    joined = parts.select("file", F.array_join(F.transform("parts", lambda x: x["value"]), MARK).alias("value"), "whole")
+    alone = table.join(odd, "id", "left_anti").select("path", "value", F.lit(True).alias("whole"))
+    parts = table.join(odd.where("owner is not null"), "id").groupBy("owner").agg(F.first("path").alias("path"), F.sort_array(F.collect_list(F.struct("start", "value"))).alias("parts"), F.first("whole").alias("whole"))
+    joined = parts.select("path", F.array_join(F.transform("parts", lambda x: x["value"]), MARK).alias("value"), "whole")
     rows = alone.unionAll(joined).withColumn("head", F.substring_index("value", GAP, 1))
     at, size = F.octet_length("head") + len(GAP) + 1, field("Content-Length").cast("int")
     rows = rows.withColumn("block", F.substring(F.col("value").cast("binary"), at, size))
@@ -222,7 +222,7 @@ def read_warc(spark: SparkSession, path: str | list[str]) -> DataFrame:
     payload = F.when(F.col("reply").isNull(), F.col("block")).otherwise(F.substring("block", F.octet_length("reply") + len(GAP) + 1, F.lit(2**31 - 1)))
     key = lambda c: unquoted(F.regexp_extract(c, f"^<{URN}(.*)>$", 1))
     return rows.select(
-        "file", field("WARC-Type").alias("record_type"), field("WARC-Record-ID").alias("record_id"), key(field("WARC-Record-ID")).alias("key"), unquoted(field("WARC-Target-URI")).alias("url"),
+        F.col("path").alias("file"), field("WARC-Type").alias("record_type"), field("WARC-Record-ID").alias("record_id"), key(field("WARC-Record-ID")).alias("key"), unquoted(field("WARC-Target-URI")).alias("url"),
         key(field("WARC-Refers-To")).alias("refers_to"), field("WARC-Payload-Digest").alias("digest"), "head", "reply", payload.alias("payload"), "whole",
     )
 
