@@ -28,28 +28,36 @@ def similar_to(rows: DataFrame, key: int, k: int, id_col: str = "vec_id", vector
     return scored.select(id_col, V.clamp(V.cosine(V.doubles(F.col(vector_col)), V.doubles(F.col("own")))).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
-def terms(docs: DataFrame, stop: list[str] = L.STOP_WORDS) -> DataFrame:
-    """(doc_id, term, n): words of two letters or more but stop words, and pairs of neighbours among these."""
+def grams(docs: DataFrame, stop: list[str] = L.STOP_WORDS) -> DataFrame:
+    """(doc_id, g): each document's words of two letters or more but stop words, and pairs of neighbours among these, in one list."""
     tokens = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"\b\w\w+\b"), 0), lambda t: ~t.isin(stop))
     listed = docs.select("doc_id", tokens.alias("t"))
     pairs = F.when(F.size("t") > 1, F.zip_with(F.slice("t", 1, F.size("t") - 1), F.slice("t", 2, F.size("t")), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    return listed.select("doc_id", F.explode(F.concat("t", pairs)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    return listed.select("doc_id", F.concat("t", pairs).alias("g"))
+
+
+def terms(docs: DataFrame, stop: list[str] = L.STOP_WORDS) -> DataFrame:
+    """(doc_id, term, n): how often each document has each of its words and pairs."""
+    return grams(docs, stop).select("doc_id", F.explode("g").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
 
 def tfidf(docs: DataFrame, features: int = 5000, most: float = 0.95, least: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Postings (doc_id, term, w), of length 1 in each document, and the terms' idf.
+    """Postings (doc_id, term, w), of length 1 in each document, and the terms' idf. doc_ids are unique.
 
     Terms in fewer than ``least`` documents or more than the share ``most`` are left out; of the rest the ``features``
-    most frequent stay, ties by term. The idf table is that small, so it may be broadcast.
+    most frequent stay, ties by term. The idf table is that small, so it is broadcast: only what is kept of a document is
+    shuffled, after terms were counted by themselves.
     """
-    tf = cut(terms(docs))
+    listed = grams(docs)
     n = docs.agg(F.count("*").alias("n_docs"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("cf")).join(F.broadcast(n))
-    kept = df.where((F.col("df") >= least) & (F.col("df") <= most * F.col("n_docs"))).orderBy(F.desc("cf"), "term").limit(features)
-    idf = kept.select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighted = tf.join(F.broadcast(idf), "term").withColumn("x", F.col("n") * F.col("idf"))
-    lengths = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("len"))
-    return weighted.join(lengths, "doc_id").select("doc_id", "term", (F.col("x") / F.col("len")).alias("w")), idf
+    df = listed.select(F.explode(F.array_distinct("g")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    cf = listed.select(F.explode("g").alias("term")).groupBy("term").agg(F.count("*").alias("cf"))
+    both = df.where(F.col("df") >= least).join(cf, "term").join(F.broadcast(n))
+    kept = both.where(F.col("df") <= most * F.col("n_docs")).orderBy(F.desc("cf"), "term").limit(features)
+    idf = cut(kept.select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf")))
+    counted = listed.select("doc_id", F.explode("g").alias("term")).join(F.broadcast(idf), "term").groupBy("doc_id", "term").agg((F.count("*") * F.first("idf")).alias("x"))
+    length = F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy("doc_id")))
+    return counted.select("doc_id", "term", (F.col("x") / length).alias("w")), idf
 
 
 def lexical(postings: DataFrame, idf: DataFrame, query: DataFrame, k: int, floor: float = 0.1) -> DataFrame:
