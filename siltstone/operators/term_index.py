@@ -78,13 +78,15 @@ class TermIndex:
     def add(self, docs: DataFrame) -> None:
         """Documents that the index doesn't have; a null text is empty. Repeated ids would be one document."""
         seg = self._next()
-        tf = cut(terms(docs, self.stop))
-        (tf.withColumns({"seg": F.lit(seg), "bucket": bucket("term")}).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("append").partitionBy("seg", "bucket").parquet(f"{self.path}/postings"))
+        own = terms(docs, self.stop).withColumns({"seg": F.lit(seg), "bucket": bucket("term")})
+        own.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("append").partitionBy("seg", "bucket").parquet(f"{self.path}/postings")
+        ids = docs.schema["doc_id"].dataType.simpleString()
+        tf = self.spark.read.schema(f"term string, doc_id {ids}, n long, seg int, bucket int").parquet(f"{self.path}/postings").where(F.col("seg") == seg)
         listed = docs.select("doc_id").distinct().join(tf.groupBy("doc_id").agg(F.collect_list(F.struct("term", "n")).alias("terms")), "doc_id", "left")
         (listed.withColumns({"seg": F.lit(seg), "part": bucket("doc_id")}).repartition("part").write.mode("append").partitionBy("seg", "part").parquet(f"{self.path}/documents"))
         counts = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("cf"))
         counts.withColumn("seg", F.lit(seg)).write.mode("append").partitionBy("seg").parquet(f"{self.path}/counts")
-        n = self.spark.read.parquet(f"{self.path}/documents/seg={seg}").count() if not tf.isEmpty() or not docs.isEmpty() else 0
+        n = self.spark.read.schema(f"doc_id {ids}, seg int").parquet(f"{self.path}/documents").where(F.col("seg") == seg).count()
         self._log([(seg, n, "add")])
 
     def remove(self, ids: DataFrame) -> None:
