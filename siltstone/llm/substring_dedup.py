@@ -11,6 +11,10 @@ that document's own words: equal and different words are aligned between the col
 match goes beyond them, and the best-scoring stretches are taken, in which at least ``num / den`` of the words are equal
 (a bound on the edit distance). Stretches that touch make a passage, which is cut if it has ``LEAST`` words. Linked
 documents are clustered by connected components. In every link the document with the smaller row id keeps its copy.
+
+The first document of a band may hold a piece only that is too short for a passage, and copies behind it would never
+meet. So places whose collisions made no passage go through a second round with tight bands: minima of shingles of
+``LONG`` words. Any LEAST words in common collide there, and the first document of such a band has LONG of them.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ LEAST, STRETCH, SHINGLE, WINDOW = 50, 25, 8, 16
 #: Words between collisions of one chain at most, words that they may shift by, and words looked at beyond a chain:
 #: enough to find a passage of LEAST words round one collision, where others collide with still earlier documents.
 GAP, SHIFT, GROW = 48, 8, 64
+#: Words of a shingle of the second round and shingles in its window: LONG + NEAR - 1 is LEAST.
+LONG, NEAR = 47, 4
 #: Slices of first documents begin and end at multiples of this many words, so that many chains share one.
 TILE = 64
 #: Words whose hashes a worker remembers, and collisions that it looks at together (or those of one text).
@@ -50,23 +56,33 @@ def rolled(values: np.ndarray, width: int, op) -> np.ndarray:
     return values
 
 
-def bands(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shingled(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` words, put together from runs of powers of two."""
+    out, done, power, size = None, 0, hashes, 1
+    while size <= width:
+        if width & size:
+            out = power if out is None else finish(out[: len(power) - done] * MIX + power[done:])
+            done += size
+        if 2 * size <= width:
+            power = finish(power[:-size] * MIX + power[size:])
+        size *= 2
+    return out
+
+
+def bands(hashes: np.ndarray, sizes: np.ndarray, of: int = SHINGLE, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text numbers, places and keys of the windows' minima in texts of ``sizes`` words (LEAST at least) laid end to end."""
     if not len(sizes):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    shingle, width = hashes, 1
-    while width < SHINGLE:
-        shingle = finish(shingle[:-width] * MIX + shingle[width:])
-        width *= 2
+    shingle = shingled(hashes, of)
     text = np.repeat(np.arange(len(sizes)), sizes)
     place = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    inside = (place <= sizes[text] - SHINGLE)[: len(shingle)]
+    inside = (place <= sizes[text] - of)[: len(shingle)]
     shingle = shingle[inside]
     text, place = (x[: len(inside)][inside] for x in (text, place))
-    least = rolled(shingle, WINDOW, np.minimum)
-    least[place[: len(least)] > sizes[text[: len(least)]] - SHINGLE - WINDOW + 1] = 0  # not within one text
-    around = np.concatenate([np.zeros(WINDOW - 1, np.uint64), least, np.zeros(WINDOW - 1, np.uint64)])
-    chosen = rolled(around, WINDOW, np.maximum) == shingle
+    least = rolled(shingle, window, np.minimum)
+    least[place[: len(least)] > sizes[text[: len(least)]] - of - window + 1] = 0  # not within one text
+    around = np.concatenate([np.zeros(window - 1, np.uint64), least, np.zeros(window - 1, np.uint64)])
+    chosen = rolled(around, window, np.maximum) == shingle
     return text[chosen], place[chosen], shingle[chosen]
 
 
@@ -87,11 +103,26 @@ def find_bands(source: DataFrame) -> DataFrame:
     return source.mapInArrow(run, "key long, uid long, place int")
 
 
-def chains(collisions: DataFrame) -> DataFrame:
+def likely(begin: np.ndarray, end: np.ndarray, who: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """first and last of the chains, sorted by who and begin, that stand in runs long enough for a passage."""
+    number = np.cumsum(np.r_[0, np.diff(who) != 0]) * (1 << 40)
+    # a chain within a long and dense one is left to that one
+    broad = (end - begin >= LEAST) & ((last - first + 1) * 2 * WINDOW >= end - begin)
+    over = np.r_[-1, np.maximum.accumulate(np.where(broad, end + number, -1))[:-1]]
+    keep = end + number > over
+    begin, end, number, first, last = (x[keep] for x in (begin, end, number, first, last))
+    reach = np.maximum.accumulate(end + number)
+    new = np.r_[True, (begin + number)[1:] > reach[:-1] + SHINGLE + WINDOW - 1]
+    long = (np.maximum.reduceat(end, np.flatnonzero(new)) - begin[new] >= COVERED)[np.cumsum(new) - 1]
+    return first[long], last[long]
+
+
+def chains(collisions: DataFrame, tight: bool = False) -> DataFrame:
     """(uid, keeper, lo, hi, own, theirs): chains of collisions that may be part of a passage, with the places in both
     texts of their ends and shifts, and the slice of the keeper's words to verify them on.
 
-    collisions: uid and marks, a list of (place, keeper, kplace). The lists of many rows are worked on at once.
+    collisions: uid and marks, a list of (place, keeper, kplace). The lists of many rows are worked on at once. Tight
+    collisions are those of the second round, which are stretches by themselves: all their chains stay.
     """
     kind = "uid long, keeper long, lo int, hi int, own array<int>, theirs array<int>"
 
@@ -123,17 +154,8 @@ def chains(collisions: DataFrame) -> DataFrame:
             begin, end, who = place[first], place[last] + SHINGLE, uid[first]
             order = np.lexsort((-end, begin, who))
             begin, end, who, first, last = (x[order] for x in (begin, end, who, first, last))
-            number = np.cumsum(np.r_[0, np.diff(who) != 0]) * (1 << 40)
-            # a chain within a long and dense one is left to that one
-            broad = (end - begin >= LEAST) & ((last - first + 1) * 2 * WINDOW >= end - begin)
-            over = np.r_[-1, np.maximum.accumulate(np.where(broad, end + number, -1))[:-1]]
-            keep = end + number > over
-            begin, end, number, first, last = (x[keep] for x in (begin, end, number, first, last))
-            reach = np.maximum.accumulate(end + number)
-            new = np.r_[True, (begin + number)[1:] > reach[:-1] + SHINGLE + WINDOW - 1]
-            run_of = np.cumsum(new) - 1
-            long = (np.maximum.reduceat(end, np.flatnonzero(new)) - begin[new] >= COVERED)[run_of]
-            first, last = first[long], last[long]
+            if not tight:
+                first, last = likely(begin, end, who, first, last)
             if not len(first):
                 continue
             # of each chain its ends and the places where it shifts
@@ -230,32 +252,52 @@ def joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return [(a, b, k) for a, b, k in out if b - a >= LEAST]
 
 
-def passages_of(words: np.ndarray, parts: list[dict] | None, penalty: float) -> list[tuple[int, int, int]]:
-    """Passages (begin, end, keeper) of a text's words, from its chains with their keepers' words."""
-    words, spans = short(words), []
-    for part in parts or ():
+def stretches_of(words: np.ndarray, parts: list[dict], penalty: float) -> list[tuple[int, int, int]]:
+    """Stretches (begin, end, keeper) of a text's words (short hashes), from its chains with their keepers' words."""
+    spans = []
+    for part in parts:
         theirs = np.array(part["theirs"], dtype=np.int64) - part["lo"]
         found = stretches(words, np.frombuffer(part["words"], np.uint32), np.array(part["own"], dtype=np.int64), theirs, penalty)
         spans += [(a, b, part["keeper"]) for a, b in found]
-    return joined(spans)
+    return spans
 
 
-def candidates(spark: SparkSession, docs: DataFrame, text_col: str) -> tuple[DataFrame, str, DataFrame]:
-    """A saved copy of docs with a row id, the id's name, and the rows with chains: uid and parts, a list of chains with
-    the words to verify them on. The joins are all by sorting: their sides grow with the documents."""
-    copy, rid = number_rows(spark, docs)
-    source = copy.select(F.col(rid).alias("uid"), F.col(f"`{text_col}`").alias("text"))
-    marks = save(spark, find_bands(source))
+def unsettled(size: int, parts: list[dict], passages: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Where a text of ``size`` words has SHINGLE words or more of collisions outside of its passages, with LEAST words
+    around them: (begin, end), apart from each other and each of LEAST words at least."""
+    out: list[list[int]] = []
+    cuts = sorted((a, b) for a, b, _ in passages)
+    last = 0
+    for a, b in sorted((p["own"][0], p["own"][-1] + SHINGLE) for p in parts):
+        a, last = max(a, last), max(last, b)  # what an earlier chain covers is looked at already
+        for begin, end in [*cuts, (size, size)]:
+            if end <= a:
+                continue
+            if min(b, begin) - a >= SHINGLE:
+                lo, hi = max(0, a - LEAST), min(size, min(b, begin) + LEAST)
+                if out and lo <= out[-1][1]:
+                    out[-1][1] = max(out[-1][1], hi)
+                else:
+                    out.append([lo, hi])
+            a = max(a, end)
+            if a >= b:
+                break
+    return [(a, b) for a, b in out]
+
+
+def collide(spark: SparkSession, source: DataFrame, marks: DataFrame, tight: bool = False) -> DataFrame:
+    """(uid, parts): the texts with chains, each with a list of its chains and the words to verify them on. The joins are
+    all by sorting: their sides grow with the documents. marks is a saved table, which goes."""
     shared = marks.groupBy("key").agg(F.min(F.struct("uid", "place")).alias("first"), F.max("uid").alias("last")).where("first.uid < last")
     firsts = shared.select("key", F.col("first.uid").alias("keeper"), F.col("first.place").alias("kplace"))
     collisions = marks.join(firsts.hint("merge"), "key").where("uid != keeper").groupBy("uid").agg(F.collect_list(F.struct("place", "keeper", "kplace")).alias("marks"))
-    chained = save(spark, chains(collisions))
+    chained = save(spark, chains(collisions, tight))
     drop_saved(spark, marks)
     release(spark)
     sliced = save(spark, slices(source, chained.select("keeper", "lo", "hi")))
     release(spark)
     parts = chained.join(sliced.hint("merge"), ["keeper", "lo", "hi"])
-    return copy, rid, parts.groupBy("uid").agg(F.collect_list(F.struct("keeper", "lo", "own", "theirs", "words")).alias("parts"))
+    return parts.groupBy("uid").agg(F.collect_list(F.struct("keeper", "lo", "own", "theirs", "words")).alias("parts"))
 
 
 def char_spans(text: str, passages: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -276,42 +318,76 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 SPANS = {"row": pa.int64(), "keeper": pa.int64(), "start": pa.int64(), "end": pa.int64(), "n_words": pa.int64(), "passage_sha256": pa.string()}
+#: Rows of a round: passages by characters; of texts that go on the stretches and bands by words, and the text.
+KINDS = {"kind": pa.string(), **SPANS, "key": pa.int64(), "text": pa.large_string()}
+PASSAGE, STRETCHED, BAND, TEXT = "passage", "stretch", "band", "text"
+
+
+def rows_of(kind: str, n: int, **columns) -> pa.RecordBatch:
+    """``n`` rows of KINDS, null where no column is given."""
+    columns["kind"] = [kind] * n
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in KINDS.items()], names=list(KINDS))
 
 
-def verified(spark: SparkSession, copy: DataFrame, rid: str, text_col: str, found: DataFrame, num: int, den: int) -> DataFrame:
-    """A saved table with a row for each passage: SPANS, by row ids and characters."""
+def verified(spark: SparkSession, found: DataFrame, num: int, den: int, last: bool) -> DataFrame:
+    """A saved table of KINDS. found: uid, text, parts and earlier stretches; in the last round no text goes on."""
     penalty = num / (den - num)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(ROOM)
         for batch in it:
-            rows = []
-            for uid, text, parts in zip(*(batch.column(i) for i in range(3))):
-                text = text.as_py()
-                passages = passages_of(hasher(text), parts.as_py(), penalty)
-                if passages:
+            cut = []
+            for uid, text, parts, earlier in zip(*(batch.column(i) for i in range(4))):
+                uid, text, parts = uid.as_py(), text.as_py(), parts.as_py() or []
+                hashes = hasher(text)
+                spans = stretches_of(short(hashes), parts, penalty) + [(s["start"], s["end"], s["keeper"]) for s in earlier.as_py() or []]
+                passages = joined(spans)
+                again = [] if last else unsettled(len(hashes), parts, passages)
+                if again:
+                    sizes = np.array([b - a for a, b in again], dtype=np.int64)
+                    which, place, key = bands(np.concatenate([hashes[a:b] for a, b in again]), sizes, LONG, NEAR)
+                    place = place + np.array([a for a, _ in again], dtype=np.int64)[which]
+                    yield rows_of(BAND, len(key), row=np.full(len(key), uid), start=place, key=key.view(np.int64))
+                    yield rows_of(STRETCHED, len(spans), row=[uid] * len(spans), start=[s[0] for s in spans], end=[s[1] for s in spans], keeper=[s[2] for s in spans])
+                    yield rows_of(TEXT, 1, row=[uid], text=[text])
+                elif passages:
                     for (a, b, keeper), (start, end) in zip(passages, char_spans(text, passages)):
-                        rows.append((uid.as_py(), keeper, start, end, b - a, hashlib.sha256(text[start:end].encode("utf-8", "surrogatepass")).hexdigest()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), SPANS.values())], names=list(SPANS))
+                        cut.append((uid, keeper, start, end, b - a, hashlib.sha256(text[start:end].encode("utf-8", "surrogatepass")).hexdigest()))
+            if cut:
+                yield rows_of(PASSAGE, len(cut), **dict(zip(SPANS, zip(*cut))))
 
-    source = copy.select(F.col(rid).alias("uid"), F.col(f"`{text_col}`").alias("text"))
-    kinds = ", ".join(f"{name} {'long' if kind == pa.int64() else 'string'}" for name, kind in SPANS.items())
-    spans = save(spark, source.join(found.hint("merge"), "uid").select("uid", "text", "parts").mapInArrow(run, kinds))
+    names = {pa.int64(): "long", pa.string(): "string", pa.large_string(): "string"}
+    rows = found.select("uid", "text", "parts", "earlier").mapInArrow(run, ", ".join(f"{name} {names[kind]}" for name, kind in KINDS.items()))
+    saved = save(spark, rows)
     release(spark)
-    return spans
+    return saved
+
+
+def passages(spark: SparkSession, docs: DataFrame, text_col: str, num: int, den: int) -> tuple[DataFrame, str, DataFrame]:
+    """A saved copy of docs with a row id, the id's name, and a row for each passage: SPANS, by row ids and characters."""
+    copy, rid = number_rows(spark, docs)
+    source = copy.select(F.col(rid).alias("uid"), F.col(f"`{text_col}`").alias("text"))
+    found = collide(spark, source, save(spark, find_bands(source)))
+    none = F.lit(None).cast("array<struct<start:long,end:long,keeper:long>>").alias("earlier")
+    first = verified(spark, source.join(found.hint("merge"), "uid").select("uid", "text", "parts", none), num, den, False)
+    left = first.where(F.col("kind") == TEXT).select(F.col("row").alias("uid"), "text")
+    marks = save(spark, first.where(F.col("kind") == BAND).select("key", F.col("row").alias("uid"), F.col("start").cast("int").alias("place")))
+    again = collide(spark, left, marks, True)
+    earlier = first.where(F.col("kind") == STRETCHED).groupBy(F.col("row").alias("uid")).agg(F.collect_list(F.struct("start", "end", "keeper")).alias("earlier"))
+    second = verified(spark, left.join(again.hint("merge"), "uid", "left").join(earlier.hint("merge"), "uid", "left"), num, den, True)
+    return copy, rid, first.unionByName(second).where(F.col("kind") == PASSAGE).select(*SPANS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", num: int = 80, den: int = 100) -> DataFrame:
     """docs with repeated passages cut from the text, and the count of characters, if there is such a column, renewed.
 
     Null, empty and short texts have no repeats; a passage that repeats within one row only isn't one. Of repeated rows
-    all but the first are repeats as a whole. Where several earlier rows hold a passage and the first of them a shorter
-    piece of it, up to WINDOW - 1 words may stay at either end. Rows that lose all their words go; every other row and
-    column stays.
+    all but the first are repeats as a whole. Very long texts are compared whole. Where several earlier rows hold a
+    passage and the first of them a shorter piece of it, up to WINDOW + SHINGLE words may stay at either end, an unedited
+    passage of less than LEAST + 2 * (NEAR - 1) words may stay, and so may an edited one. Rows that lose all their words
+    go; every other row and column stays.
     """
-    copy, rid, found = candidates(spark, docs, text_col)
-    spans = verified(spark, copy, rid, text_col, found, num, den)
+    copy, rid, spans = passages(spark, docs, text_col, num, den)
     names = docs.columns
     other, marks = fresh(copy.columns, "other_id"), fresh(copy.columns, "marks")
     per_row = spans.groupBy(F.col("row").alias(other)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(marks))
@@ -342,8 +418,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     of the component that such links make), start and end (characters), n_words and passage_sha256.
     """
     slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    copy, rid, found = candidates(spark, slim, "text")
-    spans = verified(spark, copy, rid, "text", found, num, den)
+    copy, rid, spans = passages(spark, slim, "text", num, den)
     groups = components(spark, spans.select(F.col("row").alias("a"), F.col("keeper").alias("b")))
     ids = copy.select(F.col(rid).alias("id"), "doc_id")
     out = spans.join(groups.withColumnRenamed("node", "row"), "row")

@@ -77,6 +77,45 @@ def test_edited_copies_inside_paragraphs(spark):
     assert sum(90 <= n <= 101 for n in found.values()) >= 0.9 * count
 
 
+@pytest.mark.parametrize("size,step", [(24, 8), (22, 4), (20, 8)])
+def test_pieces_in_earlier_documents_hide_no_repeat(spark, size, step):
+    """An 80-word passage in two documents, with pieces of it that are too short for a passage in documents before both."""
+    rng = random.Random(size)
+    texts, full, own = [], [], []
+    for case in range(30):
+        passage = [f"c{case}w{rng.randrange(10**6)}" for _ in range(80)]
+        alone = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+        for a in range(0, 80 - size + 1, step):
+            texts.append(" ".join(alone(40) + passage[a : a + size] + alone(40)))
+        for _ in range(2):
+            begin = alone(rng.randint(0, 60))
+            full.append(len(texts))
+            own.append(passage)
+            texts.append(" ".join(begin + passage + alone(30)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    found = {r.doc_id: r for r in substring_dedup.repeated_spans(spark, docs).collect()}
+    assert set(found) <= set(full[1::2])  # pieces and first copies stay
+    assert set(found) == set(full[1::2])
+    edge = substring_dedup.WINDOW + substring_dedup.SHINGLE
+    assert all(80 - edge <= found[d].n_words <= 80 for d in found)
+    assert sum(r.n_words for r in found.values()) >= 0.95 * 80 * 30
+    for d, passage in zip(full[1::2], own[1::2]):
+        assert set(texts[d][found[d].start : found[d].end].split()) <= set(passage)
+
+
+def test_a_dense_chain_that_fails_hides_no_repeat(spark):
+    """A long chain with many edits has the bands of the first document; a copy of its middle stands in another."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    middle = base[100:170]
+    edited = [w if i % 40 < 23 else f"e{i}" for i, w in enumerate(base)]
+    unique = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    texts = [edited, unique(30) + middle + unique(30), unique(10) + base + unique(10)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    left = {r.doc_id: r.text.split() for r in substring_dedup.cut_repeats(spark, docs).collect()}
+    assert len(set(left[2]) & set(middle)) <= 2 * (substring_dedup.WINDOW - 1)
+
+
 def test_a_shift_in_the_copy(spark):
     rng = random.Random(5)
     passage = rng.choices(WORDS, k=120)
