@@ -3,17 +3,20 @@
 A page's text nodes are grouped by their path of block tags from the root. Each path gets its text length per node and
 its punctuation marks per node; both are smoothed over neighbouring paths in page order and fused with the share of
 the page's text that the path holds and with the share of it outside of links. Paths over a share of the best one are
-content. The content region is the innermost element that holds most of their text, and the main text all that stands
-in it from the headings before its first content node to its last one.
+content. The content region is the innermost element that holds most of their text. The main text is all that stands in
+it, if the page declares it to be an article, else from the headings before its first content node to its last one and
+the lists, tables and quotes right behind that.
 
 What HTML itself declares to be no text or no article goes first: scripts, forms, navigation, footers, hidden
-elements. Article elements and class or id names decide nothing; they only weigh on the ratio of a box's path.
+elements. Article elements and class or id names weigh on the ratio of a box's path. A box in the region whose whole
+name is one of BOX_NAMES goes unless its path is content; where only the beginning is, prose stays.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,12 +30,14 @@ from siltstone.llm.words import batches_of
 
 #: Fixed values of HTML: elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup svg time tt u var wbr math semantics mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr",), "tbody": ("tr",)}
-RAW = "script|style|noscript|template|iframe|textarea|title|noembed|noframes|xmp|select|svg|math|canvas|object|audio|video"
+RAW = "script|style|iframe|textarea|title|noembed|noframes|xmp"
+#: Elements whose text is for browsers that can't show them; one that is never closed holds nothing.
+INSTEAD = frozenset("noscript template svg canvas object audio video annotation".split())
 #: Elements and landmark roles that stand beside the article.
-ASIDE_TAGS = frozenset("head nav header footer aside form button select dialog menu fieldset datalist".split())
+ASIDE_TAGS = frozenset("head nav header footer aside form button select dialog menu fieldset datalist".split()) | INSTEAD
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog form menu menubar".split())
 #: Whole names in a class or id, or their beginnings up to a hyphen or underscore, that make a box less likely content.
 BOX_NAMES = frozenset(
@@ -42,15 +47,20 @@ BOX_NAMES = frozenset(
 ROOT_TAGS, ROOT_ROLES = frozenset(["article", "main"]), frozenset(["main", "article"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that hold text, not boxes of it: no region begins in them and their names say nothing.
+LISTS = frozenset("ul ol dl table thead tbody tfoot figure".split())
 TEXTS = HEADINGS | frozenset("p li dt dd td th tr pre blockquote figcaption caption address summary".split())
 
-TOKEN = re.compile(rf"<!--.*?(?:--!?>|\Z)|<({RAW})\b[^>]*+>.*?(?:</\1\s*+>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S | re.I)
+TOKEN = re.compile(rf"<!--.*?(?:--!?>|\Z)|<({RAW})(?=[\s/>])[^>]*+>.*?(?:</\1(?=[\s/>])[^>]*+>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S | re.I)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 MARKS = re.compile(r"[.,;:!?…¿¡。、，！？]")
 #: A path is content from this share of the best path's fused ratio on; weights of the paths before, at and after.
 SHARE, SMOOTH = 0.1, (0.1, 0.8, 0.1)
 #: What an article element and a box's name weigh on a ratio, and the share of the content that a region holds at least.
 IN_ARTICLE, IN_BOX, REGION = 8.0, 0.05, 0.6
+#: The same of a name that only begins like a box's, and the characters from which a block in such a box is prose.
+LIKE_BOX, PROSE = 0.2, 80
+#: Names that say what a box is even as a beginning.
+ALWAYS = BOX_NAMES - frozenset("related recommended notice notices menu navigation widget toolbar footer".split())
 
 
 def standing(tag: str, attributes: str) -> tuple[bool, float]:
@@ -65,8 +75,11 @@ def standing(tag: str, attributes: str) -> tuple[bool, float]:
         weight = IN_ARTICLE
     if tag not in TEXTS and tag not in INLINE and tag not in ("html", "body"):
         names = (found.get("class", "") + " " + found.get("id", "")).lower().split()
-        if any(n in BOX_NAMES or re.split("[-_]", n)[0] in BOX_NAMES for n in names):
+        starts = [re.split("[-_]", n)[0] for n in names]
+        if any(n in BOX_NAMES for n in names) or any(n in ALWAYS for n in starts):
             weight *= IN_BOX
+        elif any(n in BOX_NAMES for n in starts):
+            weight *= LIKE_BOX
     return bool(tag in ASIDE_TAGS or role in ASIDE_ROLES or hidden), weight
 
 
@@ -95,13 +108,15 @@ class Open:
 
 
 class Page:
-    """Text nodes of a page in order, but for those beside the article, and the tags and parents of its block elements."""
+    """Text nodes of a page in order, but for those beside the article, and of its block elements the tags, parents and
+    whether they are declared to be an article."""
 
     def __init__(self, source: str):
         self.nodes: list[Node] = []
-        self.tags, self.parents = [""], [-1]
+        self.tags, self.parents, self.declared = [""], [-1], [False]
         stack = [Open("", "", 0, False, False, 1.0)]
         block = at = 0
+        closed: dict[str, int] = {}  # the last end tag of each element
         for token in TOKEN.finditer(source):
             if token.start() > at:
                 self._text(source[at : token.start()], stack[-1], block)
@@ -114,7 +129,7 @@ class Page:
             if tag == "br":
                 self._text(" ", stack[-1], block)
                 continue
-            block += tag not in INLINE
+            block += tag not in INLINE and not stack[-1].aside
             if token[2] or token[5]:
                 if any(tag == x.tag for x in reversed(stack)):
                     while stack.pop().tag != tag:
@@ -122,6 +137,11 @@ class Page:
                 continue
             if tag in VOID:
                 continue
+            if tag in INSTEAD:
+                if tag not in closed:
+                    closed[tag] = max((m.start() for m in re.finditer(rf"</{tag}[\s/>]", source, re.I)), default=-1)
+                if closed[tag] < at or tag == "svg" and (token[4] or token[7] or "").rstrip().endswith("/"):
+                    continue
             if tag in CLOSES_P:
                 self._close(stack, ("p",), ("table", "td", "button"))
             if tag in SIBLINGS:
@@ -134,6 +154,7 @@ class Page:
                 continue
             self.tags.append(tag)
             self.parents.append(top.element)
+            self.declared.append(weight == IN_ARTICLE and tag != "main")
             stack.append(Open(tag, f"{top.path}/{tag}", len(self.tags) - 1, top.aside or aside, top.link, top.weight * weight))
             if attributes.rstrip().endswith("/") and tag not in CLOSES_P:
                 stack.pop()
@@ -205,6 +226,43 @@ def region(page: Page, content: list[Node]) -> int:
     return best
 
 
+def behind(page: Page, last: int) -> int:
+    """The last text node of the lists, tables and quotes that stand right behind node ``last``, in the box that holds it.
+
+    Headings between belong to what follows them. What is mostly links ends it, and so does any other box.
+    """
+    nodes = page.nodes
+    box = next(e for e in page.holders(nodes[last].element) if page.tags[e] not in TEXTS | LISTS)
+    level = nodes[last].weight
+    while True:
+        i, size, linked, listed = last + 1, 0, 0, False
+        while i < len(nodes) and not nodes[i].text.strip():
+            i += 1
+        while i < len(nodes) and page.tags[nodes[i].element] in HEADINGS:
+            i += 1
+        start = None
+        for i in range(i, len(nodes)):
+            if not nodes[i].text.strip():
+                continue
+            chain = []
+            for e in page.holders(nodes[i].element):
+                if e == box:
+                    break
+                chain.append(e)
+            else:
+                break
+            if not chain or any(page.tags[e] not in TEXTS | LISTS for e in chain) or start not in (None, chain[-1]):
+                break
+            if nodes[i].weight < level or page.tags[chain[-1]] not in LISTS | {"blockquote", "pre"}:
+                break
+            start, end, listed = chain[-1], i, True
+            size += len(nodes[i].text.strip())
+            linked += len(nodes[i].text.strip()) if nodes[i].link else 0
+        if not listed or 2 * linked >= size:
+            return last
+        last = end
+
+
 def main_text(source: str | None) -> str:
     """The main text of a page: blocks in page order, white space as single spaces; empty for a null or empty page."""
     if not source:
@@ -220,16 +278,27 @@ def main_text(source: str | None) -> str:
     if not within:
         return ""
     first, last = within[0], within[-1]
+    if page.declared[inside]:
+        within = [i for i, n in enumerate(nodes) if inside in page.holders(n.element)]
+        first, last = within[0], within[-1]
     while last + 1 < len(nodes) and nodes[last + 1].block == nodes[last].block:
         last += 1
     while first and (nodes[first - 1].block == nodes[first].block or not nodes[first - 1].text.strip() or page.tags[nodes[first - 1].element] in HEADINGS):
         first -= 1
-    least = max(n.weight for n in content) * IN_BOX  # a box in the region, named as one, whose path isn't content
+    last = behind(page, last)
+    top = max(n.weight for n in content)
+    sizes, linked = Counter(), Counter()
+    for n in nodes[first : last + 1]:
+        sizes[n.block] += len(n.text.strip())
+        linked[n.block] += len(n.text.strip()) if n.link else 0
     blocks: list[str] = []
     block = None
     for n in nodes[first : last + 1]:
-        if n.weight <= least and (n.path, n.weight) not in paths:
-            continue
+        if (n.path, n.weight) not in paths:
+            if n.weight <= top * IN_BOX:  # a box in the region, named as one
+                continue
+            if n.weight <= top * LIKE_BOX and not (sizes[n.block] >= PROSE and 2 * linked[n.block] < sizes[n.block]):
+                continue
         if n.block == block:
             blocks[-1] += n.text
         else:

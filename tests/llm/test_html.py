@@ -35,6 +35,40 @@ def test_names_do_not_drop_article_text():
         assert got == f"Flood {SAID} {PROSE.strip()} Shares fell, too. Short. One Two {PROSE.strip()}"
 
 
+@pytest.mark.parametrize("odd", ["<title-bar>", "<video-player></video-player>", "<svg class='i' />", "<video src=x>", "<object data=x>", "<canvas id=c>", "<script-loader src=x></script-loader>"])
+def test_elements_that_are_no_raw_text(odd):
+    for tag in ("article", "div"):
+        assert main_text(f"<body>{odd}<{tag}><h1>Flood</h1>{BODY}</{tag}></body>") == f"Flood {SAID}"
+
+
+def test_icons_and_formulas_in_a_sentence():
+    said = "The <svg viewBox='0 0 1 1'><title>icon</title><path d='M0 0'/></svg>area is <math><mi>a</mi><mo>=</mo><mn>2</mn></math>, as said."
+    assert main_text(f"<body><article>{BODY}<p>{said}</p></article></body>") == f"{SAID} The area is a=2, as said."
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_what_ends_an_article(tag):
+    ends = {"<ul><li>One.</li><li>Two</li></ul>": "One. Two", "<h2>Terms</h2><dl><dt>Weir</dt><dd>A low dam.</dd></dl>": "Terms Weir A low dam.", "<blockquote>So it was.</blockquote>": "So it was.", "<blockquote><p>So it was.</p></blockquote>": "So it was."}
+    for end, said in ends.items():
+        assert main_text(f"<body><{tag}><h1>Flood</h1>{BODY}{end}</{tag}></body>") == f"Flood {SAID} {said}"
+    if tag == "div":  # links behind an article that nothing declares
+        assert main_text(f"<body><div><h1>Flood</h1>{BODY}<h2>More</h2><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul></div></body>") == f"Flood {SAID}"
+
+
+def test_what_begins_an_article():
+    for begin, said in {"<div>By A. Writer</div>": "By A. Writer", "<h1>Flood</h1><div class='byline'>By A. Writer</div>": "Flood By A. Writer", "<div><b>In short: water.</b></div><h1>Flood</h1>": "In short: water. Flood"}.items():
+        assert main_text(f"<body><article>{begin}{BODY}</article></body>") == f"{said} {SAID}"
+
+
+def test_names_that_begin_like_a_box():
+    long = PROSE * 3
+    for name in ("id='related-work'", "class='notice-board'"):
+        assert main_text(f"<body><article>{BODY}<section {name}><p>{long}</p></section>{BODY}</article></body>") == f"{SAID} {long.strip()} {SAID}"
+    for name in ("class='related-links'", "class='notice-bar'", "class='ad-slot'", "class='comments'"):
+        assert main_text(f"<body><article>{BODY}<div {name}><p><a href=1>Read on</a></p></div>{BODY}</article></body>") == f"{SAID} {SAID}"
+    assert main_text(f"<body><article>{BODY}<div class='comments'><p>{PROSE}</p></div></article></body>") == SAID
+
+
 def test_share_of_pages_right_without_article_and_names():
     con = duckdb.connect()
     con.execute(f"create view pages as select * from '{DATA}/pages.parquet'")
