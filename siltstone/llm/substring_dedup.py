@@ -38,6 +38,9 @@ LEAST, STRETCH, SHINGLE, WINDOW = 50, 25, 8, 16
 GAP, SHIFT, GROW = 48, 8, 64
 #: Words of a shingle of the second round and shingles in its window: LONG + NEAR - 1 is LEAST.
 LONG, NEAR = 47, 4
+#: Words per band of a chain at most that leaves no other chain inside it. Equal texts have one for every 8.5 words; runs of
+#: under STRETCH equal words between more edits than num / den allows keep less than 0.57 of their shingles, one band for 15.
+DENSE = 14
 #: Slices of first documents begin and end at multiples of this many words, so that many chains share one.
 TILE = 64
 #: Words whose hashes a worker remembers, and collisions that it looks at together (or those of one text).
@@ -106,8 +109,8 @@ def find_bands(source: DataFrame) -> DataFrame:
 def likely(begin: np.ndarray, end: np.ndarray, who: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """first and last of the chains, sorted by who and begin, that stand in runs long enough for a passage."""
     number = np.cumsum(np.r_[0, np.diff(who) != 0]) * (1 << 40)
-    # a chain within a long and dense one is left to that one
-    broad = (end - begin >= LEAST) & ((last - first + 1) * 2 * WINDOW >= end - begin)
+    # a chain within a long one is left to that one, if so many of its bands collide that it is sure to be verified
+    broad = (end - begin >= LEAST) & ((last - first + 1) * DENSE >= end - begin)
     over = np.r_[-1, np.maximum.accumulate(np.where(broad, end + number, -1))[:-1]]
     keep = end + number > over
     begin, end, number, first, last = (x[keep] for x in (begin, end, number, first, last))
