@@ -268,23 +268,21 @@ def stretches_of(words: np.ndarray, parts: list[dict], penalty: float) -> list[t
 def unsettled(size: int, parts: list[dict], passages: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Where a text of ``size`` words has SHINGLE words or more of collisions outside of its passages, with LEAST words
     around them: (begin, end), apart from each other and each of LEAST words at least."""
+    open_ = np.zeros(size + 2, dtype=bool)
+    for p in parts:
+        open_[p["own"][0] + 1 : p["own"][-1] + SHINGLE + 1] = True
+    for a, b, _ in passages:
+        open_[a + 1 : b + 1] = False
+    open_[size + 1] = False
+    edges = np.flatnonzero(open_[1:] != open_[:-1])
     out: list[list[int]] = []
-    cuts = sorted((a, b) for a, b, _ in passages)
-    last = 0
-    for a, b in sorted((p["own"][0], p["own"][-1] + SHINGLE) for p in parts):
-        a, last = max(a, last), max(last, b)  # what an earlier chain covers is looked at already
-        for begin, end in [*cuts, (size, size)]:
-            if end <= a:
-                continue
-            if min(b, begin) - a >= SHINGLE:
-                lo, hi = max(0, a - LEAST), min(size, min(b, begin) + LEAST)
-                if out and lo <= out[-1][1]:
-                    out[-1][1] = max(out[-1][1], hi)
-                else:
-                    out.append([lo, hi])
-            a = max(a, end)
-            if a >= b:
-                break
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        if b - a >= SHINGLE:
+            lo, hi = max(0, a - LEAST), min(size, b + LEAST)
+            if out and lo <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], hi)
+            else:
+                out.append([lo, hi])
     return [(a, b) for a, b in out]
 
 
