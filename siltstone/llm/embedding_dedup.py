@@ -1,20 +1,16 @@
-"""Near-duplicate vectors by a subspace pigeonhole join.
+"""Near-duplicate vectors by a blocked join within labels.
 
-Unit vectors of cosine t or more are at a squared distance of 2 (1 - t) or less. After a fixed random rotation the
-components are split into low-dimensional blocks, each with a share of that budget in proportion to its dimensions; a
-pair within the whole budget is within it in at least one block. Each block is range-joined on a grid over its first
-components: a vector goes to its own cell and, if its neighbours may stand over an edge of it, to the cell beyond.
-Cells are cut into chunks, so no task holds an unbounded cell. A pair is verified in the first block that finds it, by
-its cosine in double precision, and what leaves a task is counts and a spanning forest, not pairs.
+Vectors of one label and length are dealt to chunks, and each pair of chunks is compared by matrix products, a tile at a
+time. A vector is shuffled once for each chunk of its label, so labels of up to CHUNK vectors are shuffled once; a grid on a
+few components, which rules out next to nothing in many dimensions, would take a copy for each cell and block of
+components. A link is decided by its cosine in double precision, and what leaves a task is counts and a spanning
+forest, not pairs.
 
 Equal vectors are folded into one with a count first, so a group of copies costs as much as one vector.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,30 +18,10 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.store import components, drop_saved, number_rows, release, save
 
-BLOCKS, GRID = 8, 2
-#: Width of a cell by the reach of its block's budget.
-WIDE = 3
-#: Rows of a cell compared at once with as many others, and hot cells that may be broadcast.
-CHUNK, FEW = 1024, 50_000
-#: Slack for rounding in squared distances.
-SLACK = 1e-9
-#: The cell itself and one of each two opposite neighbours.
-FORWARD = ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))
-
-
-@cache
-def rotation(dims: int) -> np.ndarray:
-    """A fixed random rotation."""
-    return np.linalg.qr(np.random.default_rng(7).standard_normal((dims, dims)))[0]
-
-
-def blocks_of(dims: int) -> list[np.ndarray]:
-    return [b for b in np.array_split(np.arange(dims), min(BLOCKS, dims)) if len(b)]
-
-
-def budgets(dims: int, least: float) -> list[float]:
-    """The squared distance that each block may have; together that of a cosine of ``least``."""
-    return [2 * (1 - least) * len(b) / dims + SLACK for b in blocks_of(dims)]
+#: Most vectors of a chunk, fewer where they would have more than CHUNK_BYTES as doubles; rows of a tile.
+CHUNK, CHUNK_BYTES, TILE = 8192, 32 << 20, 256
+#: Cosines of matrix products are off by less; those as near to the threshold are taken anew, so many at a time.
+SLACK, ANEW = 1e-9, 1 << 14
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -54,96 +30,48 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-KEY = ["label", "dims", "block", "c0", "c1"]
-
-
 def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows scaled so that squares neither overflow nor vanish, and their norms."""
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x, np.linalg.norm(x, axis=1)
 
 
-def cells(rows: DataFrame, least: float, vectors: bool) -> DataFrame:
-    """rows (uid, label, dims, copies, v) dealt to the cells of all blocks; home is true in a vector's own cell."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            dims_of = batch.column(2).to_numpy()
-            for dims in np.unique(dims_of):
-                for part in range(0, int((dims_of == dims).sum()), 256):
-                    some = batch.take(pa.array(np.flatnonzero(dims_of == dims)[part : part + 256]))
-                    x, norm = unit(matrix(some.column(4)))
-                    y = x / norm[:, None] @ rotation(int(dims))
-                    at, block, c0, c1, home = [], [], [], [], []
-                    for b, (own, budget) in enumerate(zip(blocks_of(int(dims)), budgets(int(dims), least))):
-                        reach = np.sqrt(budget)
-                        place = y[:, own[:GRID]] / (WIDE * reach)
-                        if place.shape[1] < GRID:
-                            place = np.c_[place, np.full(len(place), 0.5)]
-                        cell = np.floor(place).astype(np.int64)
-                        left, right = place - cell <= 1 / WIDE, cell + 1 - place <= 1 / WIDE
-                        for step in FORWARD:
-                            near = np.ones(len(x), dtype=bool)
-                            for k, d in enumerate(step):
-                                near &= right[:, k] if d > 0 else left[:, k] if d < 0 else True
-                            some_at = np.flatnonzero(near)
-                            at.append(some_at)
-                            block.append(np.full(len(some_at), b))
-                            c0.append(cell[some_at, 0] + step[0])
-                            c1.append(cell[some_at, 1] + step[1])
-                            home.append(np.full(len(some_at), step == (0, 0)))
-                    dealt = some.take(pa.array(np.concatenate(at)))
-                    out = [*dealt.columns[:3], *(pa.array(np.concatenate(z).astype(np.int32)) for z in (block, c0, c1)), pa.array(np.concatenate(home))]
-                    yield pa.RecordBatch.from_arrays([*out, *(dealt.columns[3:] if vectors else [])], names=["uid", *KEY, "home", *(["copies", "v"] if vectors else [])])
-
-    kind = rows.schema["v"].dataType.simpleString()
-    label = rows.schema["label"].dataType.simpleString()
-    return rows.select("uid", "label", "dims", "copies", "v").mapInArrow(run, f"uid long, label {label}, dims int, block int, c0 int, c1 int, home boolean" + (f", copies long, v {kind}" if vectors else ""))
-
-
 def compare_chunks(least: float):
-    """Links between the rows of two chunks of a cell: counts of the vectors they stand for as (uid, null, n) and a
+    """Links between the rows of two chunks of a label: counts of the vectors they stand for as (uid, null, n) and a
     spanning forest as (a, b, null)."""
 
     def run(table: pa.Table) -> pa.Table:
-        first, home, uid, copies = (table.column(c).to_numpy(zero_copy_only=False) for c in ("first", "home", "uid", "copies"))
-        dims, block = table.column("dims")[0].as_py(), table.column("block")[0].as_py()
-        x, norm = unit(matrix(table.column("v").combine_chunks()))
-        y = x / norm[:, None] @ rotation(dims)
-        own, budget = blocks_of(dims), budgets(dims, least)
+        first, uid, copies = (table.column(c).to_numpy(zero_copy_only=False) for c in ("first", "uid", "copies"))
         one = np.flatnonzero(first)
-        two = np.flatnonzero(~first) if not first.all() else one
-        p, q = y[one][:, own[block]], y[two][:, own[block]]
-        near = (p**2).sum(1)[:, None] + (q**2).sum(1)[None] - 2 * p @ q.T <= budget[block] + SLACK
-        near &= home[one][:, None] | home[two][None]
-        if two is one:
-            near = np.triu(near, 1)
-        parent = {}
-
-        def find(i: int) -> int:
-            while parent.setdefault(i, i) != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        counts, a, b = np.zeros(len(uid), np.int64), [], []
-        for i in range(len(one)):
-            j = two[near[i]]
-            if not len(j):
-                continue
-            gap = (y[j] - y[one[i]]) ** 2
-            for before in range(block):  # an earlier block has found and verified the pair
-                keep = gap[:, own[before]].sum(1) > budget[before] + SLACK
-                j, gap = j[keep], gap[keep]
-            j = j[(x[j] * x[one[i]]).sum(1) / (norm[j] * norm[one[i]]) >= least]
-            counts[one[i]] += copies[j].sum()
-            counts[j] += copies[one[i]]
-            for k in j:
-                r, s = find(one[i]), find(k)
-                if r != s:
-                    parent[r] = s
-                    a.append(uid[one[i]])
-                    b.append(uid[k])
+        two = one if table.column("i")[0].equals(table.column("j")[0]) else np.flatnonzero(~first)
+        counts, tree, a, b = np.zeros(len(uid), np.int64), np.arange(len(uid)), [], []
+        if len(uid) > 1 and len(one):
+            x, norm = unit(matrix(table.column("v").combine_chunks()))
+            y = x / norm[:, None]
+            right = y[two].T.copy()
+        for at in range(0, len(one) if len(uid) > 1 else 0, TILE):
+            rows = one[at : at + TILE]
+            dots = y[rows] @ right
+            i, j = np.nonzero(dots >= least - SLACK)
+            if two is one:
+                later = j > i + at
+                i, j = i[later], j[later]
+            close = np.flatnonzero(dots[i, j] < least + SLACK)
+            keep = np.ones(len(i), dtype=bool)
+            for k in range(0, len(close), ANEW):
+                some = close[k : k + ANEW]
+                p, q = rows[i[some]], two[j[some]]
+                keep[some] = (x[q] * x[p]).sum(1) / (norm[q] * norm[p]) >= least
+            i, j = rows[i[keep]], two[j[keep]]
+            np.add.at(counts, i, copies[j])
+            np.add.at(counts, j, copies[i])
+            starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else []
+            for begin, end in zip(starts, [*starts[1:], len(i)]):
+                met = np.unique(tree[np.r_[i[begin], j[begin:end]]])
+                if len(met) > 1:  # trees that the row's links join
+                    tree[np.isin(tree, met)] = met[0]
+                    a += [uid[met[0]]] * (len(met) - 1)
+                    b += uid[met[1:]].tolist()
         full = np.flatnonzero(counts)
         out = {"a": [*uid[full], *a], "b": [*[None] * len(full), *b], "n": [*counts[full], *[None] * len(a)]}
         return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
@@ -167,14 +95,14 @@ def near_vectors(spark: SparkSession, table: DataFrame, id_col: str = "vec_id",
     classes = save(spark, rows.groupBy("label", "dims", "v").agg(F.min("uid").alias("uid"), F.count("*").alias("copies")))
     many = classes.where("copies > 1").select(F.xxhash64("label", "v").alias("h"), F.col("label").alias("l"), F.col("v").alias("w"), F.col("uid").alias("head"), "copies")
     twins = save(spark, rows.withColumn("h", F.xxhash64("label", "v")).join(many, "h").where("label = l and v = w").select(F.col("uid").alias("twin"), "head", "copies"))
-    sizes = cells(classes, least, False).groupBy(*KEY).agg(F.count("*").alias("size"))
-    hot = save(spark, sizes.where(F.col("size") > CHUNK))
-    few = hot.count() <= FEW
-    dealt = cells(classes, least, True).join(F.broadcast(hot) if few else hot, KEY, "left")
-    chunked = dealt.withColumn("chunks", F.ceil(F.coalesce("size", F.lit(1)) / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("uid"), F.col("chunks")).cast("int"))
+    most = F.least(F.lit(CHUNK), F.greatest(F.lit(256), F.floor(F.lit(CHUNK_BYTES) / 8 / F.col("dims"))))
+    # a row for each label of several chunks: at most one for so many vectors as make a chunk
+    large = save(spark, classes.groupBy("label", "dims").agg(F.count("*").alias("size")).where(F.col("size") > most).withColumn("chunks", F.ceil(F.col("size") / most).cast("int")).drop("size"))
+    dealt = classes.join(F.broadcast(large), ["label", "dims"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    chunked = dealt.withColumn("chunk", F.pmod(F.xxhash64("uid"), F.col("chunks")).cast("int"))
     spread = chunked.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    keyed = spread.select(*KEY, "uid", "home", "copies", "v", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), (F.col("chunk") <= F.col("with")).alias("first"))
-    found = save(spark, keyed.groupBy(*KEY, "i", "j").applyInArrow(compare_chunks(least), "a long, b long, n long"))
+    keyed = spread.select("label", "dims", "uid", "copies", "v", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), (F.col("chunk") <= F.col("with")).alias("first"))
+    found = save(spark, keyed.groupBy("label", "dims", "i", "j").applyInArrow(compare_chunks(least), "a long, b long, n long"))
     release(spark)
     counts = found.where("b is null").groupBy(F.col("a").alias("head")).agg(F.sum("n").alias("n"))
     groups = components(spark, found.where("b is not null").select("a", "b"))
@@ -183,7 +111,7 @@ def near_vectors(spark: SparkSession, table: DataFrame, id_col: str = "vec_id",
     placed = save(spark, placed.select("id", (F.coalesce("n", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"), F.coalesce("comp", "head").alias("comp")))
     smallest = placed.where("n_links > 0").groupBy("comp").agg(F.min("id").alias("smallest"))
     out = placed.join(smallest, "comp", "left").select("id", "n_links", F.when(F.col("n_links") == 0, F.col("id")).otherwise(F.col("smallest")).alias("component_id"), (F.col("n_links") > 0).alias("linked"))
-    drop_saved(spark, classes, twins, hot, found)
+    drop_saved(spark, classes, twins, large, found)
     return out
 
 

@@ -120,6 +120,29 @@ def test_vectors_against_all_pairs(spark, monkeypatch, chunk):
     assert embedding_dedup.near_vectors(spark, table.limit(0)).count() == 0
 
 
+def test_vectors_are_dealt_once_for_each_chunk_of_their_label(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    def dealt(least):
+        return lambda t: pa.table({"a": t.column("uid"), "b": pa.nulls(len(t), pa.int64()), "n": pa.array([1] * len(t), pa.int64())})
+
+    monkeypatch.setattr(embedding_dedup, "compare_chunks", dealt)
+    v = np.random.default_rng(5).standard_normal((3000, 64))
+    table = spark.createDataFrame([(i, i % 2, x.tolist()) for i, x in enumerate(v)], "vec_id long, label int, embedding array<double>")
+    assert {r.n_links for r in embedding_dedup.near_vectors(spark, table).collect()} == {1}
+    monkeypatch.setattr(embedding_dedup, "CHUNK", 400)
+    assert {r.n_links for r in embedding_dedup.near_vectors(spark, table).collect()} == {4}
+
+
+def test_a_chunk_whose_other_chunk_is_empty_is_not_compared_with_itself():
+    import pyarrow as pa
+
+    rows = {"uid": [0, 1], "copies": [1, 1], "first": [True, True], "v": [[1.0, 0.0], [1.0, 0.1]], "i": [0, 0]}
+    assert len(embedding_dedup.compare_chunks(0.93)(pa.table(rows | {"j": [1, 1]}))) == 0
+    assert embedding_dedup.compare_chunks(0.93)(pa.table(rows | {"j": [0, 0]})).to_pydict() == {"a": [0, 1, 0], "b": [None, None, 1], "n": [1, 1, None]}
+
+
 def test_op6_on_links_at_above_and_below_the_threshold(spark, tmp_path):
     """A table as the registered query reads it; the test tables hold no pair near the threshold."""
     import numpy as np
