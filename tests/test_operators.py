@@ -139,3 +139,15 @@ def test_clusters_are_of_whole_texts(spark, tmp_path):
     assert any({"4", "5"} <= set(m) for m in merged) and not any({"6", "7"} & set(m) for m in merged)
     report = catalogue.dedup_report(spark, str(tmp_path)).first()
     assert report.chunks_before == 8 and report.merged_chunks == len(merged)
+
+
+def test_an_address_is_done_by_its_first_line(spark, tmp_path):
+    import duckdb
+
+    from siltstone.plans import catalogue
+
+    spark.createDataFrame([(3, "http://a.b/x"), (9, "http://a.b/x"), (18, "http://c.d/"), (20, "http://c.d/"), (21, "no")], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {(r.line_num, r.url) for r in catalogue.url_list_validate(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == {r[:2] for r in con.execute(catalogue.SQL["url_list_validate"]).fetchall()} == {(3, "http://a.b/x")}
