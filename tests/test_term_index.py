@@ -87,3 +87,34 @@ def test_empty_index(spark):
     index.remove(asked)
     index.refresh()
     assert index.search(none, 3).collect() == []
+
+
+def test_best_of_many_queries_is_what_all_scores_give(spark, monkeypatch):
+    monkeypatch.setattr(term_index, "WEIGHTS", 300)
+    docs = documents(spark, range(150), 5)
+    docs = docs.unionAll(docs.where("doc_id < 40").selectExpr("doc_id + 1000", "text")).repartition(3)
+    index = TermIndex.build(docs, tables.scratch(spark))
+    index.remove(spark.createDataFrame([(5,), (1006,)], "doc_id long"))
+    queries = documents(spark, range(30), 6)
+    order = term_index.W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id")
+    want = index.scores(queries).withColumn("rank", F.row_number().over(order)).where("rank <= 4 and score > 0.1")
+    rows = lambda df: sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in df.collect())
+    found = index.best(queries, 4)
+    assert rows(found) == rows(want) and len(rows(want)) > 80
+    # only the best of each block leave the tasks: no exchange of all scores
+    assert "CartesianProduct" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_are_of_words_only(spark):
+    index = TermIndex.build(spark.createDataFrame([(1, "kara lose miti"), (2, "kara lose"), (2, "miti nupo")], "doc_id long, text string"), tables.scratch(spark), most=1.0)
+    postings = index._read("postings", "term string, doc_id, n long, bucket int")
+    assert {(r.term, r.doc_id) for r in postings.collect()} == {("kara", 1), ("lose", 1), ("miti", 1), ("kara", 2), ("lose", 2), ("miti", 2), ("nupo", 2)}
+    assert {r.term for r in index.vocabulary().collect()} == {"kara", "lose", "miti", "kara lose"}
+
+
+def test_equal_documents_tie(spark):
+    docs = spark.createDataFrame([(i, "kara lose miti nupo kase lora mise tira" if i % 2 else f"kara lose {i}") for i in range(60)], "doc_id long, text string").repartition(7)
+    postings, idf = search.tfidf(docs)
+    assert "Exchange" not in postings._jdf.queryExecution().executedPlan().toString()  # no document is shuffled
+    hits = search.lexical(postings, idf, spark.createDataFrame([(1, "miti nupo kase")], "doc_id long, text string"), 9).collect()
+    assert [r.doc_id for r in sorted(hits, key=lambda r: r.doc_id)] == list(range(1, 18, 2)) and len({r.score for r in hits}) == 1
