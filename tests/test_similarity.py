@@ -66,6 +66,29 @@ def test_low_thresholds_compare_blocks(spark, monkeypatch):
     assert {(r.a, r.b) for r in similarity.similar_pairs(frame(spark, v), 0.3).collect()} == all_links(v, 0.3)
 
 
+def test_blocks_are_shuffled_once_and_forests_connect(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 40)
+    v = planted(500, 16, 30)
+    firsts, _ = similarity.classes(frame(spark, v))
+    found = similarity.in_blocks(firsts, 0.3, len(v))
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    want = all_links(v, 0.3)
+    assert {(r.a, r.b) for r in found.collect()} == want
+    tied = similarity.in_blocks(firsts, 0.3, len(v), forest=True).collect()
+    assert len(tied) < len(want) / 4
+    roots = {}
+    for links in ([(r.a, r.b) for r in tied], want):
+        top = list(range(len(v)))
+        for _ in range(len(v)):
+            before = list(top)
+            for a, b in links:
+                top[a] = top[b] = min(top[a], top[b])
+            if top == before:
+                break
+        roots[len(roots)] = top
+    assert roots[0] == roots[1]
+
+
 @pytest.mark.parametrize("threshold", [0.3, 0.95])
 def test_odd_vectors_copies_and_parts(spark, threshold):
     near = [1.0, 0.01, 0.0]
