@@ -151,3 +151,24 @@ def test_an_address_is_done_by_its_first_line(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
     assert got == {r[:2] for r in con.execute(catalogue.SQL["url_list_validate"]).fetchall()} == {(3, "http://a.b/x")}
+
+
+def test_embedding_of_a_long_text_is_its_counted_hashes(spark):
+    import time
+
+    import xxhash
+
+    from siltstone.functions import embed
+
+    words = [f"w{i * i % 977}" for i in range(60_000)]
+    rows = spark.createDataFrame([(1, " ".join(words)), (2, "one"), (3, " "), (4, None)], "id long, text string")
+    began = time.time()
+    got = {r.id: r.v for r in rows.select("id", embed.hashed(F.col("text"), 64).alias("v")).collect()}
+    assert time.time() - began < 60 and got[3] is None and got[4] is None
+    for i, listed in ((1, words), (2, ["one"])):
+        want = [0.0] * 64
+        for t in [*listed, *map(" ".join, zip(listed, listed[1:]))]:
+            h = xxhash.xxh64(t.encode(), seed=42).intdigest()
+            want[h % 64] += 1 if h >> 40 & 1 else -1
+        norm = sum(x * x for x in want) ** 0.5
+        assert got[i] == [x / norm for x in want]
