@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import lexicons as L
 from siltstone.functions import text as X
+from siltstone.operators.tables import bound_batches
 
 
 def pack(pieces: list[str], size: int, overlap: int) -> Iterator[str]:
@@ -82,6 +84,45 @@ def chunk_fixed(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFr
     return cut.select("doc_id", "chunk_index", F.substring("clean", F.col("start") + 1, F.lit(size)).alias("text"))
 
 
+def alike(words: pa.Array) -> np.ndarray:
+    """The cosine of the word counts of each list of words with the next one's; 0 where a list has no word."""
+    n, flat = len(words), words.flatten()
+    worded = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(n), pc.list_value_length(words).to_numpy())[worded]
+    coded = flat.dictionary_encode()
+    step = len(coded.dictionary) + 1
+    keys, counts = np.unique(owner * step + coded.indices.to_numpy()[worded], return_counts=True)
+    owner = keys // step
+    norms = np.sqrt(np.bincount(owner, counts * counts, n))
+    at = np.searchsorted(keys, keys + step)  # the same word in the next list
+    both = np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == keys + step)
+    dots = np.bincount(owner[both], counts[both] * counts[at[both]], n)[: max(0, n - 1)]
+    scale = norms[:-1] * norms[1:]
+    return np.divide(dots, scale, out=np.zeros_like(scale), where=scale > 0)
+
+
+def begins(apart: list[bool], lengths: list[int], target: int) -> list[int]:
+    """Where chunks begin, and last the number of sentences; ``apart`` tells of each sentence whether it is unlike both neighbours."""
+    found, grown, last = [0], lengths[0], len(lengths) - 1
+    for i in range(1, last):
+        n = lengths[i]
+        if apart[i]:
+            found.append(i)
+            grown = n
+        else:
+            grown += n
+        if grown > 1.5 * target:
+            found.append(i)
+            grown = n
+    return [*found, last + 1]
+
+
+def unlike(words: pa.Array, floor: float) -> np.ndarray:
+    """Whether the cosines of each list of words with both neighbours are under ``floor``; false at both ends."""
+    low = alike(words) < floor
+    return np.concatenate(([False], low[:-1] & low[1:], [False]))[: len(words)]
+
+
 def boundaries(words: list[list[str]], lengths: list[int], target: int, floor: float) -> list[int]:
     """Where chunks begin, by sentence numbers, and last the number of sentences.
 
@@ -89,18 +130,7 @@ def boundaries(words: list[list[str]], lengths: list[int], target: int, floor: f
     ``floor``; then it begins one, perhaps again, if the sentences since the last beginning, itself included, pass one and
     a half of ``target`` characters.
     """
-    counts = [Counter(w) for w in words]
-    norms = [math.sqrt(sum(n * n for n in c.values())) for c in counts]
-    like = [sum(n * b[w] for w, n in a.items()) / (x * y) if x and y else 0.0 for a, b, x, y in zip(counts, counts[1:], norms, norms[1:])]
-    found, grown = [0], lengths[0]
-    for i in range(1, len(words) - 1):
-        apart = like[i - 1] < floor and like[i] < floor
-        grown = lengths[i] if apart else grown + lengths[i]
-        found += [i] * apart
-        if grown > 1.5 * target:
-            found.append(i)
-            grown = lengths[i]
-    return [*found, len(words)]
+    return begins(unlike(pa.array(words, pa.list_(pa.string())), floor).tolist(), lengths, target)
 
 
 def overlapping(bounds: list[int], ratio: float) -> list[tuple[int, int]]:
@@ -119,13 +149,31 @@ def semantic_chunks(docs: DataFrame, target: int = 400, floor: float = 0.7, rati
     first and the last chunk have a boundary score of 1, others 0.8. A text without a sentence has no chunk.
     """
 
-    @F.pandas_udf("array<struct<first: int, last: int>>")
-    def ranges(words: pd.Series, lengths: pd.Series) -> pd.Series:
-        return pd.Series([overlapping(boundaries([list(x) for x in w], list(n), target, floor), ratio) if len(n) else [] for w, n in zip(words, lengths)])
-
-    rows = docs.select("doc_id", X.sentences(F.col("text")).alias("s")).where(F.size("s") > 0)
-    cut = rows.withColumn("r", ranges(F.transform("s", lambda x: X.words(F.lower(x))), F.transform("s", F.length)))
+    @F.arrow_udf("array<struct<first: int, last: int, start: int, bytes: int>>")
+    def ranges(listed: pa.Array, lowered: pa.Array) -> pa.Array:
+        flat = listed.flatten()
+        apart, lengths = unlike(pc.ascii_split_whitespace(lowered.flatten()), floor).tolist(), pc.utf8_length(flat).to_pylist()
+        places = np.append(0, np.cumsum(pc.binary_length(flat).to_numpy() + 1))  # of sentences joined by one space each
+        found, bases, upto, sizes = [], [], 0, []
+        for n in pc.list_value_length(listed).to_pylist():
+            one = overlapping(begins(apart[upto : upto + n], lengths[upto : upto + n], target), ratio) if n else []
+            found += one
+            bases.append(upto)
+            sizes.append(len(one))
+            upto += n
+        first, last = np.array(found, np.int64).reshape(-1, 2).T
+        base = np.repeat(np.array(bases, np.int64), sizes)
+        start = places[base + first]
+        columns = [first, last, start - places[base], np.maximum(0, places[base + last] - start - 1)]
+        made = pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in columns], ["first", "last", "start", "bytes"])
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), made)
+
+    bound_batches(docs.sparkSession)
+    rows = docs.select("doc_id", X.sentences(F.coalesce("text", F.lit(""))).alias("s"))
+    # No filter may be pushed below the ranges: it would clean, cut and compare every text again.
+    cut = rows.select("doc_id", F.array_join("s", " ").cast("binary").alias("whole"), ranges("s", F.transform("s", F.lower)).alias("r"))
+    each = cut.select("doc_id", "whole", F.size("r").alias("n"), F.posexplode_outer("r").alias("chunk_index", "r")).where("r.first < r.last")
     # The overlap grows with the document, so the chunks of a long one are far larger together than it: one at a time.
-    out = cut.select("doc_id", "s", F.size("r").alias("n"), F.posexplode("r").alias("chunk_index", "r")).select("doc_id", "n", "chunk_index", "r.*", F.array_join(F.slice("s", F.col("r.first") + 1, F.col("r.last") - F.col("r.first")), " ").alias("text")).where("text <> ''")
+    out = each.select("doc_id", "n", "chunk_index", "r.first", "r.last", F.substring("whole", F.col("r.start") + 1, F.col("r.bytes")).cast("string").alias("text"))
     edge = (F.col("chunk_index") == 0) | (F.col("chunk_index") == F.col("n") - 1)
     return out.select("doc_id", "chunk_index", "text", F.concat_ws("-", "first", "last").alias("sentence_range"), F.when(edge, 1.0).otherwise(0.8).alias("semantic_boundary_score"), X.chunker_score(F.col("text")).alias("information_score"))
