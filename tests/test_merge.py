@@ -54,3 +54,25 @@ def test_questions_go_by_their_routes(spark, tmp_path):
     assert (got[2].approach, got[2].result_count, got[2].answer) == ("structured", 1, "BICS 2A has maths on Monday from 10:00 to 11:00 in Room 4")
     assert (got[3].approach, got[3].fallback, got[3].answer) == ("semantic", "semantic", None) and got[4].sources
     assert engine.answer("What time is the BICS 2A class on Monday?").first().response == got[2].answer
+
+
+def test_sentences_are_cut_one_by_one_as_the_expression_cuts_them(spark):
+    from siltstone.functions import text as X
+
+    draw = random.Random(8)
+    marks = ["a", "B", "7", ".", "!", "?", '"', ")", " ", "  ", "\n", "\t", "\x01", "\x85", "\u2028", "\xa0", "\xe9", "\u0130", "", "Ab."]
+    texts = ["", " ", ". A", "x.\x01A", "a. B \u2028", "a \x85 "] + ["".join(draw.choice(marks) for _ in range(draw.randint(1, 40))) for _ in range(3000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.sentences(F.col("t")).alias("s"), F.transform(X.sentences(F.col("t")), X.strip).alias("bare")).collect()
+    assert all([*dedup.listed_sentences(r.t)] == r.s and [dedup.BARE.sub("", s) for s in r.s] == r.bare for r in rows)
+    later = dedup.listed_sentences("One is here. Two is here. " + "Three is here. " * 100_000)
+    assert next(later) == "One is here." and next(later) == "Two is here."
+
+
+def test_common_words_bring_no_comparisons():
+    seen, n = dedup.Sentences(), 4000
+    told = lambda i: {f"common{k}" for k in range(20)} | {f"own{i}x{k}" for k in range(12)}
+    for i in range(n):
+        assert not seen.has(str(i), told(i))
+        seen.add(str(i), told(i))
+    assert sum(len(seen.by_word.get(w, ())) for w in seen._firsts([*told(n)])) < n / 10
+    assert seen.has("", told(7)) and seen.has("", told(7) - {"own7x1"}) and not seen.has("", {f"common{k}" for k in range(20)})

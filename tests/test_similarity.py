@@ -150,3 +150,46 @@ def test_index_of_odd_rows(spark):
     empty = VectorIndex.build(df.limit(0), tables.scratch(spark))
     assert empty.search(df, 3).collect() == []
     empty.add(df.limit(0))
+
+
+def test_bounds_and_what_is_connected_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 300)
+    monkeypatch.setattr(similarity, "AT_ONCE", 64)
+    draw = np.random.default_rng(12)
+    v = draw.standard_normal((1200, 48)) + 3 * np.repeat(draw.standard_normal((40, 48)), 30, 0)
+    v[::7] = np.roll(v, 1, 0)[::7] + 0.05 * draw.standard_normal((len(v[::7]), 48))
+    rows = spark.createDataFrame([(i, "ab"[i % 5 > 2], [float(x) for x in r]) for i, r in enumerate(v)], "id long, part string, v array<double>").repartition(5)
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    for within in (None, "part"):
+        firsts, _ = similarity.classes(rows, within=within)
+        for threshold in (0.93, 0.97):
+            assert [*similarity.axes(firsts, threshold)] == [48]
+            top = [*range(len(v))]
+            near = np.argwhere(np.triu(u @ u.T >= threshold, 1))
+            near = [(a, b) for a, b in near.tolist() if within is None or "ab"[a % 5 > 2] == "ab"[b % 5 > 2]]
+            got = [(r.a, r.b) for r in similarity.class_links(firsts, threshold, True).collect()]
+
+            def trees(edges):
+                up = top[:]
+                def root(x):
+                    while up[x] != x:
+                        x = up[x]
+                    return x
+                for a, b in edges:
+                    a, b = sorted((root(a), root(b)))
+                    up[b] = a
+                return [root(x) for x in top]
+
+            assert len(near) > 100 and trees(got) == trees(near)
+
+
+def test_classes_of_odd_rows(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [(1, "x", [3.0, 4.0]), (2, "x", [3.0, 4.0]), (2, "x", [3.0, 4.0]), (3, "y", [3.0, 4.0]), (4, None, [1.0, 0.0]), (5, "x", [0.0, 0.0]), (6, "x", None), (7, "x", []), (8, "x", [1.0, None]), (9, "x", [inf, 1.0]), (10, "x", [nan, 1.0]), (11, "x", [1.0])]
+    df = spark.createDataFrame(rows, "id long, part string, v array<double>")
+    for few in (0, 100):
+        similarity.FEW, kept = few, similarity.FEW
+        firsts, members = similarity.classes(df, within="part")
+        similarity.FEW = kept
+        assert sorted((r.part, r.id, r.u) for r in firsts.collect()) == [("x", 1, [0.6, 0.8]), ("x", 11, [1.0]), ("y", 3, [0.6, 0.8])]
+        assert {(r.id, r.head) for r in members.collect()} == {(1, 1), (2, 1), (3, 3), (11, 11)}
